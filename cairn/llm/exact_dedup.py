@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, scratch_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated files, as there is a store for each shuffle partition.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: White space that doesn't count, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 #: Files taken by one micro-batch.
@@ -70,9 +74,9 @@ def dedup_stream(spark: SparkSession, path: str, state_dir: str, id_col: str = "
     def changed(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{state_dir}/changed/{number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/checkpoint")
@@ -80,8 +84,8 @@ def dedup_stream(spark: SparkSession, path: str, state_dir: str, id_col: str = "
         )
         query.awaitTermination()
     finally:
-        if before:
-            spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     schema = state.withColumn("batch", F.lit(0)).schema
     try:
         rows = spark.read.schema(schema).parquet(f"{state_dir}/changed/*")
@@ -104,9 +108,10 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     shared = state.where("group_size > 1").select("digest", "best")
 
     # Full bytes on hits: each row of a shared digest against the bytes at the state's locator.
-    hits = rows.join(shared, "digest").select("digest", "rank", "norm", "best")
-    kept_bytes = hits.where(F.col("rank") == F.col("best")).select("digest", F.col("norm").alias("held"))
-    differ = hits.join(kept_bytes, "digest").where(F.col("norm") != F.col("held")).select("digest").distinct()
+    hits = rows.join(shared, "digest").select("digest", "norm", (F.col("rank") == F.col("best")).alias("held"))
+    hits = materialize(hits, "hits", state_dir)
+    held = hits.where("held").select("digest", F.col("norm").alias("bytes"))
+    differ = hits.where("not held").join(held, "digest").where(F.col("norm") != F.col("bytes")).select("digest").distinct()
     differ = materialize(differ, "differ", state_dir)
 
     out = rows.select("doc_id", "text_sha256", "digest", "rank").join(state, "digest")
