@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import exact_dedup
+from cairn.llm import exact_dedup, mixing, pii
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: pattern spans, and terms whose disclosure passes the threshold."""
+    return pii.digest(pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +17,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pareto order sampling of all documents to the sources' targets."""
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL = {
