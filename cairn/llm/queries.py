@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import exact_dedup, mixing, pii
+from cairn.llm import exact_dedup, mixing, pii, simhash
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components of their links."""
+    found = simhash.near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pareto order sampling of all documents to the sources' targets."""
     mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -26,6 +32,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
 }
 
