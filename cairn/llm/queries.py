@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import exact_dedup, mixing, pii, simhash
+from cairn.llm import decontaminate, exact_dedup, mixing, pii, simhash
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +12,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents, by suffix arrays."""
+    found = decontaminate.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact deduplication of all documents by the stateful stream."""
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
@@ -31,12 +37,40 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_decontaminate": op2_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL = {
+    "op2_decontaminate": r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), win AS (
+  SELECT item_id, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s, w FROM bw WHERE len(w) > 0
+), needles AS (
+  SELECT DISTINCT item_id, m, array_to_string(list_slice(w, s, s + m - 1), ' ') AS t FROM win
+), lengths AS (SELECT DISTINCT m FROM needles
+), places AS (
+  SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM dw, lengths WHERE len(w) >= m
+), grams AS (
+  SELECT doc_id, m, p, array_to_string(list_slice(w, p, p + m - 1), ' ') AS t FROM places
+), found AS (
+  SELECT g.doc_id, g.m, g.p, n.item_id FROM grams g JOIN needles n ON n.m = g.m AND n.t = g.t
+), hit AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM (SELECT DISTINCT doc_id, p, m FROM found)) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id
+)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
     "op6_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
