@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, exact_dedup, mixing, pii, simhash
+from cairn.llm import decontaminate, exact_dedup, mixing, pii, simhash, token_files
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file that op3 encodes with."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    return token_files.read(token_files.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path()))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact deduplication of all documents by the stateful stream."""
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
@@ -38,6 +50,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
+    "op3_token_files": op3_token_files,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
