@@ -94,7 +94,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     u = uniform(F.col("doc_id"), seed)
     q = (u / (1 - u)) / (F.col("odds") * F.col("p") / (1 - F.col("p")))
     x = x.withColumn("rank", F.when(F.col("p") > 0, q / (1 + q)))
-    x = x.withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int"))
+    # Within a source p is one number, so bins by odds(u)/odds keep the order of the ranks, and are evenly filled.
+    even = (u / (1 - u)) / F.col("odds")
+    x = x.withColumn("bin", F.when(F.col("p") > 0, F.least(F.floor(even / (1 + even) * BINS), F.lit(BINS - 1))).cast("int"))
     x = materialize(x, "ranked", root)
 
     gap = sources.select("source", (F.col("target") - F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)) * F.col("source_size")).alias("need"))
