@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, exact_dedup, mixing, pii, simhash, token_files
+from cairn.llm import decontaminate, exact_dedup, mixing, pii, simhash, token_files, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path()))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt from the labels outside the held-out fold."""
+    return toxicity.predict(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact deduplication of all documents by the stateful stream."""
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_files": op3_token_files,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
