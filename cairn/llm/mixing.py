@@ -20,7 +20,7 @@ an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, scratch_dir
@@ -148,6 +148,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return y.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with their own columns.
+
+    Rows that agree in id, source and size are taken alike.
+    """
+    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").cast("int").alias("_copies"))
+    same = docs[id_col].eqNullSafe(F.col("_id")) & docs[source_col].eqNullSafe(F.col("_source")) & (word_count(docs[text_col]) == F.col("_size"))
+    out = docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*[docs[c] for c in docs.columns])
+
+
 def _small(table: DataFrame, limit: int = 8 << 20) -> bool:
     """True if a table that was written is below ``limit`` bytes; beyond, the join shuffles and AQE splits what is skewed."""
     return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < limit

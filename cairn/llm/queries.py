@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, exact_dedup, mixing, pii, simhash, token_files, toxicity
+from cairn.llm import decontaminate, exact_dedup, mixing, pii, simhash, substring_dedup, token_files, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that stood earlier, by the log-structured window index."""
+    return substring_dedup.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
@@ -60,9 +65,29 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op10_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20
+), keyed AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 19), ' ')) AS k FROM win
+), later AS (
+  SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM keyed) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later
+), flat AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d
+), kept AS (
+  SELECT f.doc_id, string_agg(x, ' ' ORDER BY f.i) AS t, count(*) AS n FROM flat f LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.i = f.i WHERE g.i IS NULL GROUP BY f.doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
     "op2_decontaminate": r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

@@ -255,6 +255,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return d.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, the one with the smallest id, with its own columns."""
+    import pyarrow as pa
+
+    one = near_dedup(docs, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
+    one = materialize(one.select(F.col("doc_id").alias("_keep_id"), F.col("fp").alias("_keep_fp")), "kept")
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return docs.join(one, docs[id_col].eqNullSafe(one._keep_id), "left_semi")
+    # Rows that repeat an id: the fingerprint tells which of them was meant.
+    kinds = dict(docs.dtypes)
+    place, names, k = docs.columns.index(text_col), [*docs.columns, "_fp"], options.get("k", SHINGLE)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(place))
+            fps = [f for a, b in blocks(offsets) for f in block_fingerprints(data, offsets[a : b + 1], k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=names)
+
+    marked = docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns) + ", _fp long")
+    same = marked[id_col].eqNullSafe(one._keep_id) & (marked._fp == one._keep_fp)
+    return marked.join(one, same, "left_semi").dropDuplicates([id_col, "_fp"]).drop("_fp")
+
+
 def hexadecimal(fp: Column) -> Column:
     """16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
