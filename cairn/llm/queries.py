@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, exact_dedup, mixing, pii, simhash, substring_dedup, token_files, toxicity
+from cairn.llm import decontaminate, exact_dedup, mixing, pii, secret_scan, simhash, substring_dedup, token_files, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: pattern spans, and spans of the conditional random field."""
+    return secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pareto order sampling of all documents to the sources' targets."""
     mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_secret_scan": op8_secret_scan,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
