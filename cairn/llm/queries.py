@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, exact_dedup, mixing, pii, secret_scan, simhash, substring_dedup, token_files, toxicity
+from cairn.llm import decontaminate, exact_dedup, html_text, mixing, pii, secret_scan, simhash, substring_dedup, token_files, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path()))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learnt from the labels outside the held-out fold."""
     return toxicity.predict(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_files": op3_token_files,
+    "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
