@@ -1,4 +1,902 @@
-"""Queries over the driver tables and their DuckDB oracles."""
+"""Queries of the snapshot-store operators over the driver tables, and their DuckDB oracles.
 
-QUERIES: dict = {}
+The tables stand in for store relations; each query names the operators it applies (the survey's handles).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cairn.functions import paths, skeleton
+from cairn.operators import diff, graph, ingest, inventory, ledger, mirror, retention, runs, stats
+from cairn.plans import validate
+from cairn.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of one folder, by name; times come as UTC timestamps."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        df = table(self.spark, self.sf_dir, name)
+        return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- snapshots -----------------------------------------------------------------------------------------------------
+
+
+def _snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of orders: an order is a file, its price in cents the size, its status and price the chunks."""
+    o = t("orders").select(F.concat_ws("/", F.lit("o"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("rel_path"), "o_orderkey", "o_custkey",
+                           (F.col("o_orderkey") % 101 == 0).alias("odd"), F.col("o_orderstatus").alias("st"), F.floor("o_totalprice").cast("long").alias("size"))
+
+    def side(rows, tree, size):
+        ids = F.array(F.col("st"), size.cast("string"))
+        return rows.select("rel_path", tree.alias("is_tree"), size.alias("size"), ids.alias("chunk_ids"))
+
+    a = side(o.where("o_custkey % 10 <> 0"), F.lit(False), F.col("size"))
+    b = side(o.where("o_custkey % 10 <> 1"), F.col("odd"), F.when(F.col("o_orderkey") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return a, b
+
+
+_SNAP = """
+WITH o AS (SELECT 'o/' || o_custkey || '/' || o_orderkey AS rel_path, o_orderkey AS k, o_custkey AS c, o_orderstatus AS st, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders),
+a AS (SELECT rel_path, false AS tree, size, st || ',' || size AS ids FROM o WHERE c % 10 <> 0),
+b AS (SELECT rel_path, k % 101 = 0 AS tree, size + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS size, st || ',' || (size + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) AS ids FROM o WHERE c % 10 <> 1),
+d AS (SELECT coalesce(a.rel_path, b.rel_path) AS rel_path, CASE WHEN a.rel_path IS NULL THEN 'added' WHEN b.rel_path IS NULL THEN 'removed' WHEN a.tree <> b.tree THEN 'type_changed'
+  WHEN NOT a.tree AND a.ids <> b.ids THEN 'modified' END AS kind, a.size AS old_size, b.size AS new_size FROM a FULL JOIN b ON a.rel_path = b.rel_path)
+"""
+
+
+@query(_SNAP + "SELECT * FROM d WHERE kind IS NOT NULL")
+def snapshot_diff(t):
+    """J1, H1."""
+    return diff.snapshot_diff(*_snapshots(t))
+
+
+@query(_SNAP + "SELECT kind, count(*) AS n FROM d WHERE kind IS NOT NULL GROUP BY kind")
+def snapshot_diff_counts(t):
+    """A1."""
+    return diff.diff_counts(diff.snapshot_diff(*_snapshots(t)))
+
+
+@query("""
+WITH p AS (SELECT 'n' || c_nationkey AS dir, 'n' || c_nationkey || '/c' || c_custkey AS path, c_nationkey AS n, c_custkey AS k FROM customer),
+x AS (SELECT DISTINCT dir AS rel_path, true AS tree, n, 0 AS k FROM p UNION ALL SELECT path, false, n, k FROM p)
+SELECT rel_path, CASE WHEN n = 3 THEN 'removed' ELSE 'added' END AS kind, CASE WHEN n = 3 THEN CAST(CASE WHEN tree THEN 0 ELSE k END AS BIGINT) END AS old_size,
+  CASE WHEN n <> 3 THEN CAST(CASE WHEN tree THEN 0 ELSE k END AS BIGINT) END AS new_size
+FROM x WHERE (n IN (3, 5) AND tree) OR (n NOT IN (3, 5) AND NOT tree AND k % 50 = 0)
+""")
+def snapshot_diff_collapsed(t):
+    """An added or removed directory is one row."""
+    c = t("customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("d"))
+    f = c.select("n", "k", F.concat(F.col("d"), F.lit("/c"), F.col("k").cast("string")).alias("rel_path"), F.lit(False).alias("is_tree"), F.col("k").cast("long").alias("size"), F.array(F.col("k").cast("string")).alias("chunk_ids"))
+    d = c.select("n", F.lit(0).cast("long").alias("k"), F.col("d").alias("rel_path"), F.lit(True).alias("is_tree"), F.lit(0).cast("long").alias("size"), F.array().cast("array<string>").alias("chunk_ids")).distinct()
+    every = f.unionByName(d)
+    cols = ["rel_path", "is_tree", "size", "chunk_ids"]
+    return diff.snapshot_diff(every.where("n <> 5 and (is_tree or n = 3 or k % 50 <> 0)").select(*cols), every.where("n <> 3").select(*cols), expand=False)
+
+
+def _blobs(t, source):
+    return t("documents").where(F.col("source").isin(*source)).select(F.sha2("text", 256).alias("blob_id"), F.octet_length("text").cast("long").alias("size"))
+
+
+_BLOBS = """
+WITH x AS (SELECT source, sha256(text) AS blob_id, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL),
+a AS (SELECT blob_id, max(size) AS s FROM x WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5') GROUP BY 1),
+b AS (SELECT blob_id, max(size) AS s FROM x WHERE source IN ('src4', 'src5', 'src6', 'src7', 'src8') GROUP BY 1),
+j AS (SELECT a.blob_id AS ai, b.blob_id AS bi, coalesce(b.s, a.s) AS s FROM a FULL JOIN b ON a.blob_id = b.blob_id)
+"""
+_A, _B = ("src0", "src1", "src2", "src3", "src4", "src5"), ("src4", "src5", "src6", "src7", "src8")
+
+
+@query(_BLOBS + """SELECT count(ai) AS blobs_a, count(bi) AS blobs_b, count(*) FILTER (ai IS NOT NULL AND bi IS NOT NULL) AS shared, count(*) FILTER (bi IS NULL) AS unique_a, count(*) FILTER (ai IS NULL) AS unique_b,
+CAST(coalesce(sum(s) FILTER (ai IS NOT NULL), 0) AS BIGINT) AS bytes_a, CAST(coalesce(sum(s) FILTER (bi IS NOT NULL), 0) AS BIGINT) AS bytes_b, CAST(coalesce(sum(s) FILTER (ai IS NOT NULL AND bi IS NOT NULL), 0) AS BIGINT) AS bytes_shared,
+round(coalesce(coalesce(sum(s) FILTER (ai IS NOT NULL AND bi IS NOT NULL), 0) / nullif(sum(s) FILTER (bi IS NOT NULL), 0), 0.0), 6) AS dedup_ratio FROM j""")
+def dedup_report(t):
+    """A2, U1, X6."""
+    return diff.dedup_report(_blobs(t, _A), _blobs(t, _B))
+
+
+@query(_BLOBS + "SELECT count(*) FILTER (ai IS NOT NULL AND bi IS NOT NULL) AS \"both\", count(*) FILTER (bi IS NULL) AS only_a, count(*) FILTER (ai IS NULL) AS only_b, count(*) AS either FROM j")
+def blob_set_operations(t):
+    """U1."""
+    return diff.set_counts(_blobs(t, _A), _blobs(t, _B))
+
+
+@query("""
+WITH a AS (SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_suppkey % 9 <> 0),
+b AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN s_name || '!' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_nationkey END AS s_nationkey FROM supplier WHERE s_suppkey % 11 <> 0),
+j AS (SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, a.s_suppkey AS ak, b.s_suppkey AS bk, a.s_name AS an, b.s_name AS bn, CAST(a.s_nationkey AS VARCHAR) AS aa, CAST(b.s_nationkey AS VARCHAR) AS ba FROM a FULL JOIN b ON a.s_suppkey = b.s_suppkey)
+SELECT s_suppkey, 'missing_in_a' AS what, NULL AS old, NULL AS new FROM j WHERE ak IS NULL UNION ALL SELECT s_suppkey, 'missing_in_b', NULL, NULL FROM j WHERE bk IS NULL
+UNION ALL SELECT s_suppkey, 's_name', an, bn FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND an IS DISTINCT FROM bn UNION ALL SELECT s_suppkey, 's_nationkey', aa, ba FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND aa IS DISTINCT FROM ba
+""")
+def fingerprint_record_diff(t):
+    """J2, V4."""
+    s = t("supplier").select("s_suppkey", "s_name", "s_nationkey")
+    b = s.where("s_suppkey % 11 <> 0").withColumn("s_name", F.when(F.col("s_suppkey") % 4 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name"))).withColumn("s_nationkey", F.when(F.col("s_suppkey") % 6 != 0, F.col("s_nationkey")))
+    return diff.record_diff(s.where("s_suppkey % 9 <> 0"), b, "s_suppkey", ["s_name", "s_nationkey"])
+
+
+@query("""
+WITH k AS (SELECT event_type, '/' || unnest(json_keys(props)) AS json_path, event_id % 2 AS side, json_type(props, '$.' || unnest(json_keys(props))) AS ty FROM events),
+l AS (SELECT DISTINCT json_path, event_type AS type FROM k WHERE side = 0), r AS (SELECT json_path, min(event_type) AS right_type FROM k WHERE side = 1 GROUP BY 1)
+SELECT l.json_path, l.type, r.right_type FROM l LEFT JOIN r USING (json_path) WHERE l.type IS DISTINCT FROM r.right_type
+""")
+def nested_shape_difference(t):
+    """Keys of the events' documents by event type."""
+    e = t("events").select("event_id", "event_type", F.explode(F.json_object_keys("props")).alias("k"))
+    rows = e.select("event_id", F.concat(F.lit("/"), F.col("k")).alias("json_path"), F.col("event_type").alias("type"))
+    right = rows.where("event_id % 2 = 1").groupBy("json_path").agg(F.min("type").alias("type"))
+    return diff.nested_difference(rows.where("event_id % 2 = 0").select("json_path", "type").distinct(), right)
+
+
+@query("""
+WITH a AS (SELECT conv_id, turn AS ordinal, length(text) AS length FROM conversations),
+b AS (SELECT conv_id, turn AS ordinal, CASE WHEN turn = 2 AND conv_id % 3 = 0 THEN length(text) + 1 ELSE length(text) END AS length FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn > 3)),
+j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.ordinal, b.ordinal) AS o, a.length AS la, b.length AS lb FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.ordinal = b.ordinal),
+f AS (SELECT conv_id, min(o) AS fd FROM j WHERE la IS DISTINCT FROM lb GROUP BY 1)
+SELECT j.conv_id, count(la) AS chunks_a, count(lb) AS chunks_b, count(*) FILTER (fd IS NULL OR o < fd) AS matching, max(fd) AS first_divergence, CASE WHEN max(fd) IS NOT NULL THEN CAST(coalesce(sum(la) FILTER (o < fd), 0) AS BIGINT) END AS divergence_offset
+FROM j LEFT JOIN f ON j.conv_id = f.conv_id GROUP BY j.conv_id
+""")
+def chunk_lockstep(t):
+    """J14, V5."""
+    c = t("conversations").groupBy("conv_id", F.col("turn").alias("ordinal")).agg(F.min("text").alias("text"))
+    a = c.select("conv_id", "ordinal", F.length("text").cast("long").alias("length"))
+    b = a.where("not (conv_id % 5 = 0 and ordinal > 3)").withColumn("length", F.when((F.col("ordinal") == 2) & (F.col("conv_id") % 3 == 0), F.col("length") + 1).otherwise(F.col("length")))
+    return diff.chunk_lockstep(a, b, "conv_id")
+
+
+# --- retention and garbage ------------------------------------------------------------------------------------------
+
+
+def _records(t):
+    return t("events").select("event_id", "user_id", "ts")
+
+
+_BUCKET = {"hourly": "date_trunc('hour', ts)", "daily": "date_trunc('day', ts)", "weekly": "isoyear(ts) * 100 + week(ts)", "monthly": "date_trunc('month', ts)", "yearly": "date_trunc('year', ts)"}
+
+
+def _keeps(kind, k):
+    return f"""SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, b ORDER BY ts DESC, event_id DESC) AS r, dense_rank() OVER (PARTITION BY user_id ORDER BY b DESC) AS d
+FROM (SELECT *, {_BUCKET[kind]} AS b FROM events)) WHERE r = 1 AND d <= {k}"""
+
+
+def _retention(name, k, policy):
+    def f(t):
+        return retention.select_retained(_records(t), policy, ["user_id"], "ts", "event_id").where("retained").select("event_id", "user_id")
+
+    f.__name__, f.__doc__ = f"retention_{name}", "W1, W2, X9."
+    return query(f"SELECT event_id, user_id FROM events WHERE event_id IN ({_keeps(name, k)})")(f)
+
+
+for _k in retention.BUCKETS:
+    _retention(_k, 3, retention.Policy(**{_k: 3}))
+
+_LAST = "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 4"
+
+
+@query(f"SELECT event_id, user_id FROM events WHERE event_id IN ({_LAST})")
+def retention_last_n(t):
+    """W1, H4."""
+    return retention.select_retained(_records(t), retention.Policy(last_n=4), ["user_id"], "ts", "event_id").where("retained").select("event_id", "user_id")
+
+
+@query(f"""WITH k AS (SELECT event_id FROM events WHERE event_id IN ({_LAST}) OR event_id IN ({_keeps('daily', 5)}) OR event_id IN ({_keeps('weekly', 2)}))
+SELECT user_id, count(*) AS records, count(k.event_id) AS kept, count(*) - count(k.event_id) AS pruned FROM events LEFT JOIN k USING (event_id) GROUP BY user_id""")
+def retention_combined_plan(t):
+    """Rules OR-ed, as a plan by group."""
+    return retention.prune_plan(_records(t), retention.Policy(last_n=4, daily=5, weekly=2), ["user_id"], ts="ts", ordinal="event_id")
+
+
+_RECENT = "l_shipdate >= timestamp '1999-01-01'"
+
+
+@query(f"SELECT p_partkey, p_size FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND {_RECENT} AND l_quantity > 45)")
+def gc_orphans(t):
+    """J4, P8."""
+    refs = t("lineitem").where(f"{_RECENT} and l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return retention.orphans(t("part").select("p_partkey", "p_size"), refs, "p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE false")
+def gc_fails_closed(t):
+    """An unreadable record blocks all removal."""
+    unreadable = t("region").where("r_regionkey = 0")
+    return retention.orphans(t("part").select("p_partkey"), t("lineitem").select(F.col("l_partkey").alias("p_partkey")).limit(1), "p_partkey", unreadable)
+
+
+@query(f"""WITH r AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), live AS (SELECT DISTINCT l_partkey FROM lineitem WHERE {_RECENT} AND l_quantity > 49)
+SELECT r.l_suppkey, count(*) AS members, count(live.l_partkey) AS live, count(live.l_partkey) > 0 AS kept FROM r LEFT JOIN live USING (l_partkey) GROUP BY r.l_suppkey""")
+def gc_groups_kept(t):
+    """A pack (supplier) goes only if none of its blobs (parts) is referenced."""
+    li = t("lineitem")
+    return retention.orphan_groups(li.select("l_suppkey", "l_partkey").distinct(), li.where(f"{_RECENT} and l_quantity > 49"), "l_suppkey", "l_partkey")
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders o WHERE (o_orderdate, o_orderkey) = (SELECT (max((i.o_orderdate, i.o_orderkey))) FROM orders i WHERE i.o_custkey = o.o_custkey) GROUP BY o_custkey".replace("(SELECT (max((i.o_orderdate, i.o_orderkey)))", "(SELECT max((i.o_orderdate, i.o_orderkey))"))
+def latest_per_group(t):
+    """S10, S11, Q4."""
+    return retention.latest_per_group(t("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey"])
+
+
+@query("SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 3")
+def latest_records_cap(t):
+    """O6."""
+    return retention.latest_n(t("orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 3).select("o_custkey", "o_orderkey", F.col("rn").cast("long").alias("rn"))
+
+
+# --- ledgers --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def ledger_skip(t):
+    """J6."""
+    return ledger.skip_known(t("documents").select("doc_id", "n_chars"), t("labels"), "doc_id")
+
+
+@query("""SELECT event_type, user_id, max(ts) AS last_ok FROM events GROUP BY 1, 2""")
+def ledger_merge(t):
+    """Two ledgers of even and odd events."""
+    e = t("events").select("event_type", "user_id", "event_id", F.col("ts").alias("last_ok"))
+    merged = ledger.merge(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["event_type", "user_id"])
+    return merged.withColumn("last_ok", F.col("last_ok").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= timestamp '2024-01-20' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def ledger_prune_and_forget(t):
+    """U3, H21."""
+    kept = ledger.prune(t("events").select("event_id", "user_id", F.col("ts").alias("last_ok")), F.lit("2024-01-20").cast("timestamp"))
+    return ledger.forget(kept, t("customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("user_id")), ["user_id"]).select("event_id")
+
+
+@query("""SELECT a.l_orderkey, a.l_linenumber, a.l_partkey FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN l_quantity + 1 ELSE l_quantity END AS q, l_shipdate AS d, l_partkey FROM lineitem) b
+ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_quantity = b.q AND a.l_shipdate = b.d""")
+def incremental_reuse(t):
+    """J7, H16."""
+    now = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    before = t("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 5 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).alias("l_quantity"), "l_shipdate", "l_partkey")
+    return ledger.unchanged(now, before, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_shipdate"], ["l_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""SELECT blob_id, priority, doc_id FROM (SELECT sha256(text) AS blob_id, CASE WHEN source IN ('src3', 'src7') THEN 0 ELSE 1 END AS priority, doc_id, row_number() OVER (PARTITION BY sha256(text)
+ORDER BY CASE WHEN source IN ('src3', 'src7') THEN 0 ELSE 1 END, doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1""")
+def dedup_seed_first_wins(t):
+    """The earliest writer of a blob."""
+    d = t("documents").where("text is not null").select(F.sha2("text", 256).alias("blob_id"), "doc_id", F.col("source").isin("src3", "src7").alias("first"))
+    out = ledger.first_writer([d.where("first").drop("first"), d.where("not first").drop("first")], "blob_id", ["doc_id"])
+    return out.select("blob_id", "priority", "doc_id")
+
+
+@query("SELECT event_id FROM events WHERE (user_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END, event_id) > (20, 2, 500)")
+def drip_resume(t):
+    """Walk order compares the family's rank."""
+    family = F.when(F.col("event_type") == "click", "blobpacks").when(F.col("event_type") == "view", "treepacks").when(F.col("event_type") == "purchase", "largeblobpacks").otherwise("standardobjects")
+    e = t("events").select("event_id", F.col("user_id").alias("computer"), family.alias("family"), F.col("event_id").alias("shard"), F.lit(0).alias("name"))
+    return ledger.after_cursor(e, (20, "treepacks", 500, 0)).select("event_id")
+
+
+@query("SELECT event_id, user_id, CAST(s AS BIGINT) AS spent_before FROM (SELECT event_id, user_id, coalesce(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM events) WHERE s < 500")
+def audit_budget(t):
+    """T6."""
+    e = t("events").select("event_id", "user_id", "ts", F.floor("value").cast("long").alias("size"))
+    return ledger.within_budget(e, "size", ["ts", "event_id"], 500, ["user_id"]).select("event_id", "user_id", "spent_before")
+
+
+@query("SELECT p_partkey FROM part ORDER BY md5('audit' || p_partkey), p_partkey LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.05) AS BIGINT)) FROM part)")
+def audit_sample(t):
+    """A sample that reruns draw again (a sampling operator: the limit is the feature)."""
+    p = t("part").select("p_partkey")
+    return ledger.sampled(p, "p_partkey", p.count(), 0.05, "audit")
+
+
+@query("SELECT user_id, event_id, n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') WHERE n <= 5")
+def failure_list_cap(t):
+    """The first failures of a report."""
+    out = ledger.first_failures(t("events").where("event_type = 'error'"), ["user_id"], ["ts", "event_id"], 5)
+    return out.select("user_id", "event_id", F.col("n").cast("long").alias("n"))
+
+
+# --- inventory and paths --------------------------------------------------------------------------------------------
+
+_URL = r"^[a-z]+://([^/]+)(/[^?#]*)?.*$"
+
+
+def _files(t):
+    path = F.concat(F.regexp_extract("url", _URL, 1), F.regexp_extract("url", _URL, 2))
+    return t("pages").select("page_id", path.alias("path"), F.length("html").cast("long").alias("size"), F.col("page_id").alias("ordinal"))
+
+
+_FILES = r"WITH f AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)(/[^?#]*)?.*$', 1) || coalesce(regexp_extract(url, '^[a-z]+://([^/]+)(/[^?#]*)?.*$', 2), '') AS path, CAST(length(html) AS BIGINT) AS size FROM pages) "
+
+
+@query(_FILES + "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f")
+def inventory_totals(t):
+    """A8, A10."""
+    return inventory.totals(_files(t))
+
+
+@query(_FILES + "SELECT page_id, size FROM f ORDER BY size DESC, page_id LIMIT 20")
+def inventory_top20(t):
+    """O1 (a top-k report)."""
+    return inventory.largest(_files(t), 20).select("page_id", "size")
+
+
+@query(_FILES + "SELECT page_id, size FROM (SELECT *, row_number() OVER (PARTITION BY page_id % 4 ORDER BY size DESC, page_id) AS n FROM f) WHERE n <= 20 ORDER BY size DESC, page_id LIMIT 10")
+def inventory_top10_of_sources(t):
+    """The largest over several sources' lists (a top-k report)."""
+    f = _files(t)
+    parts = [inventory.largest(f.where(f"page_id % 4 = {i}"), 20) for i in range(4)]
+    return inventory.largest(parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]), 10).select("page_id", "size")
+
+
+_NAMES = "WITH f AS (SELECT p_partkey, p_size, CASE p_partkey % 6 WHEN 0 THEN p_name || '.TXT' WHEN 1 THEN 'd.x/' || p_name WHEN 2 THEN '.hidden' WHEN 3 THEN p_name || '.tar.gz' WHEN 4 THEN p_name || '.' ELSE '..' || p_name END AS path FROM part) "
+
+
+def _names(t):
+    k, n = F.col("p_partkey") % 6, F.col("p_name")
+    path = F.when(k == 0, F.concat(n, F.lit(".TXT"))).when(k == 1, F.concat(F.lit("d.x/"), n)).when(k == 2, ".hidden").when(k == 3, F.concat(n, F.lit(".tar.gz"))).when(k == 4, F.concat(n, F.lit("."))).otherwise(F.concat(F.lit(".."), n))
+    return t("part").select("p_partkey", F.col("p_size").cast("long").alias("size"), path.alias("path"))
+
+
+@query(_NAMES + r"SELECT CASE WHEN e = '' THEN '(no ext)' ELSE lower(e) END AS ext, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS bytes FROM (SELECT p_size, regexp_extract(path, '^.*[^/.][^/]*?(\.[^./]+)$', 1) AS e FROM f) GROUP BY 1")
+def inventory_by_extension(t):
+    """A9."""
+    return inventory.by_extension(_names(t))
+
+
+@query(_FILES + "SELECT array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS dir, CAST(sum(size) AS BIGINT) AS item_size, count(*) AS contained_files FROM (SELECT path, size, unnest(range(0, len(string_split(path, '/')))) AS i FROM f) GROUP BY 1")
+def dir_rollup(t):
+    """A12."""
+    return inventory.rollup(_files(t))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 16 * 4096 WHEN 4096 THEN 'fifo' WHEN 8192 THEN 'char' WHEN 24576 THEN 'block' WHEN 49152 THEN 'socket' END AS special, o_orderkey % 16 = 10 AS is_link, CAST(o_orderkey % 512 AS INTEGER) AS permissions, (o_totalprice <= 100000 OR o_orderkey % 16 = 10) AS kept FROM orders")
+def stat_rules(t):
+    """F8, F9, X15."""
+    mode = ((F.col("o_orderkey") % 16) * 4096 + F.col("o_orderkey") % 512).cast("int")
+    return t("orders").select("o_orderkey", inventory.special_kind(mode).alias("special"), inventory.is_symlink(mode).alias("is_link"), inventory.permissions(mode).alias("permissions"), inventory.size_rule(F.col("o_totalprice"), inventory.is_symlink(mode), 100_000).alias("kept"))
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_orderkey % 50 AS ino, CAST(l_orderkey % 3 AS INTEGER) AS nlink, l_orderkey || '-' || l_linenumber AS path FROM lineitem WHERE l_linenumber <= 2),
+w AS (SELECT *, first_value(path) OVER (PARTITION BY ino ORDER BY l_orderkey, l_linenumber, path) AS f FROM e) SELECT path, l_orderkey, CASE WHEN nlink > 1 AND ino <> 0 AND f <> path THEN f END AS link_to FROM w""")
+def hardlinks(t):
+    """J11."""
+    e = t("lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 50).alias("ino"), (F.col("l_orderkey") % 3).alias("nlink"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"))
+    return inventory.hardlinks(e, "ino", "nlink", "path", ["l_orderkey", "l_linenumber", "path"]).select("path", "l_orderkey", "link_to")
+
+
+@query("SELECT s_suppkey, CAST(ceil(abs(s_acctbal) * 1.5) AS BIGINT) AS estimate, (s_suppkey % 5 = 0 OR ceil(abs(s_acctbal) * 1.5) <= s_suppkey % 5 * 3000) AS fits, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE greatest(CAST(ceil(abs(s_acctbal) * 1.5) AS BIGINT) - s_suppkey % 5 * 3000, 0) END AS shortfall, CASE WHEN s_suppkey % 5 = 0 THEN 'free space unknown' ELSE '' END AS notes FROM supplier")
+def disk_fit(t):
+    """A25, H15."""
+    return t("supplier").select("s_suppkey", inventory.disk_fit(F.abs("s_acctbal"), F.col("s_suppkey") % 5 * 3000, 0.5).alias("d")).select("s_suppkey", "d.*")
+
+
+_IGNORE = "# comment\n*/en/*\n!*/en/1*\n/m.*/de\nfr/\n*99\n"
+
+
+@query(_FILES + r"""SELECT page_id FROM f WHERE CASE WHEN regexp_full_match(path, '(?:.*/)?.*99', 's') THEN true WHEN regexp_full_match(path, '(?:.*/)?fr', 's') AND page_id % 2 = 0 THEN true
+WHEN regexp_full_match(path, 'm\..*/de', 's') THEN true WHEN regexp_full_match(path, '(?:.*/)?.*/en/1.*', 's') THEN false WHEN regexp_full_match(path, '(?:.*/)?.*/en/.*', 's') THEN true ELSE false END""")
+def gitignore_last_match(t):
+    """F2, F3."""
+    return _files(t).where(paths.gitignore(F.col("path"), F.col("page_id") % 2 == 0, _IGNORE)).select("page_id")
+
+
+@query(_FILES + r"""SELECT page_id FROM f WHERE NOT (regexp_full_match(regexp_extract(path, '[^/]*$'), '[1-3].*', 's') OR regexp_full_match(path, '[1-3].*', 's') OR regexp_full_match(regexp_extract(path, '[^/]*$'), '.*/de/.?.?', 's') OR regexp_full_match(path, '.*/de/.?.?', 's') OR regexp_full_match(path, '.*\.org/es/[0-9]+'))""".replace(".?.?", ".."))
+def exclusion_filter(t):
+    """F1, F5, X13, H3."""
+    return _files(t).where(~paths.excludes(F.col("path"), F.lit(False), ["[1-3]*", "*/de/??"], [r".*\.org/es/[0-9]+"])).select("page_id")
+
+
+@query(_FILES + r"""SELECT page_id FROM f WHERE len(list_filter(range(1, len(string_split(path, '/'))), lambda i: regexp_full_match(array_to_string(list_slice(string_split(path, '/'), 1, i), '/'), '.*/(?:en|fr)'))) > 0""")
+def excluded_directories(t):
+    """a rule on a directory takes all below it."""
+    rule = lambda p, d: p.rlike("^.*/(?:en|fr)$") & d
+    return _files(t).where(paths.pruned(F.col("path"), rule)).select("page_id")
+
+
+_KEPT = "WITH k AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/en' END AS kept FROM pages WHERE page_id % 17 = 0), " + _FILES[5:]
+
+
+@query(_KEPT + "SELECT page_id FROM f WHERE EXISTS (SELECT 1 FROM k WHERE path = kept OR starts_with(path, kept || '/'))")
+def path_filter(t):
+    """F6."""
+    host = F.regexp_extract("url", _URL, 1)
+    kept = t("pages").where("page_id % 17 = 0").select(F.when(F.col("page_id") % 2 == 0, host).otherwise(F.concat(host, F.lit("/en"))).alias("kept"))
+    return paths.path_filter(_files(t), kept).select("page_id")
+
+
+@query(_FILES + "SELECT page_id, (path = 'm.th/en' OR starts_with(path, 'm.th/en/')) AS below, (path = 'm.th/en' OR starts_with(path, 'm.th/en/') OR starts_with('m.th/en', path || '/')) AS walk, list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(list_slice(string_split(path, '/'), i, len(string_split(path, '/'))), '/')) AS tails, string_split(path, '/')[-1] AS name FROM f")
+def path_columns(t):
+    """F6, F7, X19."""
+    p = F.col("path")
+    return _files(t).select("page_id", paths.at_or_below(p, F.lit("m.th/en")).alias("below"), paths.descend(p, F.lit("m.th/en")).alias("walk"), paths.suffixes(p).alias("tails"), paths.basename(p).alias("name"))
+
+
+@query("""SELECT doc_id, substr(sha256(text), 1, 2) AS shard, substr(sha256(text), 3) AS name, lpad(CAST((doc_id * 12345678) // 10000000 AS VARCHAR), 5, '0') || '/' || lpad(CAST((doc_id * 12345678) % 10000000 AS VARCHAR), 7, '0') AS record_path,
+replace(replace('/home/me/x ' || source || ' /home/me', '/home/me/x', '<X>'), '/home/me', '<HOME>') AS scrubbed, CASE doc_id % 3 WHEN 0 THEN '/a' WHEN 1 THEN '/vol/a' ELSE 'plain' END AS resolved FROM documents WHERE text IS NOT NULL""")
+def path_scalars(t):
+    """X6, X7, X8, X12, X20."""
+    d, k = t("documents").where("text is not null"), F.col("doc_id") % 3
+    s = paths.shard(F.sha2("text", 256))
+    mount = F.when(k == 0, "/:/a").when(k == 1, "/vol/:a").otherwise("plain")
+    return d.select("doc_id", s["shard"].alias("shard"), s["name"].alias("name"), paths.record_path(F.col("doc_id") * 12345678).alias("record_path"),
+                    paths.scrub(F.concat(F.lit("/home/me/x "), F.col("source"), F.lit(" /home/me")), [("/home/me", "<HOME>"), ("/home/me/x", "<X>")]).alias("scrubbed"), paths.resolve_mount(mount).alias("resolved"))
+
+
+@query("""WITH taken AS (SELECT s_name AS n FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT s_name || '.restored-1' FROM supplier WHERE s_suppkey % 4 = 0 UNION SELECT s_name || '.restored-2' FROM supplier WHERE s_suppkey % 8 = 0)
+SELECT s_name AS name, CASE WHEN s_suppkey % 8 = 0 THEN s_name || '.restored-3' WHEN s_suppkey % 4 = 0 THEN s_name || '.restored-2' WHEN s_suppkey % 2 = 0 THEN s_name || '.restored-1' ELSE s_name END AS target FROM supplier""")
+def conflict_rename(t):
+    """X18."""
+    s = t("supplier")
+    tail = lambda k, x: s.where(f"s_suppkey % {k} = 0").select(F.concat("s_name", F.lit(x)).alias("name"))
+    return paths.free_name(s.select(F.col("s_name").alias("name")), tail(2, "").unionAll(tail(4, ".restored-1")).unionAll(tail(8, ".restored-2")))
+
+
+# --- graph ----------------------------------------------------------------------------------------------------------
+
+
+def _edges(t):
+    """region > nation > customer > order, by prefixed ids and names."""
+    n = t("nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.col("n_name").alias("name"))
+    c = t("customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("child"), F.col("c_name").alias("name"))
+    o = t("orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("child"), F.col("o_orderkey").cast("string").alias("name"))
+    return n.unionAll(c).unionAll(o)
+
+
+def _roots(t):
+    return t("region").select(F.col("r_name").alias("root"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+
+
+_FLAT = """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child, n_name AS name FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_name FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders),
+w AS (SELECT r_name AS root, 'r' || r_regionkey AS node, '' AS path, 0 AS depth FROM region UNION ALL SELECT w.root, e.child, CASE WHEN w.path = '' THEN e.name ELSE w.path || '/' || e.name END, w.depth + 1 FROM w JOIN e ON w.node = e.parent) """
+
+
+@query(_FLAT + "SELECT root, node, depth FROM w")
+def tree_reachability(t):
+    """G1, G2."""
+    return graph.reachable(_edges(t), _roots(t))
+
+
+@query(_FLAT + "SELECT root, path, node, depth FROM w")
+def tree_paths(t):
+    """G6, G9."""
+    return graph.flatten(_edges(t), _roots(t))
+
+
+@query(_FLAT + "SELECT root, path, node FROM w WHERE path = '' OR starts_with(path, (SELECT n_name FROM nation WHERE n_nationkey = 7)) AND (path = (SELECT n_name FROM nation WHERE n_nationkey = 7) OR starts_with(path, (SELECT n_name FROM nation WHERE n_nationkey = 7) || '/'))")
+def tree_paths_pruned(t):
+    """The frontier is pruned before it grows."""
+    kept = t("nation").where("n_nationkey = 7").first()["n_name"]
+    return graph.flatten(_edges(t), _roots(t), descend=lambda p: paths.descend(p, F.lit(kept))).select("root", "path", "node")
+
+
+_RATES = "count(*) AS nodes, round(avg(CASE WHEN length(path) % 2 = 0 THEN 1.0 ELSE 0.0 END) * 100, 4) AS zero_pct, round(avg(CASE WHEN node LIKE '%1%' THEN 1.0 ELSE 0.0 END) * 100, 4) AS match_pct"
+
+
+@query(_FLAT + f"SELECT depth, {_RATES} FROM w GROUP BY depth UNION ALL SELECT -1, {_RATES} FROM w")
+def depth_table(t):
+    """A16, G7."""
+    return graph.depth_table(graph.flatten(_edges(t), _roots(t)), F.length("path") % 2 == 0, F.col("node").like("%1%"))
+
+
+@query("SELECT node FROM (SELECT unnest(['x', 'y', 'z', 'd']) AS node)")
+def cycle_nodes(t):
+    """The hierarchy has no cycle; a planted x>y>z>x, and a node d that hangs below it, stay."""
+    planted = t.spark.createDataFrame([("x", "y", ""), ("y", "z", ""), ("z", "x", ""), ("z", "d", ""), ("r0", "x", "")], "parent string, child string, name string")
+    return graph.cyclic_nodes(_edges(t).unionAll(planted))
+
+
+_REFS = """refs AS (SELECT 'o' || l_orderkey AS owner, CAST(l_partkey AS VARCHAR) AS blob_id, 's' || l_suppkey AS rel_path, l_linenumber AS offset, CAST(l_quantity AS BIGINT) AS length, l_suppkey % 3 <> 0 AS is_packed FROM lineitem),
+live AS (SELECT 'c' || c_custkey AS c FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)), ord AS (SELECT 'o' || o_orderkey AS owner FROM orders WHERE 'c' || o_custkey IN (SELECT c FROM live)) """
+
+
+def _refs(t):
+    return t("lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("owner"), F.col("l_partkey").cast("string").alias("blob_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("rel_path"), F.col("l_linenumber").alias("offset"), F.col("l_quantity").cast("long").alias("length"), (F.col("l_suppkey") % 3 != 0).alias("is_packed"))
+
+
+def _reached(t):
+    return graph.reachable(_edges(t), _roots(t).where("node = 'r2'"))
+
+
+@query("WITH " + _REFS + "SELECT DISTINCT rel_path FROM refs WHERE is_packed AND owner IN (SELECT owner FROM ord)")
+def live_pack_paths(t):
+    """G3."""
+    return graph.live_paths(_reached(t), _refs(t))
+
+
+@query("WITH " + _REFS + "SELECT blob_id, rel_path, \"offset\", length FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY rel_path, \"offset\", length) AS n FROM refs WHERE owner IN (SELECT owner FROM ord)) WHERE n = 1")
+def harvested_locations(t):
+    """G4."""
+    return graph.harvest(_reached(t), _refs(t))
+
+
+@query("WITH " + _REFS + "SELECT DISTINCT blob_id, CASE WHEN p_partkey IS NULL THEN 'missing' WHEN p_size % 10 <> 0 THEN 'ok' ELSE 'corrupt' END AS status FROM refs LEFT JOIN (SELECT * FROM part WHERE p_partkey % 13 <> 0) ON blob_id = CAST(p_partkey AS VARCHAR) WHERE owner IN (SELECT owner FROM ord)")
+def record_validation(t):
+    """G5, H14, X1 as a flag."""
+    stored = t("part").where("p_partkey % 13 <> 0").select(F.col("p_partkey").cast("string").alias("blob_id"), (F.col("p_size") % 10 != 0).alias("ok"))
+    return graph.validation_walk(_reached(t), _refs(t), stored)
+
+
+# --- runs and activities --------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(value * 100) AS BIGINT) AS v FROM events), r AS (SELECT *, sum(v) OVER (PARTITION BY user_id ORDER BY s, event_id) AS total FROM e),
+w AS (SELECT user_id, event_id, total, s, min(s) OVER x AS t0, min(total) OVER x AS b0 FROM r WINDOW x AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))
+SELECT event_id, user_id, CAST(total AS BIGINT) AS total, round((total - b0) / nullif(s - t0, 0), 6) AS rate FROM w""")
+def run_throughput(t):
+    """W3, with a window of a day, as the events of a run lie hours apart."""
+    e = t("events").select("user_id", "event_id", F.floor(F.unix_micros("ts") / 1_000_000).cast("long").alias("s"), F.floor(F.col("value") * 100).cast("long").alias("v"))
+    e = e.withColumn("total", F.sum("v").over(Window.partitionBy("user_id").orderBy("s", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.throughput(e, "user_id", "s", "total", 86_400).select("event_id", "user_id", "total", "rate")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 50")
+def event_tail_50(t):
+    """W8."""
+    return runs.tail(t("events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 50).select("user_id", "event_id")
+
+
+@query("""SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT event_type) AS kinds, arg_max(event_type, (ts, event_id)) AS last_kind,
+CASE WHEN arg_max(event_type, (ts, event_id)) IN ('purchase', 'signup') THEN 'completed' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'degraded' ELSE 'running' END AS status FROM events GROUP BY user_id""")
+def run_progress(t):
+    """T3 in batch."""
+    return runs.fold(t("events"), "user_id", "event_type", ["ts", "event_id"], ["purchase", "signup"])
+
+
+@query("""WITH e AS (SELECT user_id, event_type = 'error' AS hit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS r2 FROM events)
+SELECT user_id, CAST(rn - r2 AS BIGINT) AS island, count(*) AS streak, min(rn) AS first_row FROM e WHERE hit GROUP BY user_id, rn - r2""")
+def failure_streaks(t):
+    """S6."""
+    return runs.streaks(t("events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").withColumn("island", F.col("island").cast("long"))
+
+
+_ACT = "WITH a AS (SELECT event_id, ts AS created, CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL 2 HOUR END AS finished, event_id % 7 = 0 AS aborted, event_type = 'error' AS err, event_id % 50 AS done, CASE WHEN event_id % 5 <> 0 THEN event_id % 40 END AS total FROM events), b AS (SELECT *, finished IS NULL AND NOT aborted AS running FROM a) "
+
+
+def _activities(t):
+    e = t("events").select("event_id", F.col("ts").alias("created"), F.when(F.col("event_id") % 4 != 0, F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("finished"), (F.col("event_id") % 7 == 0).alias("aborted"), (F.col("event_type") == "error").cast("int").alias("errors"), (F.col("event_id") % 50).alias("done"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 40).alias("total"))
+    e = e.withColumn("running", runs.is_running(F.col("finished"), F.col("aborted")))
+    return e.withColumn("status", runs.status(F.col("running"), F.col("aborted"), F.col("errors")))
+
+
+_STATUS = "CASE WHEN running THEN 'running' WHEN aborted THEN 'cancelled' WHEN err THEN 'failed' ELSE 'completed' END"
+
+
+@query(_ACT + f"SELECT event_id, {_STATUS} AS status, round(greatest(0.0, least(1.0, CAST(done AS DOUBLE) / nullif(total, 0))), 6) AS fraction FROM b".replace("greatest(0.0, least(1.0, CAST(done AS DOUBLE) / nullif(total, 0)))", "CASE WHEN nullif(total, 0) IS NOT NULL THEN least(1.0, done / total) END"))
+def status_derivation(t):
+    """F14, F15."""
+    return _activities(t).select("event_id", "status", F.round(F.when(F.col("total") > 0, runs.progress(F.col("done"), F.col("total"))), 6).alias("fraction"))
+
+
+@query(_ACT + f"SELECT CASE {_STATUS} WHEN 'running' THEN 'in_progress' WHEN 'completed' THEN 'ok' ELSE 'attention' END AS category, count(*) AS n FROM b WHERE coalesce(finished, created) >= timestamp '2024-01-29' - INTERVAL 24 HOUR GROUP BY 1")
+def recent_activity(t):
+    """F13, A22, F18."""
+    a = _activities(t)
+    return runs.categories(a.where(runs.recent(F.col("finished"), F.col("created"), F.lit("2024-01-29").cast("timestamp"))), "status")
+
+
+@query("SELECT user_id, count(*) AS records, min(d) AS first_date, max(d) AS last_date FROM (SELECT user_id, nullif(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id END, 0) AS d FROM events) GROUP BY user_id")
+def destination_spans(t):
+    """A23."""
+    return runs.span(t("events").withColumn("d", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id"))), ["user_id"], "d")
+
+
+@query("SELECT user_id, count(*) FILTER (value < 95) = count(*) AS all_ok, count(*) FILTER (value < 95) < count(*) AS any_failed, count(*) FILTER (value < 95) || '/' || count(*) || ' passed' AS summary FROM events GROUP BY user_id")
+def compliance_summary(t):
+    """A13, A24, V2."""
+    return runs.all_ok(t("events"), F.col("value") < 95, ["user_id"])
+
+
+@query("""SELECT o_orderkey, (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS duration, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE strftime(make_timestamp(CAST(o_orderkey % 9 * 100000000 * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') END AS iso,
+least(2.0 * pow(2, o_orderkey % 12), 300.0) AS wait, CASE WHEN o_orderkey % 4 = 0 THEN 3 WHEN o_orderkey % 4 = 1 THEN 2 WHEN o_orderkey % 4 = 2 THEN 4 ELSE 0 END AS code FROM (SELECT *, CAST(greatest(round_even(o_totalprice / 4 - 100, 0), 0) AS BIGINT) AS s FROM orders)""")
+def scalar_reports(t):
+    """X10, X11, X21, X23."""
+    k = F.col("o_orderkey")
+    return t("orders").select("o_orderkey", runs.duration(F.col("o_totalprice") / 4 - 100).alias("duration"), runs.iso(k % 9 * 100_000_000).alias("iso"), runs.backoff(k % 12 + 1).alias("wait"),
+                              runs.exit_code(F.when(k % 4 == 0, "x"), k % 4 != 1, k % 4 == 2).alias("code"))
+
+
+@query("SELECT event_id, status FROM (SELECT event_id, ts, CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'stale' WHEN event_type = 'click' THEN 'running' WHEN event_type = 'view' THEN 'paused' ELSE 'completed' END AS status FROM events) WHERE status NOT IN ('completed', 'stale') OR ts >= timestamp '2024-01-31' - INTERVAL 14 DAY")
+def stale_runs(t):
+    """T5, H13."""
+    s = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "paused").otherwise("completed")
+    r = t("events").select("event_id", s.alias("status"), F.col("ts").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))
+    return runs.stale(r, F.col("event_id") % 3 != 0, F.lit("2024-01-31").cast("timestamp"), 14).select("event_id", "status")
+
+
+# --- mirror ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.page') AS VARCHAR) AS page FROM events WHERE json_extract_string(props, '$.page') IS NOT NULL")
+def decoded_documents(t):
+    """Documents without the field are dropped."""
+    return mirror.decoded(t("events").select("event_id", "props"), "props", "page string", "page").select("event_id", "doc.page")
+
+
+@query("SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON c_nationkey = n_nationkey WHERE c_acctbal > 0")
+def plan_join(t):
+    """Q2, J9."""
+    n = t("nation").where("n_regionkey <> 1")
+    c = t("customer").where("c_acctbal > 0")
+    return mirror.with_parent(c, n, c.c_nationkey == n.n_nationkey).select("c_custkey", "c_name", "n_name")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
+def activities_newest(t):
+    """Q3 (a top-k report)."""
+    return t("orders").where("o_orderstatus = 'O'").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(25).select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+
+
+@query("SELECT c_custkey AS k, 'own' AS origin FROM customer WHERE c_nationkey < 10 UNION ALL SELECT c_custkey, 'mirror' FROM customer WHERE c_nationkey >= 10 AND c_custkey % 2 = 0")
+def merge_own_wins(t):
+    """J10."""
+    c = t("customer")
+    own = c.where("c_nationkey < 10").select(F.col("c_custkey").alias("k"), F.lit("own").alias("origin"))
+    return mirror.own_wins(own, c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit("mirror").alias("origin")), "k")
+
+
+@query("""WITH w AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN substr(sha256(s_name), 1, 5) WHEN 2 THEN sha256(s_name) ELSE substr(sha256(s_name), 1, 1) END AS wanted FROM supplier), p AS (SELECT sha256(s_name) AS id, s_name AS name FROM supplier),
+h AS (SELECT wanted, id, 1 AS r FROM w JOIN p ON wanted = id UNION ALL SELECT wanted, id, 2 FROM w JOIN p ON wanted = name UNION ALL SELECT wanted, id, 3 FROM w JOIN p ON length(id) > length(wanted) AND starts_with(id, wanted)),
+b AS (SELECT wanted, arg_min(i, r) AS i, arg_min(n, r) AS n FROM (SELECT wanted, r, count(*) AS n, min(id) AS i FROM h GROUP BY 1, 2) GROUP BY 1) SELECT w.wanted, CASE WHEN n = 1 THEN i END AS plan_id FROM w LEFT JOIN b USING (wanted)""")
+def plan_resolution(t):
+    """F16."""
+    s, k, h = t("supplier"), F.col("s_suppkey") % 4, F.sha2("s_name", 256)
+    wanted = F.when(k == 0, F.col("s_name")).when(k == 1, F.substring(h, 1, 5)).when(k == 2, h).otherwise(F.substring(h, 1, 1))
+    return mirror.resolve(s.select(wanted.alias("wanted")), s.select(h.alias("id"), F.col("s_name").alias("name")))
+
+
+@query("SELECT c_custkey, CASE WHEN a = '' OR b IS NULL THEN 'unknown' WHEN a = b THEN 'match' ELSE 'differ' END AS verdict FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS a, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'OTHER' ELSE c_mktsegment END AS b FROM customer)")
+def three_valued_compare(t):
+    """F17, S28."""
+    k, m = F.col("c_custkey"), F.col("c_mktsegment")
+    return t("customer").select("c_custkey", mirror.compared(F.when(k % 5 == 0, "").otherwise(m), F.when(k % 7 == 0, None).when(k % 3 == 0, "OTHER").otherwise(m)).alias("verdict"))
+
+
+@query("SELECT user_id, max(event_id) AS last_touch FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 32")
+def recently_used(t):
+    """O4 (a capped list)."""
+    return mirror.recent_first(t("events"), "user_id", "event_id")
+
+
+@query("SELECT * FROM (VALUES ('o_orderpriority', 'string', 'removed'), ('o_custkey', 'bigint', 'removed'), ('o_custkey', 'string', 'added'), ('extra', 'int', 'added')) v(name, type, change)")
+def schema_drift(t):
+    """Q5, J17, U4."""
+    o = table(t.spark, t.sf_dir, "orders")
+    return mirror.drift(mirror.columns_of(o), mirror.columns_of(o.drop("o_orderpriority").withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumn("extra", F.lit(1))))
+
+
+@query("SELECT 0 AS region, ['d'] AS missing, ['x', 'y'] AS extra")
+def key_difference(t):
+    """U4."""
+    d = diff.key_difference(F.array(*map(F.lit, "abcd")), F.array(*map(F.lit, "yxcba")))
+    return t("region").where("r_regionkey = 0").select(F.col("r_regionkey").alias("region"), d["missing"].alias("missing"), d["extra"].alias("extra"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 8 <> 0)")
+def dangling_references(t):
+    """Q6."""
+    return mirror.dangling(t("lineitem").select("l_orderkey", "l_linenumber"), t("orders").where("o_custkey % 8 <> 0"), "l_orderkey", "o_orderkey")
+
+
+@query("SELECT p_partkey, coalesce(a.v, b.v, c.v) AS v FROM part LEFT JOIN (SELECT l_partkey AS k, min(l_suppkey) AS v FROM lineitem WHERE l_quantity > 48 GROUP BY 1) a ON a.k = p_partkey LEFT JOIN (SELECT l_partkey AS k, min(l_suppkey) AS v FROM lineitem WHERE l_quantity < 3 GROUP BY 1) b ON b.k = p_partkey LEFT JOIN (SELECT l_partkey AS k, min(l_suppkey) AS v FROM lineitem WHERE l_tax > 0.05 GROUP BY 1) c ON c.k = p_partkey")
+def lookup_fallbacks(t):
+    """J16."""
+    li = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("v"), "l_quantity", "l_tax")
+    return mirror.first_found(t("part").select("p_partkey"), [li.where("l_quantity > 48"), li.where("l_quantity < 3"), li.where("l_tax > 0.05")], "p_partkey", "v")
+
+
+@query("SELECT c_nationkey, CASE WHEN count(*) FILTER (s = 'FAIL') > 0 THEN 'FAIL (' || count(*) FILTER (s = 'FAIL') || '/' || count(*) || ')' WHEN count(*) FILTER (s = 'PASS_NORM') > 0 THEN 'PASS*' ELSE 'PASS' END AS verdict FROM (SELECT c_nationkey, CASE WHEN c_custkey % 97 = 0 THEN 'FAIL' WHEN c_custkey % 31 = 0 THEN 'PASS_NORM' ELSE 'PASS' END AS s FROM customer) GROUP BY 1")
+def scenario_rollup(t):
+    """A26."""
+    k = F.col("c_custkey")
+    return mirror.verdict(t("customer").withColumn("status", F.when(k % 97 == 0, "FAIL").when(k % 31 == 0, "PASS_NORM").otherwise("PASS")), ["c_nationkey"])
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN regexp_matches(o_orderpriority, 'URGENT|HIGH') THEN 'fix' WHEN regexp_matches(o_orderpriority, '^[34]') THEN 'feature' ELSE 'other' END AS category, CASE WHEN regexp_matches(o_orderpriority, 'URGENT|HIGH') THEN 0 WHEN regexp_matches(o_orderpriority, '^[34]') THEN 1 ELSE 2 END AS category_rank, count(*) AS n FROM orders GROUP BY 1, 2, 3")
+def changelog_months(t):
+    """A27."""
+    return mirror.by_month(t("orders"), F.col("o_orderdate"), F.col("o_orderpriority"), [("fix", "URGENT|HIGH"), ("feature", "^[34]")])
+
+
+@query("SELECT n_regionkey, list_sort(list_distinct(list(c_mktsegment))) AS excludes FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0 GROUP BY 1")
+def merged_folder_rules(t):
+    """Lists in a map of folders, merged."""
+    c = t("customer").where("c_custkey % 3 = 0").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("excludes"))
+    p = c.join(t("nation"), c.c_nationkey == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_name"), F.struct("excludes")))).alias("folders"))
+    return mirror.merged_lists(p, "folders", "excludes").select("n_regionkey", "excludes")
+
+
+@query("SELECT conv_id, trim(substr(text, 2)) AS name, nxt AS entry FROM (SELECT conv_id, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE starts_with(text, 'T') AND nxt IS NOT NULL")
+def managed_entries(t):
+    """X24."""
+    return mirror.managed_entries(t("conversations"), "T", "conv_id", "turn", "text")
+
+
+@query("SELECT c_custkey AS path, CASE WHEN c_custkey % 10 = 0 THEN 'FAIL' WHEN c_custkey % 4 = 0 THEN 'PASS_NORM' ELSE 'PASS' END AS status FROM (SELECT 'é' || c_custkey AS c_custkey2, * FROM customer)".replace("c_custkey AS path", "'é' || c_custkey AS path"))
+def directory_compare(t):
+    """Composed against decomposed names."""
+    c = t("customer").select("c_custkey")
+    name = lambda x: F.concat(F.lit(x), F.col("c_custkey").cast("string"))
+    k = F.col("c_custkey")
+    got = c.select(F.when(k % 4 == 0, name("é")).otherwise(name("é")).alias("path"), F.when(k % 10 == 0, "bad").otherwise(F.sha2(k.cast("string"), 256)).alias("digest"))
+    return mirror.directory_compare(c.select(name("é").alias("path"), F.sha2(k.cast("string"), 256).alias("digest")), got)
+
+
+# --- statistics -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(v) AS n, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END) * 100, 4) AS match_pct, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS stdev, count(*) FILTER (abs(v) <= 3) AS within FROM (SELECT event_type, CAST(event_id % 19 - 9 AS DOUBLE) AS v FROM events) GROUP BY 1")
+def residual_stats(t):
+    """A17."""
+    return stats.residuals(t("events"), F.col("event_id") % 19 - 9, ["event_type"], 3)
+
+
+@query("SELECT user_id, min(event_id) AS lo, max(event_id) AS hi, max(event_id) - min(event_id) AS spread, round(avg(event_id), 4) AS mean, round(stddev_samp(event_id), 4) AS stdev FROM events GROUP BY 1")
+def record_spread(t):
+    """A18."""
+    return stats.spread(t("events"), "event_id", ["user_id"])
+
+
+@query("SELECT CAST(least(9, floor(value / 10)) AS INTEGER) AS bucket, count(*) AS n FROM events GROUP BY 1")
+def value_histogram(t):
+    """A18."""
+    return stats.histogram(t("events"), F.col("value"), 10)
+
+
+@query("SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) - event_id AS gap FROM events")
+def gap_stats(t):
+    """W4."""
+    return stats.gaps(t("events"), ["user_id"], ["ts", "event_id"], "event_id").select("event_id", "gap")
+
+
+@query("SELECT user_id, bool_and(coalesce(g >= 0, true)) AS monotone FROM (SELECT user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) - event_id AS g FROM events) GROUP BY 1")
+def monotone(t):
+    """W5."""
+    return stats.monotone(t("events"), ["user_id"], ["ts", "event_id"], "event_id")
+
+
+@query("WITH s AS (SELECT list_sort(list(n_chars)) AS l, count(*) AS n FROM documents WHERE n_chars IS NOT NULL) SELECT l[1 + CAST(floor(n * 0.05) AS BIGINT)] AS p5, l[1 + CAST(floor(n * 0.5) AS BIGINT)] AS p50, l[1 + least(n - 1, CAST(floor(n * 0.995) AS BIGINT))] AS p995, CAST(pow(2, floor(log2(l[1 + CAST(floor(n * 0.5) AS BIGINT)]))) AS BIGINT) AS pow2 FROM s")
+def positional_percentiles(t):
+    """A19, H18."""
+    return stats.positional(t("documents"), "n_chars", {"p5": 0.05, "p50": 0.5, "p995": 0.995}).withColumn("pow2", stats.power_of_two(F.col("p50")))
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def top_names(t):
+    """A15, O2, O3 (a top-k report)."""
+    return stats.distribution(t("part"), "p_brand", 20)
+
+
+@query("SELECT text, count(*) AS occurrences, min(doc_id) AS example FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def identical_blocks(t):
+    """A30 (a top-k report)."""
+    return stats.identical(t("documents"), "text", "doc_id")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(median(l_quantity), 4) AS median FROM lineitem GROUP BY 1, 2")
+def burst_stats(t):
+    """A20."""
+    return stats.bursts(t("lineitem"), "l_linestatus", "l_quantity", ["l_returnflag"])
+
+
+@query("WITH c AS (SELECT p_brand, p_size, count(*) AS c FROM part GROUP BY 1, 2), n AS (SELECT p_brand, sum(c) AS n, count(*) AS d FROM c GROUP BY 1) SELECT c.p_brand, max(d) AS \"distinct\", round(-sum(c / n * log2(c / n)), 6) AS entropy FROM c JOIN n USING (p_brand) GROUP BY 1")
+def window_entropy(t):
+    """A21."""
+    return stats.entropy(t("part"), "p_brand", "p_size")
+
+
+@query("SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a, events b WHERE a.event_type = 'error' AND b.event_type = 'signup' AND abs(a.event_id - b.event_id) <= 6 AND abs(a.event_id - 5000) <= 4000")
+def range_join(t):
+    """J12, F19."""
+    e = t("events")
+    a = e.where("event_type = 'error'").where(stats.near(F.col("event_id"), 5000, 4000)).select(F.col("event_id").alias("a_id"))
+    return stats.near_pairs(a, e.where("event_type = 'signup'").select(F.col("event_id").alias("b_id")), "a_id", "b_id", 6)
+
+
+@query("SELECT l_shipmode, count(*) AS files, CAST(sum(l_quantity) AS BIGINT) AS bytes, count(*) FILTER (l_discount < 0.08) AS ok_files, count(*) FILTER (l_discount >= 0.08) AS failed FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1")
+def audit_partial_final(t):
+    """A4, A5, A6."""
+    li = t("lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("l_shipmode"), F.col("l_quantity").alias("size"), (F.col("l_discount") < 0.08).alias("ok"))
+    return stats.audit_totals(li, ["l_shipmode"])
+
+
+@query("SELECT event_type, count(*) AS failures, count(DISTINCT user_id) AS blobs FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value > 50) GROUP BY 1")
+def audit_failures_dedup(t):
+    """A7, H7."""
+    return stats.failures_once(t("events").where("value > 50"), "user_id", "event_type")
+
+
+@query("SELECT s.s_nationkey AS cu, p_brand AS family, count(*) AS objects, CAST(sum(p_size) AS BIGINT) AS bytes, any_value(n_regionkey) < 3 AS has_keyset, NOT (any_value(n_regionkey) < 3) AS missing_keyset FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s.s_nationkey WHERE l_quantity > 40 GROUP BY 1, 2")
+def layout_totals(t):
+    """A3, V1."""
+    li = t("lineitem").where("l_quantity > 40")
+    o = li.join(t("part"), li.l_partkey == F.col("p_partkey")).join(t("supplier"), li.l_suppkey == F.col("s_suppkey")).select(F.col("s_nationkey").alias("cu"), F.col("p_brand").alias("family"), F.col("p_size").alias("size"))
+    return stats.layout_totals(o, t("nation").select(F.col("n_nationkey").alias("cu"), (F.col("n_regionkey") < 3).alias("has_keyset")))
+
+
+@query("""SELECT * FROM (SELECT 'O1' AS id, 'priced' AS name, count(*) AS rows, count(*) FILTER (NOT o_totalprice > 1000) AS violations, count(*) FILTER (NOT o_totalprice > 1000) = 0 AS passed FROM orders UNION ALL SELECT 'O2', 'dated', count(*), count(*) FILTER (o_orderdate IS NULL), count(*) FILTER (o_orderdate IS NULL) = 0 FROM orders
+UNION ALL SELECT 'C1', 'segment known', count(*), count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY')), count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) = 0 FROM customer)""")
+def rule_table(t):
+    """V2: invariants as data."""
+    rules = [validate.Rule("O1", "priced", "orders", F.col("o_totalprice") > 1000), validate.Rule("O2", "dated", "orders", F.col("o_orderdate").isNotNull()), validate.Rule("C1", "segment known", "customer", F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))]
+    return validate.check_rules({"orders": t("orders"), "customer": t("customer")}, rules)
+
+
+@query("SELECT count(*) AS expected, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 7 <> 0) AS matching, count(*) FILTER (p_partkey % 9 = 0) AS missing, 0 AS extra, CAST(sum(CASE WHEN p_partkey % 9 = 0 THEN 0 WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END) AS BIGINT) AS bytes, false AS ok FROM part")
+def restore_verification(t):
+    """P11, H12, A11."""
+    p = t("part").select(F.col("p_partkey").alias("path"), F.col("p_size").cast("long").alias("size"))
+    got = p.where("path % 9 <> 0").withColumn("size", F.when(F.col("path") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return validate.restored(p, got)
+
+
+# --- ingest ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS ordinal, i * 700 AS \"offset\", substr(text, CAST(i * 700 + 1 AS INTEGER), 700) AS chunk FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 699) // 700)) AS i FROM documents WHERE length(text) > 0)")
+def fixed_chunks(t):
+    """P2, W7."""
+    return ingest.fixed_chunks(t("documents"), "doc_id", "text", 700)
+
+
+@query("""WITH k AS (SELECT sha256(text) AS b FROM documents WHERE source = 'src1'), x AS (SELECT sha256(text) AS blob_id, length(text) AS l, lang = 'de' AS tree FROM documents WHERE text IS NOT NULL)
+SELECT blob_id, CAST(min(l) AS BIGINT) AS length, bool_or(tree) AS is_tree, CASE WHEN bool_or(tree) THEN 'treepacks' WHEN min(l) > 256000 THEN 'largeblobpacks' ELSE 'blobpacks' END AS family FROM x WHERE blob_id NOT IN (SELECT b FROM k WHERE b IS NOT NULL) GROUP BY 1""")
+def new_blobs(t):
+    """P4, X6."""
+    d = t("documents").where("text is not null")
+    x = d.select(F.sha2("text", 256).alias("blob_id"), F.length("text").cast("long").alias("length"), (F.col("lang") == "de").alias("is_tree"))
+    return ingest.new_blobs(x, d.where("source = 'src1'").select(F.sha2("text", 256).alias("blob_id")))
+
+
+@query("""WITH RECURSIVE f AS (SELECT c_nationkey AS g, c_custkey AS b, CAST(100 + c_custkey * 37 % 900 AS BIGINT) AS l, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
+p AS (SELECT g, b, l, n, 0 AS pack, CAST(0 AS BIGINT) AS o FROM f WHERE n = 1 UNION ALL SELECT f.g, f.b, f.l, f.n, CASE WHEN p.o + p.l + f.l > 2000 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.o + p.l + f.l > 2000 THEN 0 ELSE p.o + p.l END FROM p JOIN f ON f.g = p.g AND f.n = p.n + 1)
+SELECT g AS c_nationkey, b AS c_custkey, pack, o AS "offset", l AS length FROM p""")
+def pack_greedy(t):
+    """P5, W6."""
+    c = t("customer").select("c_nationkey", "c_custkey", (100 + F.col("c_custkey") * 37 % 900).cast("long").alias("length"))
+    return ingest.pack_greedy(c, ["c_nationkey"], ["c_custkey"], "c_custkey", "length", 2000)
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(l_quantity AS BIGINT) AS BIGINT) AS \"offset\" FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)")
+def pack_offsets(t):
+    """W6."""
+    li = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("long").alias("length"))
+    return ingest.pack_offsets(li, ["l_orderkey"], "l_linenumber", "length").select("l_orderkey", "l_linenumber", "offset")
+
+
+@query()
+def cdc_chunks(t):
+    """Content-defined chunks of the documents; tests hold them to a plain loop."""
+    import random
+
+    r = random.Random(1)
+    chunker = ingest.Buzhash(tuple(r.getrandbits(32) for _ in range(256)), window=48, bits=9, least=256, most=4096)
+    d = t("documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    chunks = ingest.defined_chunks(d, "doc_id", "content", chunker)
+    return chunks.select("doc_id", "ordinal", "offset", F.sha2("chunk", 256).alias("blob_id"), F.octet_length("chunk").alias("length"))
+
+
+@query()
+def document_shapes(t):
+    """The shapes of the events' documents; tests hold them to goldens."""
+    return skeleton.fingerprint(skeleton.shapes(t("events"), "event_id", "props"))
