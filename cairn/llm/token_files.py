@@ -37,8 +37,8 @@ from cairn.llm.common import NOT_SPACE, blocks, column_bytes, materialize, scrat
 END_ID = 2
 BLOCK, KEEP = 1024, 0.95
 SHARD_IDS = 1 << 20
-#: Distinct words that a worker remembers.
-CACHE = 400_000
+#: Distinct words that a worker remembers, and with them their pieces.
+CACHE = 300_000
 _LANES, _ROWS = 32, 32
 
 # The splitter of the tokenizer file, for lower-case ASCII and Latin-1 letters.
@@ -61,6 +61,7 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters, self.known = self.tokenizer.model, _byte_letters(), {}
+        self.pieces: dict[str, list[int]] = {}
         self.direct = self._restated()
 
     def _restated(self) -> bool:
@@ -83,14 +84,17 @@ class WordCoder:
             return None
         ids: list[int] = []
         for piece in _SPLIT.findall(text.lower()):
-            if not piece.isascii() or not piece.isprintable():
-                piece = "".join(self.letters[b] for b in piece.encode())
-            ids += [t.id for t in self.model.tokenize(piece)]
+            found = self.pieces.get(piece)
+            if found is None:
+                plain = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+                found = self.pieces[piece] = [t.id for t in self.model.tokenize(plain)]
+            ids += found
         return ids
 
     def encode(self, raws: list[bytes]) -> list[list[int]]:
         if len(self.known) > CACHE:
             self.known.clear()
+            self.pieces.clear()
         known, hard, out = self.known, [], []
         for k, raw in enumerate(raws):
             ids = known.get(raw)
@@ -287,6 +291,8 @@ def read(shards: DataFrame) -> DataFrame:
     within = Window.partitionBy("part").orderBy("seq")
     starts = shards.select("part", "seq", (F.sum("ids").over(within) - F.col("ids")).alias("before"))
     starts = starts.join(runs, "part").select("part", "seq", (F.col("before") + F.col("run_start")).alias("start"))
+    # A table of known size: while it is small the planner broadcasts it, and the images are not shuffled.
+    starts = materialize(starts, "starts")
     placed = shards.select("part", "seq", "image").join(starts, ["part", "seq"]).select("start", "image")
 
     def run(batches):
