@@ -111,11 +111,13 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     hits = rows.join(shared, "digest").select("digest", "norm", (F.col("rank") == F.col("best")).alias("held"))
     hits = materialize(hits, "hits", state_dir)
     held = hits.where("held").select("digest", F.col("norm").alias("bytes"))
-    differ = hits.where("not held").join(held, "digest").where(F.col("norm") != F.col("bytes")).select("digest").distinct()
+    # No aggregation above this join, so that AQE can split the rows of a digest with many.
+    differ = hits.where("not held").join(held, "digest").where(F.col("norm") != F.col("bytes")).select("digest")
     differ = materialize(differ, "differ", state_dir)
 
     out = rows.select("doc_id", "text_sha256", "digest", "rank").join(state, "digest")
     if not differ.isEmpty():
+        differ = differ.distinct()
         again = rows.join(differ, "digest").select("doc_id", "text_sha256", "digest", "rank", "norm")
         groups = again.groupBy("digest", "norm").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("group_size"))
         again = again.join(groups, ["digest", "norm"]).drop("norm")
