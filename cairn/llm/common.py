@@ -46,6 +46,21 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, beside the next ones."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it has its own ways
+        pass
+
+
 # --- vectorised words -------------------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240607)

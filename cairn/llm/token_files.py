@@ -32,13 +32,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import NOT_SPACE, blocks, column_bytes, materialize, scratch_dir, word_hashes, words
+from cairn.llm.common import NOT_SPACE, blocks, column_bytes, materialize, release_memory, scratch_dir, word_hashes, words
 
 END_ID = 2
 BLOCK, KEEP = 1024, 0.95
 SHARD_IDS = 1 << 20
 #: Distinct words that a worker remembers, and with them their pieces.
-CACHE = 300_000
+CACHE = 150_000
 _LANES, _ROWS = 32, 32
 
 # The splitter of the tokenizer file, for lower-case ASCII and Latin-1 letters.
@@ -62,6 +62,7 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters, self.known = self.tokenizer.model, _byte_letters(), {}
         self.pieces: dict[str, list[int]] = {}
+        self.ints = list(range(self.tokenizer.get_vocab_size()))  # one object for each id, not one for each use
         self.direct = self._restated()
 
     def _restated(self) -> bool:
@@ -87,7 +88,7 @@ class WordCoder:
             found = self.pieces.get(piece)
             if found is None:
                 plain = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
-                found = self.pieces[piece] = [t.id for t in self.model.tokenize(plain)]
+                found = self.pieces[piece] = [self.ints[t.id] for t in self.model.tokenize(plain)]
             ids += found
         return ids
 
@@ -261,7 +262,7 @@ def write(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             names = batch.column(0).to_pylist()
-            for a, b in blocks(offsets, 2 << 20):
+            for a, b in blocks(offsets):
                 ids, lengths = encode_block(coder, data, offsets[a : b + 1])
                 ends = np.cumsum(lengths)
                 done = 0
@@ -277,6 +278,8 @@ def write(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
                     done = to
         if held:
             yield image()
+        del coder
+        release_memory()
 
     return materialize(d.mapInArrow(run, "part int, seq int, documents long, ids long, image binary"), "tokens", root)
 

@@ -19,11 +19,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ALNUM, LOWER, blocks, column_bytes, word_hashes, words
+from cairn.llm.common import ALNUM, LOWER, blocks, column_bytes, release_memory, word_hashes, words
 
 BITS = 18
 #: Most labelled rows that the model is fitted on, and the passes over them.
-SAMPLE, PASSES = 20_000, 4
+SAMPLE, PASSES = 16_000, 4
 #: Learning rate, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 8.0, 0.2
 THRESHOLD = 0.3
@@ -78,20 +78,28 @@ def fit(texts, labels: list[int], passes: int = PASSES, **options) -> np.ndarray
 
     model = Ftrl(**options)
     bias = 1 << model.bits
+    chunks = texts.chunks if isinstance(texts, pa.ChunkedArray) else [pa.array(texts, pa.large_string())]
+
+    def distinct():
+        """(row, coordinate) pairs of each block, once each."""
+        for chunk in chunks:
+            data, offsets = column_bytes(chunk)
+            for a, b in blocks(offsets):
+                row, at = features(data, offsets[a : b + 1], model.bits)
+                key = np.unique(row * (1 << model.bits) + at)
+                yield key >> model.bits, key & (bias - 1), b - a
+
+    # A coordinate of fewer than ``FEWEST`` rows can't be told from chance: it stays at weight zero. Counting first, and
+    # making the features again, keeps only what is learnt from in memory.
+    seen = np.zeros(bias, dtype=np.int64)
+    for _, at, _ in distinct():
+        seen += np.bincount(at, minlength=bias)
     rows: list[np.ndarray] = []
-    seen = np.zeros(bias + 1, dtype=np.int64)
-    data, offsets = column_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
-    for a, b in blocks(offsets):
-        row, at = features(data, offsets[a : b + 1], model.bits)
-        key = np.unique(row * (1 << model.bits) + at)
-        row, at = key >> model.bits, key & (bias - 1)
-        seen += np.bincount(at, minlength=bias + 1)
-        cut = np.searchsorted(row, np.arange(b - a + 1))
-        rows += [np.append(at[i:j], bias).astype(np.int32) for i, j in zip(cut[:-1], cut[1:])]
-    # A coordinate of fewer than ``FEWEST`` rows can't be told from chance: it stays at weight zero.
-    common = seen >= FEWEST
-    common[bias] = True
-    rows = [r[common[r]] for r in rows]
+    for row, at, n in distinct():
+        keep = seen[at] >= FEWEST
+        row, at = row[keep], at[keep].astype(np.int32)
+        cut = np.searchsorted(row, np.arange(n + 1))
+        rows += [np.append(at[i:j], np.int32(bias)) for i, j in zip(cut[:-1], cut[1:])]
     rng = np.random.default_rng(11)
     for _ in range(passes):
         for i in rng.permutation(len(rows)).tolist():
@@ -125,7 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = rows.toArrow().sort_by("y_id")
     if not table.num_rows:
         return np.zeros((1 << BITS) + 1)
-    return fit(table.column("text").cast("large_string").combine_chunks(), table.column("y").to_pylist())
+    weights = fit(table.column("text"), table.column("y").to_pylist())
+    del table, rows
+    release_memory()
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
