@@ -77,10 +77,7 @@ def prune_plan(records: DataFrame, policy: Policy, group: list[str], **names) ->
 def orphans(stored: DataFrame, references: DataFrame, key: str = "blob_id", unreadable: DataFrame | None = None) -> DataFrame:
     """Stored rows that nothing references. If any record or tree is ``unreadable`` there are none (fail closed)."""
     out = stored.join(references.select(key).distinct(), key, "left_anti")
-    if unreadable is not None:
-        blocked = unreadable.agg(F.count(F.lit(1)).alias("_n"))
-        out = out.crossJoin(F.broadcast(blocked)).where("_n = 0").drop("_n")  # one row by construction
-    return out
+    return out.where("false") if unreadable is not None and not unreadable.isEmpty() else out
 
 
 def orphan_groups(members: DataFrame, references: DataFrame, group: str, key: str) -> DataFrame:

@@ -49,12 +49,12 @@ def positional(rows: DataFrame, value: str, shares: dict[str, float], group: lis
     coarse = F.floor(F.col(value) / 1024).alias("_b")
     counts = counts.withColumn("_b", coarse)
     bins = counts.groupBy(*group, "_b").agg(F.sum("_c").alias("_bc"))
-    total = bins.groupBy(*group).agg(F.sum("_bc").alias("_n")) if group else bins.agg(F.sum("_bc").alias("_n"))
+    total = bins.groupBy(*group).agg(F.sum("_bc").alias("_n")) if group else None
     wb = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_before", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
     inner = Window.partitionBy(*group, "_b").orderBy(value)
     c = counts.join(bins, [*group, "_b"]).withColumn("_hi", F.col("_before") + F.sum("_c").over(inner))
-    c = c.join(total, group) if group else c.crossJoin(F.broadcast(total))
+    c = c.join(total, group) if group else c.withColumn("_n", F.lit(counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]))
     c = c.withColumn("_lo", F.col("_hi") - F.col("_c"))
     picks = []
     for name, share in shares.items():
