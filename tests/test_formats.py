@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import hmac
+import plistlib
 import random
 import shutil
 import struct
@@ -15,7 +16,7 @@ from cairn.functions import envelope as env
 from cairn.functions import skeleton
 from cairn.operators import ingest
 from cairn.plans import validate
-from cairn.sources import formats
+from cairn.sources import formats, legacy
 
 MAGIC, KEY = b"OBJ1", bytes(range(32))
 
@@ -100,12 +101,51 @@ def test_packs(spark):
     assert bytes(got["ok"]) == b and got["gone"] is None
 
 
-def test_v5_index():
+def test_legacy_index_and_pack(spark):
     rows = sorted((hashlib.sha1(bytes([i])).digest(), i * 10, i) for i in range(30))
     body = struct.pack(">II", 0xFF744F63, 2) + struct.pack(">256I", *[sum(r[0][0] <= b for r in rows) for b in range(256)]) + b"".join(struct.pack(">QQ", o, n) + d + bytes(4) for d, o, n in rows)
-    assert formats.read_v5_index(body + hashlib.sha1(body).digest()) == [(d.hex(), o, n) for d, o, n in rows]
+    assert legacy.read_index(body + hashlib.sha1(body).digest()) == [(d.hex(), o, n) for d, o, n in rows]
+    table = spark.createDataFrame([(d.hex(),) for d, _, _ in rows], "sha1 string")
+    assert [r.upto for r in legacy.fanout(table).orderBy("byte").collect()] == list(struct.unpack_from(">256I", body, 8))
     with pytest.raises(ValueError):
-        formats.read_v5_index(body + bytes(20))
+        legacy.read_index(body + bytes(20))
+    pack = b"PACK" + struct.pack(">IQ", 2, 2) + b"\0" + b"\1" + struct.pack(">Q", 1) + b"n" + struct.pack(">Q", 3) + b"abc" + b"\0\0" + struct.pack(">Q", 0)
+    assert legacy.read_pack(pack + hashlib.sha1(pack).digest()) == [(None, "n", b"abc"), (None, None, b"")]
+    for bad in (pack + bytes(20), (pack + b"x") + hashlib.sha1(pack + b"x").digest()):
+        with pytest.raises(ValueError):
+            legacy.read_pack(bad)
+
+
+@pytest.mark.parametrize("version", [10, 11, 12, 14, 15, 16, 17, 18, 19, 22])
+def test_legacy_trees_round_trip(spark, version):
+    key = {"sha1": "ab" * 20, "stretch": True, "storage": 2, "archive_id": None, "archive_size": 5, "archive_uploaded": 1234}
+    node = {"is_tree": False, "data_keys": [key, key], "data_size": 9, "mtime_sec": -1, "mode": 0o644, "xattrs_key": key, "finder_type": "x", "data_compression": 1, "st_ino": 7}
+    row = {"version": version, "uid": 5, "mtime_sec": 3, "nodes": [{"name": "é", "node": node}, {"name": "d", "node": {"is_tree": True}}], "missing": [{"name": "m", "node": node}], "aggregate_size": 8}
+    raw = legacy.write_object(row, "tree")
+    again = legacy.read_object(raw, "tree")
+    assert legacy.write_object(again, "tree") == raw and again["nodes"][0]["node"]["data_size"] == 9
+    rows = legacy.legacy_entries(spark.createDataFrame([("t", raw), ("cut", raw[:-2]), ("v", b"TreeV013")], "k string, c binary"), "k", "c").collect()
+    t = [r for r in rows if r.k == "t"]
+    assert [(r.name, r.is_tree, len(r.data)) for r in t] == [("é", False, 2), ("d", True, 0)] and t[0].compression == (1 if version >= 12 else 0)
+    assert {r.k for r in rows if r.error} == {"cut", "v"}
+
+
+@pytest.mark.parametrize("version", range(3, 12))
+def test_legacy_commits_round_trip(version):
+    row = {"version": version, "author": "a", "parents": [{"sha1": "p", "stretch": True}], "tree_sha1": "t", "tree_compression": 2, "created": 99, "failed": [{"path": "x", "error": None}], "is_complete": True, "bucket_xml": b"<x/>", "app_version": "5"}
+    raw = legacy.write_object(row, "commit")
+    again = legacy.read_object(raw, "commit")
+    assert legacy.write_object(again, "commit") == raw and again["created"] == 99 and again["tree_sha1"] == "t" and again["bucket_xml"] == b"<x/>"
+
+
+def test_attributes(spark):
+    pairs = [("user.b", b"1"), ("user.a", b""), ("é", bytes(300))]
+    raw = legacy.write_attributes(pairs)
+    assert legacy.read_attributes(raw) == pairs and legacy.write_attributes([]) == b"" and legacy.read_attributes(b"") == []
+    plist = plistlib.dumps({"a": b"x", "b": "y", "c": 3}, fmt=plistlib.FMT_BINARY)
+    df = spark.createDataFrame([(1, raw), (2, plist), (3, raw[:-1]), (4, b"???"), (5, None)], "i int, c binary")
+    got = legacy.attributes(df, "i", "c").collect()
+    assert [r.name for r in got if r.i == 1] == ["user.b", "user.a", "é"] and [bytes(r.value) for r in got if r.i == 2] == [b"x", b"y"] and {r.i for r in got if r.error} == {3, 4}
 
 
 def test_chunker_is_loss_free_and_rolls():
