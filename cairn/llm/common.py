@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Kernels walk an Arrow batch in blocks of about so many text bytes; a longer document is one block.
 BLOCK_BYTES = 1 << 20
@@ -40,6 +41,18 @@ def materialize(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows of the smallest hash of ``key``, the same on every run.
+
+    The number of rows gives the share of hashes that can be among them, with five deviations to spare; a task sends its
+    part of that share to the sort, not ``most`` rows of its own.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    share = min(1.0, (most + 5 * most**0.5 + 25) / max(1, df.count()))
+    out = df.withColumn("_h", h).where(F.col("_h") < int(share * (1 << 30)) + 1)
+    return out.orderBy("_h", key).limit(most).drop("_h")
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import LOWER, blocks, column_bytes
+from cairn.llm.common import LOWER, blocks, column_bytes, smallest_hashes
 
 # Fixed patterns, over bytes: they hold ASCII only, so letters match in either case of ASCII alone.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -301,7 +301,7 @@ def sample(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> list[
     """At most ``most`` texts of up to ``LONGEST`` characters that hold a candidate token."""
     t = F.col(text_col)
     rows = docs.select(t.alias("t")).where(t.rlike(r"[A-Za-z0-9+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*") & t.rlike(r"[A-Za-z0-9+/_.=-]{8,}"))
-    rows = rows.where(F.length("t") <= LONGEST).select(F.xxhash64("t").alias("h"), "t").orderBy("h", "t").limit(most)
+    rows = smallest_hashes(rows.where(F.length("t") <= LONGEST), "t", most)
     return [r.t.encode() for r in rows.collect()]
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ALNUM, LOWER, blocks, column_bytes, release_memory, word_hashes, words
+from cairn.llm.common import ALNUM, LOWER, blocks, column_bytes, release_memory, smallest_hashes, word_hashes, words
 
 BITS = 18
 #: Most labelled rows that the model is fitted on, and the passes over them.
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Weights from labelled rows outside the held-out fold."""
     y = labels.select(F.col(id_col).alias("y_id"), F.col(label_col).alias("y")).where("y is not null and y_id is not null")
     y = y.where(~held_out(F.col("y_id"))).groupBy("y_id").agg(F.max("y").cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64("y_id"), "y_id").limit(sample)
+    y = smallest_hashes(y, "y_id", sample)
     d = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text"))
     rows = d.join(F.broadcast(y), d.d_id == y.y_id).groupBy("y_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y_id", "y", "text")
     # At most ``sample`` rows; one column batch at a time keeps the driver's peak near the texts' own size.
