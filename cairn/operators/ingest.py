@@ -40,21 +40,45 @@ class Buzhash:
             h = self._rol(h, 1) ^ self.table[b]
         return h
 
-    def cuts(self, data: bytes) -> Iterator[int]:
+    def window_hashes(self, data: bytes) -> "np.ndarray":
+        """The hash of the window that ends before each place from ``window`` on, all at once.
+
+        A window's hash is that of its halves, the first turned by the second's length, so log2(window) steps make it.
+        """
+        import numpy as np
+
+        rol = lambda x, n: x if n % 32 == 0 else (x << np.uint32(n % 32)) | (x >> np.uint32(32 - n % 32))
+        part = np.array(self.table, dtype=np.uint32)[np.frombuffer(data, dtype=np.uint8)]  # hashes of windows of 1, 2, 4 ...
+        whole, have, size, left = None, 0, 1, self.window
+        while True:
+            if left & 1:  # the part goes before what is there already
+                whole, have = (part, size) if whole is None else (rol(part[: len(part) - have], have) ^ whole[size:], have + size)
+            left >>= 1
+            if not left:
+                return whole
+            part = rol(part[:-size], size) ^ part[size:]
+            size *= 2
+
+    def cuts(self, data: bytes, segment: int = 1 << 22) -> Iterator[int]:
         """Ends of the chunks; their concatenation is the data."""
-        gone = [self._rol(t, self.window) for t in self.table]
-        mask, start, n = (1 << self.bits) - 1, 0, len(data)
+        import numpy as np
+
+        mask, n, found = np.uint32((1 << self.bits) - 1), len(data), []
+        for at in range(0, n, segment):
+            piece = data[max(0, at - self.window + 1) : at + segment]
+            if len(piece) >= self.window:
+                found.append(np.flatnonzero(self.window_hashes(piece) & mask == 0) + max(0, at - self.window + 1) + self.window)
+        ends = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+        start = 0
         while start < n:
-            end, stop = start + self.least, min(start + self.most, n)
-            if end < n:
-                h = self.hash(data[end - self.window : end])
-                while h & mask and end < stop:
-                    h = self._rol(h, 1) ^ gone[data[end - self.window]] ^ self.table[data[end]]
-                    end += 1
-            start = min(end, n)
+            stop = min(start + self.most, n)
+            if start + self.least < n:
+                k = np.searchsorted(ends, start + self.least)
+                start = int(min(ends[k], stop)) if k < len(ends) else stop
+            else:
+                start = n
             yield start
 
-
 #: Chunkers by (version, flag); an unknown pair falls back to the default.
 VARIANTS: dict[tuple, dict] = {(3, True): {"window": 256, "bits": 16, "least": 4096, "most": 131_072}}
 
