@@ -167,6 +167,8 @@ def predict(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_clean(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents below the threshold, with their own columns."""
+    """The documents below the threshold, with their own columns. A model without weights rejects none."""
+    if not weights.any():
+        return docs
     scored = score(docs, weights, docs.columns[0], "text", keep=docs.columns)
     return scored.where(F.col("score") < threshold).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -63,3 +63,27 @@ def test_stages(spark, tmp_path):
 def test_run_agrees_with_itself(spark):
     a, b = rows(corpus_pipeline.run(spark, SF)), rows(corpus_pipeline.run(spark, SF))
     assert a == b and a
+
+
+ODD = [
+    (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "plain words in a row " * 20, "en", None, None), (4, "plain words in a row " * 20, "en", "t", 5), (None, "text without an id but with words", "en", "s", 1),
+    (5, "long " * 20_000, "en", "t", 1), (6, "same id, first text of two", "en", "s", 1), (6, "same id, second text of them", "fr", "t", 1), (7, "twice the very same row", "en", "s", 1), (7, "twice the very same row", "en", "s", 1),
+]
+
+
+@pytest.mark.parametrize("rows_", [ODD, []])
+def test_odd_documents(spark, tmp_path, rows_):
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "same id second text of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, left, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        left = spark.read.parquet(f"{tmp_path}/{i}")
+        seen[name] = rows(left)
+    assert len(seen["toxicity"]) == len(rows_)
+    if rows_:
+        assert sorted(repr(r[0]) for r in seen["simhash_near_dedup"]) == sorted(map(repr, [1, 3, None, 5, 6, 6, 7]))
+        assert [r[1] for r in seen["decontamination"] if r[0] == 6] == ["same id, first text of two"]
+        assert [r[0] for r in sorted(seen["token_files"], key=lambda r: r[1])] == sorted((r[0] for r in seen["mixing"]), key=lambda d: (d is not None, d))
