@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Kernels walk an Arrow batch in blocks of about so many text bytes; a longer document is one block.
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -74,6 +76,22 @@ def release_memory() -> None:
         pass
 
 
+def bounded_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` over batches of about ``BATCH_BYTES``; a worker gives its memory back when a task ends.
+
+    Rows are texts of any length, so a bound on rows is none on memory. The session's byte bound is set where it is unset.
+    """
+    spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+    def released(batches):
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(released, schema)
+
+
 # --- vectorised words -------------------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240607)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ALNUM, LOWER, blocks, column_bytes, word_hashes, words
+from cairn.llm.common import ALNUM, LOWER, blocks, bounded_batches, column_bytes, word_hashes, words
 
 WINDOW = 10
 #: Most benchmark text that one broadcast holds.
@@ -253,7 +253,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "matches"]
             yield pa.RecordBatch.from_arrays(arrays + [batch.column(2 + i) for i in range(len(keep))], names=names + list(out_cols))
 
-    return _named(base.mapInArrow(run, schema), keep)
+    return _named(bounded_batches(base, run, schema), keep)
 
 
 def _named(df: DataFrame, keep: list[str]) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import NOT_SPACE, LOWER, blocks, column_bytes, drop_scratch, materialize, scratch_dir, words
+from cairn.llm.common import LOWER, NOT_SPACE, blocks, bounded_batches, column_bytes, drop_scratch, materialize, scratch_dir, words
 
 #: Shingle words, seed of XXH64, radius in bits.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps += block_fingerprints(data, offsets[a : b + 1], k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return d.mapInArrow(run, f"doc_id {kind}, fp long")
+    return bounded_batches(d, run, f"doc_id {kind}, fp long")
 
 
 def bounds(parts: int) -> list[tuple[int, int]]:
@@ -273,7 +273,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             fps = [f for a, b in blocks(offsets) for f in block_fingerprints(data, offsets[a : b + 1], k)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=names)
 
-    marked = docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns) + ", _fp long")
+    marked = bounded_batches(docs, run, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns) + ", _fp long")
     same = marked[id_col].eqNullSafe(one._keep_id) & (marked._fp == one._keep_fp)
     return marked.join(one, same, "left_semi").dropDuplicates([id_col, "_fp"]).drop("_fp")
 

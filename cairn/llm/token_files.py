@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import NOT_SPACE, blocks, column_bytes, materialize, release_memory, scratch_dir, word_hashes, words
+from cairn.llm.common import NOT_SPACE, blocks, bounded_batches, column_bytes, materialize, scratch_dir, word_hashes, words
 
 END_ID = 2
 BLOCK, KEEP = 1024, 0.95
@@ -278,10 +278,8 @@ def write(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
                     done = to
         if held:
             yield image()
-        del coder
-        release_memory()
 
-    return materialize(d.mapInArrow(run, "part int, seq int, documents long, ids long, image binary"), "tokens", root)
+    return materialize(bounded_batches(d, run, "part int, seq int, documents long, ids long, image binary"), "tokens", root)
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -309,7 +307,7 @@ def read(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
                                                  names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return bounded_batches(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(shards: DataFrame, folder: str) -> list[str]:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ALNUM, LOWER, blocks, column_bytes, release_memory, smallest_hashes, word_hashes, words
+from cairn.llm.common import ALNUM, LOWER, blocks, bounded_batches, column_bytes, release_memory, smallest_hashes, word_hashes, words
 
 BITS = 18
 #: Most labelled rows that the model is fitted on, and the passes over them.
@@ -157,7 +157,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), *[batch.column(2 + i) for i in range(len(keep))]], names=names)
 
     schema = ", ".join([f"doc_id {types['_id']}", "score double", *[f"_k{i} {types[f'_k{i}']}" for i in range(len(keep))]])
-    return d.mapInArrow(run, schema)
+    return bounded_batches(d, run, schema)
 
 
 def predict(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
