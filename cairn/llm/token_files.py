@@ -38,11 +38,12 @@ END_ID = 2
 BLOCK, KEEP = 1024, 0.95
 SHARD_IDS = 1 << 20
 #: Distinct words that a worker remembers, and with them their pieces.
-CACHE = 150_000
+CACHE = 300_000
 _LANES, _ROWS = 32, 32
 
 # The splitter of the tokenizer file, for lower-case ASCII and Latin-1 letters.
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+_STOPS = frozenset(b".,;:!?")
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]+")
 
 
@@ -85,19 +86,29 @@ class WordCoder:
             return None
         ids: list[int] = []
         for piece in _SPLIT.findall(text.lower()):
-            found = self.pieces.get(piece)
-            if found is None:
-                plain = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
-                found = self.pieces[piece] = [self.ints[t.id] for t in self.model.tokenize(plain)]
-            ids += found
+            ids += self._piece(piece)
         return ids
 
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of what the splitter leaves together."""
+        found = self.pieces.get(piece)
+        if found is None:
+            plain = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+            found = self.pieces[piece] = [self.ints[t.id] for t in self.model.tokenize(plain)]
+        return found
+
     def encode(self, raws: list[bytes]) -> list[list[int]]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.pieces.clear()
-        known, hard, out = self.known, [], []
+        for memory in (self.known, self.pieces):
+            if len(memory) > CACHE:
+                memory.clear()
+        known, hard, out, piece, direct = self.known, [], [], self._piece, self.direct
         for k, raw in enumerate(raws):
+            if direct and raw.isalpha():  # ASCII letters: one piece
+                out.append(piece(raw.decode().lower()))
+                continue
+            if direct and raw[:-1].isalpha() and raw[-1] in _STOPS:  # and a stop: two
+                out.append(piece(raw[:-1].decode().lower()) + piece(chr(raw[-1])))
+                continue
             ids = known.get(raw)
             if ids is None:
                 ids = self._word(raw)
@@ -262,7 +273,7 @@ def write(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             names = batch.column(0).to_pylist()
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, 2 << 20):
                 ids, lengths = encode_block(coder, data, offsets[a : b + 1])
                 ends = np.cumsum(lengths)
                 done = 0
