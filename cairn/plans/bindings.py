@@ -807,12 +807,28 @@ def window_entropy(t):
 
 @query("SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a, events b WHERE a.event_type = 'error' AND b.event_type = 'signup' AND abs(a.event_id - b.event_id) <= 6 AND abs(a.event_id - 5000) <= 4000")
 def range_join(t):
-    """J12, F19."""
+    """The slice of events that its SQL fixes; ``range_join_all`` joins every event."""
     e = t("events")
     a = e.where("event_type = 'error'").where(stats.near(F.col("event_id"), 5000, 4000)).select(F.col("event_id").alias("a_id"))
     return stats.near_pairs(a, e.where("event_type = 'signup'").select(F.col("event_id").alias("b_id")), "a_id", "b_id", 6)
 
 
+@query("""WITH b AS (SELECT event_id AS b_id, unnest([-1, 0, 1]) + CAST(floor(event_id / 6.0) AS BIGINT) AS bin FROM events WHERE event_type = 'signup'),
+a AS (SELECT event_id AS a_id, CAST(floor(event_id / 6.0) AS BIGINT) AS bin FROM events WHERE event_type = 'error')
+SELECT a_id, b_id FROM a JOIN b USING (bin) WHERE abs(a_id - b_id) <= 6""")
+def range_join_all(t):
+    """Every error event with every signup event."""
+    e = t("events")
+    a = e.where("event_type = 'error'").select(F.col("event_id").alias("a_id"))
+    return stats.near_pairs(a, e.where("event_type = 'signup'").select(F.col("event_id").alias("b_id")), "a_id", "b_id", 6)
+
+
+@query("SELECT event_id FROM events WHERE abs(event_id - 5000) <= 4000")
+def near_filter(t):
+    """F19."""
+    return t("events").where(stats.near(F.col("event_id"), 5000, 4000)).select("event_id")
+
+
 @query("SELECT l_shipmode, count(*) AS files, CAST(sum(l_quantity) AS BIGINT) AS bytes, count(*) FILTER (l_discount < 0.08) AS ok_files, count(*) FILTER (l_discount >= 0.08) AS failed FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1")
 def audit_partial_final(t):
     """A4, A5, A6."""
