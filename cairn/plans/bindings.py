@@ -380,8 +380,19 @@ def stat_rules(t):
 @query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_orderkey % 50 AS ino, CAST(l_orderkey % 3 AS INTEGER) AS nlink, l_orderkey || '-' || l_linenumber AS path FROM lineitem WHERE l_linenumber <= 2),
 w AS (SELECT *, first_value(path) OVER (PARTITION BY ino ORDER BY l_orderkey, l_linenumber, path) AS f FROM e) SELECT path, l_orderkey, CASE WHEN nlink > 1 AND ino <> 0 AND f <> path THEN f END AS link_to FROM w""")
 def hardlinks(t):
-    """J11."""
-    e = t("lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 50).alias("ino"), (F.col("l_orderkey") % 3).alias("nlink"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"))
+    """The entries that its SQL fixes; ``hardlinks_all`` takes every entry."""
+    return _hardlinks(t("lineitem").where("l_linenumber <= 2"))
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_orderkey % 50 AS ino, CAST(l_orderkey % 3 AS INTEGER) AS nlink, l_orderkey || '-' || l_linenumber AS path FROM lineitem),
+w AS (SELECT *, first_value(path) OVER (PARTITION BY ino ORDER BY l_orderkey, l_linenumber, path) AS f FROM e) SELECT path, l_orderkey, CASE WHEN nlink > 1 AND ino <> 0 AND f <> path THEN f END AS link_to FROM w""")
+def hardlinks_all(t):
+    """Every lineitem row is an entry."""
+    return _hardlinks(t("lineitem"))
+
+
+def _hardlinks(li: DataFrame) -> DataFrame:
+    e = li.select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 50).alias("ino"), (F.col("l_orderkey") % 3).alias("nlink"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"))
     return inventory.hardlinks(e, "ino", "nlink", "path", ["l_orderkey", "l_linenumber", "path"]).select("path", "l_orderkey", "link_to")
 
 
@@ -844,8 +855,17 @@ def audit_failures_dedup(t):
 
 @query("SELECT s.s_nationkey AS cu, p_brand AS family, count(*) AS objects, CAST(sum(p_size) AS BIGINT) AS bytes, any_value(n_regionkey) < 3 AS has_keyset, NOT (any_value(n_regionkey) < 3) AS missing_keyset FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s.s_nationkey WHERE l_quantity > 40 GROUP BY 1, 2")
 def layout_totals(t):
-    """A3, V1."""
-    li = t("lineitem").where("l_quantity > 40")
+    """A3, V1: the objects that its SQL fixes; ``layout_totals_all`` takes every object."""
+    return _layout_totals(t, t("lineitem").where("l_quantity > 40"))
+
+
+@query("SELECT s.s_nationkey AS cu, p_brand AS family, count(*) AS objects, CAST(sum(p_size) AS BIGINT) AS bytes, any_value(n_regionkey) < 3 AS has_keyset, NOT (any_value(n_regionkey) < 3) AS missing_keyset FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s.s_nationkey GROUP BY 1, 2")
+def layout_totals_all(t):
+    """A3, V1: every lineitem row is an object."""
+    return _layout_totals(t, t("lineitem"))
+
+
+def _layout_totals(t: Tables, li: DataFrame) -> DataFrame:
     o = li.join(t("part"), li.l_partkey == F.col("p_partkey")).join(t("supplier"), li.l_suppkey == F.col("s_suppkey")).select(F.col("s_nationkey").alias("cu"), F.col("p_brand").alias("family"), F.col("p_size").alias("size"))
     return stats.layout_totals(o, t("nation").select(F.col("n_nationkey").alias("cu"), (F.col("n_regionkey") < 3).alias("has_keyset")))
 

@@ -10,3 +10,11 @@ def test_range_join_covers_all_ids(spark, tmp_path):
     got = sorted(tuple(r) for r in entry.queries()["range_join_all"](spark, str(tmp_path)).select("a_id", "b_id").collect())
     want = sorted((a, b) for a, x in rows for b, y in rows if x == "error" and y == "signup" and abs(a - b) <= 6)
     assert got == want and any(a > 9000 for a, _ in got)
+
+
+def test_every_lineitem_row_is_an_entry_and_an_object(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    links = entry.queries()["hardlinks_all"](spark, sf).collect()
+    assert len(links) == rows and any(r.link_to and not r.path.endswith(("-1", "-2")) for r in links)
+    assert sum(r.objects for r in entry.queries()["layout_totals_all"](spark, sf).collect()) == rows
