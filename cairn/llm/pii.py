@@ -2,11 +2,13 @@
 
 Patterns find the protected entities (e-mail, IPv4, card and phone numbers). The corpus then estimates how strongly the
 words around an entity reveal it. With windows of 2 x ``REACH`` characters as the unit, an entity c in n(c) of N windows has
-the information content IC(c) = -log2(n(c)/N), and a term t seen cf(t) times in the corpus, in n(c,t) of the windows
+the information content IC(c) = -log2(n(c)/N), and a term t seen cf(t) times in distinct text, in n(c,t) of the windows
 around c, reveals PMI(c;t) = log2(n(c,t) N / (n(c) cf(t))) bits of it (Sanchez and Batet's disclosure criterion). The
 disclosure is PMI/IC, 1 for a term that is never seen elsewhere. Terms at or above ``GENERALISE`` are replaced by a
 class, at or above ``REMOVE`` removed, wherever they stand near that entity. A window counts once for each distinct
-text, and a pair needs ``SUPPORT`` such windows, so that copies of a document are no evidence.
+text, and a pair needs ``SUPPORT`` such windows, so that copies of a document are no evidence. For the same reason cf and
+N count a line or sentence once, however many copies hold it between the same neighbours; near copies add only the
+lines that differ and those beside them.
 
 Counts cover all documents. The windows around entities hold a bounded number of words, so pairs grow with the text,
 never with the square of a group. Terms are counted with partial sums before the shuffle; nothing is broadcast unless
@@ -38,6 +40,8 @@ NEEDS = {"email": "@", "phone": "+"}
 TERM_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 REACH, MIN_TERM = 80, 3
+#: Ends of lines and sentences.
+LINE_END = r"(?<=[.!?\n])"
 GENERALISE, REMOVE, SUPPORT = 0.6, 0.9, 2
 
 
@@ -91,6 +95,15 @@ def holds(kind: Column, value: Column) -> Column:
     return out
 
 
+def distinct_lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """The lines and sentences of all texts, each once for every pair of neighbours it stands between."""
+    text = F.col(text_col)
+    at = lambda s, i: F.coalesce(F.get(s, i), F.lit(""))
+    units = F.flatten(F.transform(F.array(F.split(text, LINE_END, -1)), lambda s: F.transform(s, lambda x, i: F.struct(
+        F.xxhash64(at(s, i - 1), x, at(s, i + 1)).alias("beside"), x.alias("line")))))
+    return docs.where(F.col(text_col) != "").select(F.explode(units).alias("u")).select("u.*").where(F.col("line") != "").distinct()
+
+
 def _rank(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
 
@@ -114,10 +127,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root:
     spans = placed(base.where(F.size("matches") > 0).select("row", F.explode("matches").alias("m")).select("row", "m.*"), ["row"])
     spans = materialize(spans.where(holds(F.col("kind"), F.col("value"))).withColumn("r", _rank(F.col("kind"))).drop("i", "gap"), "spans", root)
 
-    # Every word of the corpus, counted.
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), TERM_GAP)).alias("term"))
-    counts = words.where(F.length("term") >= MIN_TERM).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    n_words = docs.agg(F.coalesce(F.sum(F.length(F.col(text_col))), F.lit(0)).alias("chars"))
+    # Every word of the distinct lines, counted; the first word of a line carries the line's length.
+    lines = distinct_lines(docs, text_col).select(F.length("line").alias("n"), F.posexplode(F.split("line", TERM_GAP)).alias("at", "term"))
+    counts = lines.withColumn("term", F.lower("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.sum(F.when(F.col("at") == 0, F.col("n")).otherwise(0)).alias("chars"))
+    counts = materialize(counts, "words", root)
+    n_words = counts.agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+    counts = counts.where(F.length("term") >= MIN_TERM).drop("chars")
 
     # Terms beside entities: at most as many as a window has words.
     entity = F.xxhash64(F.concat(F.col("kind"), F.lit(":"), F.lower(F.regexp_replace("value", r"[\x20().-]", ""))))

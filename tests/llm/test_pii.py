@@ -84,5 +84,16 @@ def test_copies_are_no_evidence(spark):
     assert not any(r.terms for r in pii.find(df).collect())
 
 
+def test_copies_are_no_counter_evidence(spark):
+    filler = [f"common words fill line {i} of this ordinary text about nothing much" for i in range(300)]
+    texts = [f"case {i} begins. The zanzibarix lead writes from boss@corp.example.com about common words {i * 7}." for i in range(2)]
+    far = " More common words fill this ordinary text about nothing much. Then more of it follows in a line like that."
+    copies = texts * 400 + [t + far + f" Near copy {i}." for i in range(200) for t in texts]
+    df = spark.createDataFrame(list(enumerate(filler + copies)), "doc_id long, text string")
+    found = [r for r in pii.find(df).collect() if r.doc_id >= len(filler)]
+    assert len(found) == len(copies) and all("zanzibarix" in {t.value for t in r.terms} for r in found)
+    assert not any(t.value == "common" for r in found for t in r.terms)
+
+
 def test_empty_table(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
