@@ -1,11 +1,12 @@
 """Operator 1, personal data: information-theoretic sanitisation, in DataFrame operations only.
 
 Patterns find the protected entities (e-mail, IPv4, card and phone numbers). The corpus then estimates how strongly the
-words around an entity reveal it. With windows of 2 x ``REACH`` characters as the unit, an entity c in n(c) of N windows has
+words around an entity reveal it. With windows of about 2 x ``REACH`` characters as the unit, an entity c in n(c) of N windows has
 the information content IC(c) = -log2(n(c)/N), and a term t seen cf(t) times in distinct text, in n(c,t) of the windows
 around c, reveals PMI(c;t) = log2(n(c,t) N / (n(c) cf(t))) bits of it (Sanchez and Batet's disclosure criterion). The
 disclosure is PMI/IC, 1 for a term that is never seen elsewhere. Terms at or above ``GENERALISE`` are replaced by a
-class, at or above ``REMOVE`` removed, wherever they stand near that entity. A window counts once for each distinct
+class, at or above ``REMOVE`` removed, wherever they stand in a document that holds the entity: windows only serve to
+estimate. They reach to the end of the word at the ``REACH``-th character. A window counts once for each distinct
 text, and a pair needs ``SUPPORT`` such windows, so that copies of a document are no evidence. For the same reason cf and
 N count a line or sentence once, however many copies hold it between the same neighbours; near copies add only the
 lines that differ and those beside them.
@@ -45,8 +46,19 @@ LINE_END = r"(?<=[.!?\n])"
 GENERALISE, REMOVE, SUPPORT = 0.6, 0.9, 2
 
 
-def pieces(text: Column, pattern: str, kind: str) -> Column:
-    """All matches in order, each with the length of the gap before it and the text beside it (of its gaps).
+def _beside(gap: Column, after: bool) -> Column:
+    """``REACH`` characters of a gap after or before a match, and the rest of a word that the cut would go through."""
+    n = F.length(gap) - REACH
+    if after:
+        side, edge, rest, word = F.left(gap, F.lit(REACH)), F.substring(gap, REACH, 1), F.right(gap, n), f"^{TERM}+"
+    else:
+        side, edge, rest, word = F.right(gap, F.lit(REACH)), gap.substr(n + 1, F.lit(1)), F.left(gap, n), f"(?:^|(?<={TERM_GAP[:-1]})){TERM}+$"
+    rest = F.when((n > 0) & edge.rlike(TERM), F.regexp_extract(rest, word, 0)).otherwise(F.lit(""))
+    return F.concat(side, rest) if after else F.concat(rest, side)
+
+
+def pieces(text: Column, pattern: str, kind: str, sides: bool = True) -> Column:
+    """All matches in order, each with the length of the gap before it and, with ``sides``, the text beside it (of its gaps).
 
     The places follow by sums of lengths, so the work is linear however many matches a text holds.
     """
@@ -54,7 +66,7 @@ def pieces(text: Column, pattern: str, kind: str) -> Column:
     both = F.when(F.size(found) > 0, F.array(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g")))).otherwise(F.array())
     return F.flatten(F.transform(both, lambda x: F.transform(x["m"], lambda m, i: F.struct(
         F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(x["g"], i)).alias("gap"), m.alias("value"),
-        F.right(F.get(x["g"], i), F.lit(REACH)).alias("left"), F.left(F.get(x["g"], i + 1), F.lit(REACH)).alias("right")))))
+        *([_beside(F.get(x["g"], i), False).alias("left"), _beside(F.get(x["g"], i + 1), True).alias("right")] if sides else [])))))
 
 
 def placed(matches: DataFrame, keys: list[str], offset: Column | int = 0) -> DataFrame:
@@ -122,8 +134,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root:
     text = F.coalesce(F.col(text_col), F.lit(""))
     by_kind = [F.when(F.contains(text, F.lit(NEEDS[k])), pieces(text, p, k)).otherwise(F.array()) if k in NEEDS else pieces(text, p, k) for k, p in PATTERNS.items()]
     text_too = ["text"] if keep_text else []
+    kept = F.col("text") if keep_text else F.when(F.size("matches") > 0, F.col("text"))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"), F.concat(*by_kind).alias("matches"))
-    base = materialize(base.select("row", "doc_id", *text_too, "matches"), "base", root)
+    base = materialize(base.select("row", "doc_id", kept.alias("text"), "matches"), "base", root)
     spans = placed(base.where(F.size("matches") > 0).select("row", F.explode("matches").alias("m")).select("row", "m.*"), ["row"])
     spans = materialize(spans.where(holds(F.col("kind"), F.col("value"))).withColumn("r", _rank(F.col("kind"))).drop("i", "gap"), "spans", root)
 
@@ -136,16 +149,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root:
 
     # Terms beside entities: at most as many as a window has words.
     entity = F.xxhash64(F.concat(F.col("kind"), F.lit(":"), F.lower(F.regexp_replace("value", r"[\x20().-]", ""))))
-    sides = spans.select("row", entity.alias("entity"), F.xxhash64("left", "right").alias("seen"), F.explode(F.array(
-        F.struct(F.col("left").alias("side"), (F.col("start") - F.length("left")).alias("at")),
-        F.struct(F.col("right").alias("side"), F.col("end").alias("at")))).alias("s")).select("row", "entity", "seen", "s.*")
-    near = sides.select("row", "entity", "seen", "at", F.explode(pieces(F.col("side"), TERM, "term")).alias("m")).select("row", "entity", "seen", "at", "m.*")
-    near = placed(near, ["row", "entity", "seen", "at"], F.col("at"))
-    near = near.select("row", "entity", "seen", "start", "end", F.lower("value").alias("term"))
-    near = materialize(near.where(F.length("term") >= MIN_TERM), "near", root)
-
-    pairs = near.groupBy("entity", "term", "seen").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    n_c = near.groupBy("entity", "seen").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    spans = spans.withColumn("entity", entity)
+    near = spans.select("entity", F.xxhash64("left", "right").alias("seen"), F.explode(F.concat(F.split("left", TERM_GAP), F.split("right", TERM_GAP))).alias("term"))
+    near = near.select("entity", "seen", F.lower("term").alias("term")).where(F.length("term") >= MIN_TERM).distinct()
+    near = materialize(near, "near", root)
+
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
+    n_c = near.select("entity", "seen").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     pairs = materialize(pairs.join(n_c, "entity"), "pairs", root)
     terms = pairs.select("term").distinct()
     known = materialize(counts.join(terms, "term", "left_semi"), "counts", root)
@@ -157,12 +167,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root:
     strong = pairs.join(known, "term").withColumn("disclosure", F.least(pmi / ic, F.lit(1.0))).where(F.col("disclosure") >= generalise)
     strong = materialize(strong.select("entity", "term", F.round("disclosure", 6).alias("disclosure")), "strong", root)
 
-    # A term inside an entity is already covered: the sides end where the next match of the kind begins, and those of
-    # other kinds are taken out here.
-    added = near.join(strong, ["entity", "term"]).groupBy("row", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
+    # Every place of a strong term in the documents that hold its entity. A term inside an entity is already covered;
+    # those are taken out below.
+    marks = spans.select("row", "entity").distinct().join(strong, "entity").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    marks = materialize(marks, "marks", root)
+    texts = base.select("row", "text").join(marks.select("row").distinct(), "row", "left_semi")
+    added = placed(texts.select("row", F.explode(pieces(F.col("text"), TERM, "term", sides=False)).alias("m")).select("row", "m.*"), ["row"])
+    added = added.select("row", "start", "end", F.lower("value").alias("term")).join(marks, ["row", "term"])
     added = added.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("term").alias("value"), "disclosure"))).alias("added"))
     listed_base = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "r", "end", "kind", "value"))).alias("found"))
-    out = base.drop("matches").join(listed_base.join(added, "row", "left"), "row", "left")
+    out = base.select("row", "doc_id", *text_too).join(listed_base.join(added, "row", "left"), "row", "left")
     found = F.coalesce(F.col("found"), F.array().cast("array<struct<start:int,r:int,end:int,kind:string,value:string>>"))
     terms = F.coalesce(F.col("added"), F.array().cast("array<struct<start:int,end:int,value:string,disclosure:double>>"))
     out = out.select("row", "doc_id", *text_too, found.alias("base"), terms.alias("terms"))

@@ -95,5 +95,16 @@ def test_copies_are_no_counter_evidence(spark):
     assert not any(t.value == "common" for r in found for t in r.terms)
 
 
+def test_terms_go_from_the_whole_document(spark):
+    filler = [f"common words fill line {i} of this ordinary text about nothing much" for i in range(300)]
+    planted = [f"case {i} zanzibarix boss@corp.example.com and {'common ' * (9 + i)}wo quuxologistic words" for i in range(2)]
+    long = "Zanzibarix opens. " + "common words fill this line. " * 20 + "From boss@corp.example.com now. " + "common words fill this line. " * 20 + "QUUXOLOGISTIC, Zanzibarix"
+    df = spark.createDataFrame(list(enumerate([*filler, *planted, long, "zanzibarix alone"])), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for i in range(300, 303):
+        assert "zanzibarix" not in clean[i].lower() and "quuxologistic" not in clean[i].lower() and "common" in clean[i]
+    assert clean[303] == "zanzibarix alone"
+
+
 def test_empty_table(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
