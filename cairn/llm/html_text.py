@@ -3,9 +3,11 @@
 The page becomes a tree of its block elements. Each paragraph earns points for its length and its commas and passes
 them to its ancestors, whole to its parent, half to the next, less beyond; an element's score is its points times the
 share of its text that is not in links. The element of the best score holds the article; an article or main element
-around it is taken instead, and siblings that score a fifth as much, or are prose, stay with it. What stands in menus,
+around it is taken instead. Siblings stay with it: all that are not noise where no article or main element is marked, else those
+that score a fifth as much or are prose. What stands in menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, by element, role, class or
-id, earns nothing and is left out, as are lists of links.
+id, earns nothing and is left out, as are lists of links. A class or id counts as a whole name; one that only holds such a word
+counts beside the main text, and not within or around it.
 
 Blocks: character references are decoded, white space becomes one space, ends are trimmed; blocks are joined in page
 order by an empty line. ``br`` is white space. Pages are read in one pass over their tags, so long pages and deep trees
@@ -38,13 +40,18 @@ RAW = frozenset("script style xmp noembed noframes".split())
 TITLED = frozenset("title textarea".split())
 LEFT_OUT = frozenset("head nav aside footer form dialog menu search noscript template iframe object select button svg canvas audio video fieldset label legend datalist optgroup option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist directory note status".split())
-COMMENTS = frozenset("comment comments commentlist disqus respond replies reply discussion feedback".split())
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+TALK = frozenset("respond replies reply discussion feedback".split())
 NOISE = frozenset(
     "nav navbar navigation menu menus sidebar side aside footer foot header masthead topbar banner ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice"
     " notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs widget pagination pager toolbar search"
     " form alert skip outbrain taboola copyright".split()
 )
-GOOD = frozenset("article content main post entry story text body".split())
+#: Words that a name of comments or noise may have besides: "comment-list", "related-posts", "cookie-notice".
+AFFIXES = frozenset(
+    "list lists area section box thread wrapper wrap container block bar row column col inner outer item items link links button buttons icon icons top bottom left right site page global primary secondary"
+    " user fb facebook post posts article articles story stories entry news author meta body text content title heading label mobile desktop sticky fixed slot unit zone message policy law media".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes: the same or a kindred element, up to the enclosing list or table.
 CLOSES = {
@@ -58,10 +65,24 @@ LEAST, LEVELS, SIBLING = 25, 6, 0.2
 LINKS, MAIN = 0.6, 0.25
 _COMMAS = re.compile("[,،、，;]")
 
-KEEP, SOFT, HARD = 0, 1, 2
+#: WEAK: a name that only holds a word of a list, or one of TALK; it counts beside the main text, not in it or around it.
+KEEP, WEAK, SOFT, HARD = 0, 1, 2, 3
+
 
+def _named(value: str) -> int:
+    """The kind that the names of a class or id give."""
+    kind = KEEP
+    for name in value.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        for listed, then in ((COMMENTS, HARD), (NOISE, SOFT)):
+            if words & listed:
+                kind = max(kind, then if words <= listed | COMMENTS | NOISE | AFFIXES or "disqus" in words else WEAK)
+        if words & TALK:
+            kind = max(kind, WEAK)
+    return kind
 
-def _kind(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
+
+def _kind(tag: str, attrs: str, in_article: bool, names: bool) -> tuple[int, bool]:
     """Whether an element is kept, perhaps left out, or left out; and whether it is marked as the main text."""
     out, marked = KEEP, tag in ("article", "main")
     if tag in LEFT_OUT or tag == "header" and not in_article:
@@ -73,11 +94,11 @@ def _kind(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
         if name in ("class", "id"):
             if tag in ("html", "body"):
                 continue
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & COMMENTS and tag != "main":
+            named = _named(value) if names and tag != "main" and tag not in HEADINGS else KEEP
+            if named == HARD:
                 return HARD, False
-            if words & NOISE and tag not in ("main", "article") and tag not in HEADINGS:
-                out = SOFT
+            if tag != "article":
+                out = max(out, named)
         elif name == "role":
             value = value.lower()
             if value in ROLES:
@@ -93,7 +114,8 @@ def _kind(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
 class _Tree:
     """Block elements in page order (parents first), and the blocks of text that stand directly in them."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, names: bool = True):
+        self.names = names
         self.tag, self.parent, self.kind, self.marked = ["#root"], [0], [KEEP], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(page)
@@ -189,7 +211,7 @@ class _Tree:
                 if tag in ("html", "body") and open_.get(tag):
                     continue
                 above = stack[-1]
-                k, main = (HARD, False) if kind[above] == HARD else _kind(tag, m[3][:-1], article > 0)
+                k, main = (HARD, False) if kind[above] == HARD else _kind(tag, m[3][:-1], article > 0, self.names)
                 stack.append(len(tag_))
                 tag_.append(tag)
                 parent.append(above)
@@ -209,10 +231,12 @@ def _sums(parent: list[int], own: list[float]) -> list[float]:
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page."""
-    if not page:
-        return ""
-    t = _Tree(page)
+    """The main text of a page; if all of it stands in elements named as noise, the names do not count."""
+    return (_main_text(page, True) or _main_text(page, False)) if page else ""
+
+
+def _main_text(page: str, names: bool) -> str:
+    t = _Tree(page, names)
     n = len(t.tag)
     if not t.blocks:
         return ""
@@ -236,16 +260,22 @@ def main_text(page: str | None) -> str:
         while main:
             holds.add(main)
             main = t.parent[main]
-    gone = [False] * n
-    for i in range(1, n):
-        out = gone[t.parent[i]] or t.kind[i] == HARD
-        if not out and t.kind[i] == SOFT:
-            out = i not in holds and not (below["heads"][i] and below["points"][i] > 0.5 * total)
-        if not out and t.tag[i] in ("ul", "ol", "div", "section", "table", "dl") and below["count"][i] >= 2:
-            out = below["linked"][i] > LINKS * below["chars"][i]
-        if not out and t.tag[t.parent[i]] == "header" and t.tag[i] not in HEADINGS and t.tag[i] not in ("div", "section", "hgroup"):
-            out = True  # of an article's own header only the headings
-        gone[i] = out
+    def left_out(inside: list[bool] | None) -> list[bool]:
+        gone = [False] * n
+        for i in range(1, n):
+            out = gone[t.parent[i]] or t.kind[i] == HARD
+            if not out and t.kind[i] in (WEAK, SOFT):
+                out = i not in holds and not (below["heads"][i] and below["points"][i] > 0.5 * total)
+                if t.kind[i] == WEAK:
+                    out = out and below["points"][i] <= MAIN * total and not (inside and inside[i])
+            if not out and t.tag[i] in ("ul", "ol", "div", "section", "table", "dl") and below["count"][i] >= 2:
+                out = below["linked"][i] > LINKS * below["chars"][i]
+            if not out and t.tag[t.parent[i]] == "header" and t.tag[i] not in HEADINGS and t.tag[i] not in ("div", "section", "hgroup"):
+                out = True  # of an article's own header only the headings
+            gone[i] = out
+        return gone
+
+    gone = left_out(None)
     kept = [(e, x, inside) for e, x, inside in t.blocks if not gone[e] and t.tag[e] != "header"]
     if not kept:
         return ""
@@ -279,7 +309,7 @@ def main_text(page: str | None) -> str:
         top = t.parent[top]
     roots = {top}
     if top and t.tag[top] not in ("main", "body", "html"):
-        floor = max(1.0, SIBLING * score[best])
+        floor = max(1.0, SIBLING * score[best]) if inner is not None else 0.0  # without mark-up all that is not noise stays
         for i in range(1, n):
             if t.parent[i] != t.parent[top] or i == top or gone[i]:
                 continue
@@ -291,7 +321,9 @@ def main_text(page: str | None) -> str:
     chosen = [False] * n
     for i in range(n):
         chosen[i] = i in roots or bool(i) and chosen[t.parent[i]]
-    return "\n\n".join(x for e, x, _ in kept if chosen[e])
+    if WEAK in t.kind:
+        gone = left_out(chosen)
+    return "\n\n".join(x for e, x, _ in t.blocks if chosen[e] and not gone[e] and t.tag[e] != "header")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

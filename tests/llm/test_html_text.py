@@ -42,6 +42,18 @@ def test_noise_inside_the_article():
     assert main_text(page) == "T\n\n" + WANT
 
 
+@pytest.mark.parametrize("page", [
+    "<article>{a}<section id='discussion'>{b}</section></article>", "<article>{a}<section id='related-work'>{b}</section></article>", "<article>{a}<div id='notice-of-results'>{b}</div></article>",
+    "<article class='post comments-open'>{a}{b}</article>", "<div class='content has-comments'>{a}{b}</div>", "<div id='content'>{a}<section id='discussion'>{b}</section></div>",
+    "<div><section>{a}</section><section>{b}</section></div>", "<body><div>{a}</div><div>{b}</div></body>", "<article>{a}<div class='feedback-loops'>{b}</div></article>",
+])
+def test_names_that_only_look_like_noise(page):
+    long = [f"Paragraph {i} of the long part, with a comma, another, and quite some length to it, so that it has points." for i in range(12)]
+    a, b = "<h1>T</h1>" + "".join(f"<p>{x}</p>" for x in long), "<h2 id='discussion'>Discussion</h2><p>A short part.</p>"
+    page = NAV + page.format(a=a, b=b) + NOISE[3] + '<div id="comments-area"><p>First, great text, I like it, a lot, friend.</p></div>'
+    assert main_text(page) == "\n\n".join(["T", *long, "Discussion", "A short part."])
+
+
 def test_blocks_and_references():
     page = "<article><p>A &amp; B &lt;x&gt;,\n\t two&nbsp;&eacute; &#233;<br>next <b>bold</b><i>er</i> <a href='/x'>link</a>.<p>Open, paragraph, without, an end<ul><li>one<li>two, three</ul><pre>a\n b</pre><blockquote>Quote, here, it is.</blockquote></article>"
     assert main_text(page) == "A & B <x>, two é é next bolder link.\n\nOpen, paragraph, without, an end\n\none\n\ntwo, three\n\na b\n\nQuote, here, it is."
