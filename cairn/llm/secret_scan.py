@@ -2,11 +2,10 @@
 
 Tokens are runs of [A-Za-z0-9+/_.=-]. The field tags each as the beginning of a secret, its inside, or outside, from the
 token's shape (character classes, length, entropy), the neighbouring words and what stands between, and features of
-the file; Viterbi decodes it. A token may only begin or continue a secret if it has ``LEAST`` characters or more and
-a digit, two capitals, or ``LONG`` characters. All others are outside, which cuts a text into short chains that can
-be decoded one by one with the same result as the whole.
+the file; Viterbi decodes all tokens of a text as one chain. Scores of a token are kept, so that plain words cost a
+lookup, and the chain is cut where the outside is best whatever stands beside it, which changes no result.
 
-The field is fitted on at most ``SAMPLE`` documents of up to ``LONGEST`` characters that hold such tokens, those with the smallest hash of their text,
+The field is fitted on at most ``SAMPLE`` documents of up to ``LONGEST`` characters that hold a token of ``LEAST`` characters and a digit, those with the smallest hash of their text,
 tagged by the patterns, together with ``MADE`` sentences with secrets of other forms made from a fixed seed.
 The model has a fixed size and is sent to all tasks. Texts are scanned whole, without a shuffle.
 
@@ -37,6 +36,8 @@ KINDS = ("assign", "access", "hex")
 TRIGGERS = (b"password", b"passwd", b"secret", b"token", b"api")
 
 LEAST, LONG = 8, 24
+#: Tokens whose scores a task keeps.
+KNOWN = 200_000
 SAMPLE, LONGEST, MADE, PASSES = 2_000, 20_000, 600, 6
 BITS = 16
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -89,15 +90,33 @@ class Block:
         self.long_hex[np.searchsorted(self.rows, h_start[long_runs], side="right") - 1] = True
 
     def chains(self, r: int) -> list[list[int]]:
-        """Chains of neighbouring candidates of row r, as token numbers."""
+        """Chains to learn from: candidates of row r and the tokens beside them, as token numbers."""
         a, b = int(self.first[r]), int(self.first[r + 1])
-        out: list[list[int]] = []
-        for i in (np.flatnonzero(self.candidate[a:b]) + a).tolist():
-            if out and out[-1][-1] == i - 1:
-                out[-1].append(i)
-            else:
-                out.append([i])
-        return out
+        near = np.convolve(self.candidate[a:b], np.ones(3), "same") > 0 if b - a > 2 else np.ones(b - a, dtype=bool)
+        return [c.tolist() for c in runs(np.flatnonzero(near) + a)]
+
+    def emissions(self, field: Field) -> np.ndarray:
+        """The scores of all tokens of the block."""
+        n, spots = len(self.starts), np.arange(len(self.starts))
+        ids = np.array(field.known([self.raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())]), dtype=np.int64)
+        row = np.repeat(np.arange(len(self.rows) - 1), np.diff(self.first))
+        a, none = self.starts, field.ids[b""]
+        body = np.frombuffer(self.raw, dtype=np.uint8)
+        count = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+        lo = np.maximum(self.rows[row], a - 3)
+        inside = lambda mask: (lambda c: c[a] > c[lo])(count(mask))
+        at, sign = inside(body == 64), inside((body == 61) | (body == 58))
+        last = body[np.maximum(a - 1, 0)]
+        quoted = (a > self.rows[row]) & ((last == 34) | (last == 39))
+        v = field.table
+        out = v[ids, 0:3] + np.where(at[:, None], v[ids, 15:18], v[ids, 12:15])
+        for step, col in ((-1, 3), (-2, 6), (1, 9)):
+            j = spots + step
+            ok = (j >= self.first[row]) & (j < self.first[row + 1])
+            out += v[np.where(ok, ids[np.clip(j, 0, max(n - 1, 0))], none), col : col + 3]
+        gaps = np.array([field.score([f"g{x}{y}"]) for x in (False, True) for y in (False, True)])
+        files = np.array([field.score(self.file_features(r)) if self.first[r + 1] > self.first[r] else np.zeros(3) for r in range(len(self.rows) - 1)])
+        return out + gaps[sign * 2 + quoted] + files[row]
 
     def file_features(self, r: int) -> list[str]:
         a, b = int(self.rows[r]), int(self.rows[r + 1])
@@ -112,21 +131,38 @@ class Block:
         a, b = int(self.starts[i]), int(self.ends[i])
         first, last = int(self.first[r]), int(self.first[r + 1])
         t = self.raw[a:b]
-        classes = t.translate(_CLASS)
-        shape = re.sub(rb"(.)\1+", rb"\1", classes)
-        counts = Counter(t)
-        entropy = -sum(c / len(t) * math.log2(c / len(t)) for c in counts.values())
-        kinds = "".join(sorted(set(classes.decode())))
-        changes = sum(x != y for x, y in zip(classes, classes[1:]))
-        word = lambda j: self.low[int(self.starts[j]) : int(self.ends[j])].decode()[:24] if first <= j < last else "<>"
+        word = lambda j: _word(self.raw[int(self.starts[j]) : int(self.ends[j])]) if first <= j < last else "<>"
         gap = self.raw[max(int(self.rows[r]), a - 3) : a]
-        names = [
-            f"k{kinds}", f"k{kinds}l{min(len(t) // 4, 12)}", f"e{int(entropy * 2)}", f"e{int(entropy * 2)}k{kinds}", f"s{shape[:10].decode()}", f"c{min(changes, 12)}", f"n{min(len(t), 48)}",
-            f"x{_IS_HEX[np.frombuffer(t, dtype=np.uint8)].all()}", f"h{t[:4].decode().lower()}", f"d{'.' in t.decode()}{'@' in gap.decode('latin-1')}",
-            f"p{word(i - 1)}", f"q{word(i - 2)}", f"f{word(i + 1)}", f"g{'=' in gap.decode('latin-1') or ':' in gap.decode('latin-1')}{gap[-1:] in (b'\"', b'\x27')}",
-            *file,
-        ]
-        return np.array([zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names])
+        return _coordinates([
+            *_own(t), f"d{'.' in t.decode()}{'@' in gap.decode('latin-1')}", f"p{word(i - 1)}", f"q{word(i - 2)}", f"f{word(i + 1)}",
+            f"g{'=' in gap.decode('latin-1') or ':' in gap.decode('latin-1')}{gap[-1:] in (b'\"', b'\x27')}", *file,
+        ])
+
+
+def runs(at: np.ndarray) -> list[np.ndarray]:
+    """Runs of consecutive numbers."""
+    return np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []
+
+
+def _word(t: bytes) -> str:
+    return t.lower().decode()[:24]
+
+
+def _own(t: bytes) -> list[str]:
+    """Features of a token by itself."""
+    classes = t.translate(_CLASS)
+    shape = re.sub(rb"(.)\1+", rb"\1", classes)
+    entropy = -sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values())
+    kinds = "".join(sorted(set(classes.decode())))
+    changes = sum(x != y for x, y in zip(classes, classes[1:]))
+    return [
+        f"k{kinds}", f"k{kinds}l{min(len(t) // 4, 12)}", f"e{int(entropy * 2)}", f"e{int(entropy * 2)}k{kinds}", f"s{shape[:10].decode()}", f"c{min(changes, 12)}", f"n{min(len(t), 48)}",
+        f"x{_IS_HEX[np.frombuffer(t, dtype=np.uint8)].all()}", f"h{t[:4].decode().lower()}",
+    ]
+
+
+def _coordinates(names: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names])
 
 
 class Field:
@@ -136,8 +172,39 @@ class Field:
         self.w = np.zeros((1 << BITS, 3))
         self.t = np.zeros((3, 3))
         self.t[OUT, INSIDE] = -50.0  # a secret begins with a begin
+        self.ids, self.table = {}, np.zeros((1024, 18))
         self._g, self._gt = np.full((1 << BITS, 3), 1e-8), np.full((3, 3), 1e-8)
 
+    def score(self, names: list[str]) -> np.ndarray:
+        return self.w[_coordinates(names)].sum(axis=0)
+
+    def known(self, tokens: list[bytes]) -> list[int]:
+        """Rows of ``table`` of the tokens: the scores of each by itself, as a neighbour (before, two before, after), and by dots."""
+        if len(self.ids) > KNOWN:
+            self.ids = {}
+        for t in (b"", *set(tokens).difference(self.ids)):
+            if t in self.ids:
+                continue
+            k, word = len(self.ids), _word(t) or "<>"
+            if k == len(self.table):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            parts = [_own(t) if t else [], [f"p{word}"], [f"q{word}"], [f"f{word}"], [f"d{b'.' in t}False"], [f"d{b'.' in t}True"]]
+            c = self.w[_coordinates([x for p in parts for x in p])]
+            self.table[k, :3] = c[:-5].sum(axis=0)
+            self.table[k, 3:] = c[-5:].ravel()
+            self.ids[t] = k
+        return [self.ids[t] for t in tokens]
+
+    def open(self, e: np.ndarray, sure: float = SURE) -> np.ndarray:
+        """Which tokens may be other than outside on a best path. Where the outside leads by more than any change of
+        transitions (and of the next tag from inside to begin) can cost, the outside is best: chains can be cut there."""
+        t, tagged = self.t, [BEGIN, INSIDE]
+        into = (t[:, tagged] - t[:, [OUT]]).max()
+        leave = (t[tagged][:, [OUT, BEGIN]] - t[OUT, [OUT, BEGIN]]).max()
+        turn = t[tagged, INSIDE].max() - t[OUT, BEGIN] + (t[INSIDE] - t[BEGIN]).max()
+        following = np.append(e[1:, INSIDE] - e[1:, BEGIN], 0.0)[: len(e)]
+        return e[:, OUT] + sure - e[:, tagged].max(axis=1) <= into + np.maximum(leave, turn + following)
+
     def emissions(self, chain: list[np.ndarray]) -> np.ndarray:
         return np.array([self.w[f].sum(axis=0) for f in chain])
 
@@ -197,11 +264,15 @@ def _made(seed: int = 5) -> list[tuple[bytes, list[tuple[int, int]]]]:
     mixed = letters + letters.upper() + "0123456789"
     some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
     vocabulary = [some(letters, r.randrange(2, 10)) for _ in range(400)]
+    vocabulary += [w.title() for w in vocabulary[:60]] + [some("0123456789", r.randrange(1, 6)) for _ in range(30)] + [some(letters, 4) + "-" + some(letters, 5) for _ in range(20)]
+    vocabulary += [".".join(some(letters, r.randrange(2, 5)).upper()) + "." for _ in range(20)] + [some(letters, r.randrange(2, 5)).upper() for _ in range(10)] + [w + "." for w in vocabulary[60:90]]
     secret = [
         lambda: ["ghp_" + some(mixed, 36)], lambda: ["sk-" + some(mixed, 40)], lambda: ["xoxb-" + some("0123456789", 11) + "-" + some(mixed, 24)],
         lambda: [some(mixed + "+/", 40)], lambda: ["eyJ" + some(mixed, 30) + "." + some(mixed, 40) + "." + some(mixed + "-_", 43)],
         lambda: [some(mixed + "+/", 64) for _ in range(r.randrange(2, 5))], lambda: ["AIza" + some(mixed + "-_", 35)], lambda: [some(mixed, r.randrange(16, 33))],
     ]
+    short = [lambda: [some(letters, r.randrange(4, 8)) + some("0123456789", r.randrange(1, 4))], lambda: [some(letters, 1).upper() + some(mixed, r.randrange(4, 7))], lambda: [some(letters, r.randrange(14, 24))]]
+    near = ["pwd", "login", "passphrase", "passcode"]
     lead = ["key", "credential", "bearer", "auth", "pwd", "private", "access", "login", "signature"]
     plain = [
         lambda: some("0123456789", r.randrange(8, 20)), lambda: f"{r.randrange(1990, 2030)}-{r.randrange(10, 13)}-{r.randrange(10, 29)}", lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
@@ -220,6 +291,12 @@ def _made(seed: int = 5) -> list[tuple[bytes, list[tuple[int, int]]]]:
                 start = len(text)
                 text += "\n".join(parts) + r.choice([" ", '" ', "\n"])
                 spans.append((start, start + len("\n".join(parts))))
+            elif r.random() < 0.3:  # short ones, and words, stand by a lead
+                text += r.choice(near) + r.choice([" ", ": ", " is "])
+                start = len(text)
+                text += r.choice(short)()[0]
+                spans.append((start, len(text)))
+                text += r.choice([" ", "! ", "\n"])
             else:
                 text += r.choice(plain)() + " "
         out.append((text.encode(), spans))
@@ -241,7 +318,8 @@ def train(texts: list[bytes], passes: int = PASSES) -> Field:
             if spans is None:
                 spans = [(s, e) for s, _, e in base_spans(block.raw[lo:hi], block.low[lo:hi], block.long_hex[r])]
             file = block.file_features(r)
-            for chain in block.chains(r):
+            whole = list(range(int(block.first[r]), int(block.first[r + 1])))
+            for chain in block.chains(r) if marked[a + r][1] is None else [whole] if whole else []:
                 tags, before = [], None
                 for i in chain:
                     s, e = int(block.starts[i]) - lo, int(block.ends[i]) - lo
@@ -258,30 +336,42 @@ def train(texts: list[bytes], passes: int = PASSES) -> Field:
     return field
 
 
+_MODEL: dict[str, Field] = {}
+
+
+def _model(name: str, weights: tuple) -> Field:
+    """The field of these weights; a worker keeps the last one, with the scores it knows, for its next task."""
+    if name not in _MODEL:
+        _MODEL.clear()
+        _MODEL[name] = Field()
+        _MODEL[name].w, _MODEL[name].t = weights
+    return _MODEL[name]
+
+
 def scan_block(data: np.ndarray, offsets: np.ndarray, field: Field) -> list[tuple[list, list]]:
     """For each row its base spans and the added ones, as (start, kind, end) in code points; added spans have kind 3."""
     block = Block(data, offsets)
+    scores = block.emissions(field)
+    maybe = np.flatnonzero(field.open(scores))
+    cuts = np.searchsorted(maybe, block.first)
     out = []
     for r in range(len(offsets) - 1):
         lo, hi = int(block.rows[r]), int(block.rows[r + 1])
         point = lambda p: int(block.points[p] - block.points[lo])
         base = base_spans(block.raw[lo:hi], block.low[lo:hi], block.long_hex[r])
         added = []
-        chains = block.chains(r)
-        if chains:
-            file = block.file_features(r)
-            for chain in chains:
-                tags = field.decode(field.emissions([block.features(i, r, file) for i in chain]))
-                k = 0
-                while k < len(chain):
-                    if tags[k] == OUT:
-                        k += 1
-                        continue
-                    j = k + 1
-                    while j < len(chain) and tags[j] == INSIDE:
-                        j += 1
-                    added.append((int(block.starts[chain[k]]) - lo, 3, int(block.ends[chain[j - 1]]) - lo))
-                    k = j
+        for chain in runs(maybe[cuts[r] : cuts[r + 1]]):
+            tags = field.decode(scores[chain])
+            k = 0
+            while k < len(chain):
+                if tags[k] == OUT:
+                    k += 1
+                    continue
+                j = k + 1
+                while j < len(chain) and tags[j] == INSIDE:
+                    j += 1
+                added.append((int(block.starts[chain[k]]) - lo, 3, int(block.ends[chain[j - 1]]) - lo))
+                k = j
         reach, i, fresh = 0, 0, []
         for s, kind, e in added:  # only what no base span touches
             while i < len(base) and base[i][0] < e:
@@ -311,11 +401,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
 
     field = field or train(sample(docs, text_col))
     sent = docs.sparkSession.sparkContext.broadcast((field.w, field.t))
+    name = hashlib.sha256(field.w.tobytes() + field.t.tobytes()).hexdigest()
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        model = Field()
-        model.w, model.t = sent.value
+        model = _model(name, sent.value)
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             rows = [x for a, b in blocks(offsets) for x in scan_block(data, offsets[a : b + 1], model)]

@@ -87,5 +87,26 @@ def test_clean_prose_is_left_alone(field):
     assert all(x == ([], []) for x in ss.scan_block(data, offsets, field))
 
 
+def test_short_secrets_and_the_whole_chain(field):
+    import pyarrow as pa
+
+    from cairn.llm.common import column_bytes
+
+    texts = ["the house by the pwd hunter2 was old", "so the passphrase is correcthorsebattery and more"]
+    data, offsets = column_bytes(pa.array(texts))
+    for t, (_, added) in zip(texts, ss.scan_block(data, offsets, field)):
+        assert any(t[s:e] in ("hunter2", "correcthorsebattery") for s, _, e in added), t
+    made = [t for t, _ in ss._made(7)[:100]]
+    data, offsets = column_bytes(pa.array(made, pa.large_binary()))
+    block = ss.Block(data, offsets)
+    scores, cut = block.emissions(field), field.open(block.emissions(field))
+    for r in range(len(made)):
+        a, b = int(block.first[r]), int(block.first[r + 1])
+        file = block.file_features(r)
+        e = field.emissions([block.features(i, r, file) for i in range(a, b)])
+        assert np.allclose(e, scores[a:b])
+        assert all(cut[a + i] for i, y in enumerate(field.decode(e)) if y != ss.OUT)
+
+
 def test_empty(spark):
     assert ss.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
