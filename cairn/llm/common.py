@@ -18,17 +18,22 @@ BATCH_BYTES = 4 << 20
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint folder the session names.
 
-    ``spark.checkpoint.dir`` decides. Only where it is unset (tests on one machine) does a temporary folder stand in.
+    ``spark.checkpoint.dir`` decides. Only where it is unset, and all runs on this machine (tests), does a temporary
+    folder stand in; a cluster without the setting is refused. The folder goes when the driver ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        jdir = spark.sparkContext.getCheckpointDir()
-        if jdir:
-            base = jdir
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="cairn-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        sc.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return path
 
 
 def materialize(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
@@ -79,14 +84,20 @@ def release_memory() -> None:
 def bounded_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` over batches of about ``BATCH_BYTES``; a worker gives its memory back when a task ends.
 
-    Rows are texts of any length, so a bound on rows is none on memory. The session's byte bound is set where it is unset.
+    Rows are texts of any length, so a bound on rows is none on memory: batches that come larger, as the session's own
+    bound may be, are cut by the bytes of their widest column.
     """
-    spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(bound, None) is None:
-        spark.conf.set(bound, str(BATCH_BYTES))
+
+    def cut(batches):
+        for batch in batches:
+            rows = batch.num_rows
+            widest = max((c.nbytes for c in batch.columns), default=0)
+            step = max(1, int(rows * BATCH_BYTES // max(widest, 1)))
+            for i in range(0, rows, step):
+                yield batch.slice(i, step)
 
     def released(batches):
-        yield from run(batches)
+        yield from run(cut(batches))
         release_memory()
 
     return df.mapInArrow(released, schema)
@@ -94,10 +105,10 @@ def bounded_batches(df: DataFrame, run, schema: str) -> DataFrame:
 
 # --- vectorised words -------------------------------------------------------------------------------------------
 
-_rng = np.random.default_rng(20240607)
-_BYTE_A = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_B = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_LANES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407))
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_HEADS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 #: Bytes that stay as they are, with A-Z made lower.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -112,26 +123,6 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-class Powers:
-    """B**i and B**-i modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inv = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inv)):
-                x = np.full(size, np.uint64(b), dtype=np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
-
-
-_PA, _PB = Powers(BASE_A), Powers(BASE_B)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits (xor-shift and multiply)."""
     h = h ^ (h >> np.uint64(30))
@@ -193,21 +184,50 @@ def words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over random values of its bytes, mixed. ``second``: an independent one."""
-    if not len(starts):
+    """A 64-bit hash of each word; ``second`` gives one of another family.
+
+    Eight bytes at a time are chained through ``mix``, which is not linear, so that no algebra of the bytes (as with
+    polynomials modulo 2**64) makes both families fail on the same pair. Long words take the halves of XXH3's 128 bits.
+    """
+    n = len(starts)
+    if not n:
         return np.zeros(0, dtype=np.uint64)
-    up, down = (_PB if second else _PA).get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_BYTE_B if second else _BYTE_A)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    a, b = map(np.uint64, _LANES[second])
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    at_byte = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+    out = mix(size.astype(np.uint64) * b + a)
+    todo, far = None, np.flatnonzero(size > LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        todo = np.flatnonzero((size > k) & (size <= LONG_WORD)) if todo is None else todo[size[todo] > k]
+        if not len(todo):
+            break
+        piece = at_byte[starts[todo] + k] & _HEADS[np.minimum(size[todo] - k, 8)]
+        out[todo] = mix((out[todo] ^ piece) * a + b)
+    if len(far):
+        from xxhash import xxh3_128_intdigest
+
+        half = 64 if second else 0
+        out[far] = [xxh3_128_intdigest(data[i:j].tobytes(), seed=7) >> half & 0xFFFFFFFFFFFFFFFF for i, j in zip(starts[far].tolist(), ends[far].tolist())]
+    return out
+
+
+def _joined(x: np.ndarray, y: np.ndarray, second: bool) -> np.ndarray:
+    a, b = map(np.uint64, _LANES[second])
+    return mix(x * a + mix(y ^ b))
 
 
 def gram_hashes(h: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """Hashes of each k consecutive word hashes; len(h) - k + 1 values."""
+    """Hashes of each k consecutive word hashes; len(h) - k + 1 values. Halves are joined, so log2(k) steps make them."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = (_PB if second else _PA).get(len(h) + 1)
-    sums = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[:n])
+    part, size, whole, have = h, 1, None, 0
+    while True:
+        if k & 1:
+            whole, have = (part, size) if whole is None else (_joined(whole[: len(h) - have - size + 1], part[have : have + len(h) - have - size + 1], second), have + size)
+        k >>= 1
+        if not k:
+            return whole
+        part = _joined(part[:-size], part[size:], second)
+        size *= 2

@@ -8,16 +8,18 @@ the index holds one entry for about seven words. An entry is (gram hash, hash of
 The index is a list of immutable runs, tables that are bucketed and sorted by gram hash. A new batch becomes a run of
 its own; it is merge-joined with itself and with each older run on the gram hash, bucket by bucket, without another
 shuffle. Stretches that are equal as a whole to an earlier one repeat in all their windows. Where only the gram recurs,
-the windows themselves are hashed from the texts and compared one by one, which also verifies the match (two
-independent 64-bit hashes over all words of the window). After ``FANOUT`` runs the index is compacted to one.
+the windows themselves are hashed from the texts and compared one by one. Both verify a match by 128 bits over all its
+words, from two families of hashes that share no algebra. At ``FANOUT`` runs the index is compacted to one, and what it
+replaces is deleted; the whole table is taken in more batches than that.
 
-Copies within a block of documents are settled before the shuffle, so a passage in a third of all documents costs one
-entry a block. Documents that need their text again are picked by a broadcast set of at most ``SLOTS`` hash values
+Copies within a task are settled before the shuffle (a task remembers ``REMEMBERED`` stretches; what it forgets is
+settled later), so a passage in a third of all documents costs about one entry a task. Documents that need their text again are picked by a broadcast set of at most ``SLOTS`` hash values
 (a proven bound; if it fills, every document is read again, and results are the same).
 
 Defined results: null, empty and blank texts have no words, and the digest of the empty text. Rows that repeat a doc_id
 are judged by (doc_id, start): at equal places neither starts earlier, so neither loses words to the other. Null doc_ids
-come last. Empty tables give empty results. Only the id and the text are read.
+come last. Empty tables give empty results. A very long text is cut nowhere: its stretches are rows like any other.
+Only the id and the text are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -29,19 +31,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import NOT_SPACE, _PB, blocks, column_bytes, gram_hashes, materialize, mix, scratch_dir, word_hashes, words
+from cairn.llm.common import NOT_SPACE, blocks, bounded_batches, column_bytes, drop_scratch, gram_hashes, materialize, mix, scratch_dir, word_hashes, words
 
 WINDOW, GRAM = 20, 7
 #: Runs of the index that are merged into one.
-FANOUT = 4
+FANOUT = 2
 #: Batches that the whole table is taken in, by doc_id.
-BATCHES = 2
+BATCHES = 3
+#: Stretches that a task remembers to settle copies before the shuffle.
+REMEMBERED = 1 << 17
 SLOTS = 1 << 20
 LAST = (1 << 63) - 1
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
-    """(row, gram hash, stretch hash, first window, windows) of each stretch of a block's rows."""
+    """(row, gram hash, two hashes of the whole stretch, first window, windows) of each stretch of a block's rows."""
     lo = int(offsets[0])
     body = data[lo : int(offsets[-1])]
     starts, ends, first = words(body, offsets - lo, NOT_SPACE)
@@ -49,8 +53,9 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     s = np.flatnonzero(np.arange(len(starts)) + window <= first[1:][row]) if len(starts) else starts
     if not len(s):
         none = np.zeros(0, dtype=np.int64)
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
-    g = gram_hashes(word_hashes(body, starts, ends), gram)
+        return none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none, none
+    one = word_hashes(body, starts, ends)
+    g = gram_hashes(one, gram)
     best, at = g[s], s.copy()
     for j in range(1, window - gram + 1):
         x = g[s + j]
@@ -61,13 +66,12 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     new[1:] = (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)
     head = np.flatnonzero(new)
     a, n = s[head], np.diff(np.append(head, len(s)))
-    second = word_hashes(body, starts, ends, second=True)
-    up, down = _PB.get(len(second) + 1)
-    sums = np.zeros(len(second) + 1, dtype=np.uint64)
-    np.cumsum(second * up[: len(second)], out=sums[1:])
-    whole = (sums[a + n + window - 1] - sums[a]) * down[a]
-    whole = mix(whole + (at[head] - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return row[a], g[at[head]], whole, a - first[row[a]], n
+    place = (at[head] - a).astype(np.uint64) * np.uint64(64) + n.astype(np.uint64)
+    whole = []
+    for second in (False, True):  # the first and the last window hold all words, as a stretch has fewer windows than a window words
+        w = gram_hashes(word_hashes(body, starts, ends, second=True) if second else one, window, second)
+        whole.append(mix(mix(w[a] + place) * np.uint64(0x9E3779B97F4A7C15) + w[a + n - 1]))
+    return row[a], g[at[head]], whole[0], whole[1], a - first[row[a]], n
 
 
 def _packed(a: np.ndarray, n: np.ndarray, settled: np.ndarray) -> np.ndarray:
@@ -75,29 +79,56 @@ def _packed(a: np.ndarray, n: np.ndarray, settled: np.ndarray) -> np.ndarray:
     return (a << 6) | (n << 1) | settled
 
 
+class _Seen:
+    """The smallest places (document, first window) of the stretches that a task met, sorted by their hashes."""
+
+    def __init__(self):
+        self.rows = np.zeros((5, 0), dtype=np.int64)  # key, block, check, document, first window
+
+    def earlier(self, rows: np.ndarray) -> np.ndarray:
+        """Which of ``rows``, sorted and no two of one stretch, repeat an earlier place; the others are remembered."""
+        old = self.rows if self.rows.shape[1] <= REMEMBERED else self.rows[:, :0]
+        every = np.concatenate((old, rows), axis=1)
+        late = np.repeat((0, 1), (old.shape[1], rows.shape[1]))
+        order = np.lexsort((late, every[4], every[3], every[2], every[1], every[0]))
+        x = every[:, order]
+        same = np.zeros(len(order), dtype=bool)
+        same[1:] = (x[:3, 1:] == x[:3, :-1]).all(axis=0)
+        moved = np.zeros(len(order), dtype=bool)
+        moved[1:] = (x[3:, 1:] != x[3:, :-1]).any(axis=0)
+        out = np.zeros(len(order), dtype=bool)
+        out[order] = same & moved
+        self.rows = x[:, ~same]
+        return out[old.shape[1] :]
+
+
 def entries(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The stretches of ``docs`` (doc, tag, text): key, block, doc, tag, at. Those that repeat an earlier one of their
-    block of documents are settled, and get a key that spreads them."""
+    """The stretches of ``docs`` (doc, tag, text): key, block, check, doc, tag, at. Those that repeat an earlier one of
+    their task are settled, and get a key that spreads them."""
     import pyarrow as pa
 
     def run(batches):
+        seen = _Seen()
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = column_bytes(batch.column(2))
             for i, j in blocks(offsets):
-                row, key, whole, a, n = _stretches(data, offsets[i : j + 1], window, gram)
-                doc = ids[i:j][row]
-                order = np.lexsort((a, doc, whole, key))
-                k, w, d, p = key[order], whole[order], doc[order], a[order]
+                row, *hashes, a, n = _stretches(data, offsets[i : j + 1], window, gram)
+                rows = np.array([*[h.view(np.int64) for h in hashes], ids[i:j][row], a], dtype=np.int64).reshape(5, -1)
+                order = np.lexsort(rows[::-1])
+                rows, n, row = rows[:, order], n[order], row[order]
                 head = np.ones(len(order), dtype=bool)
-                head[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+                head[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
                 lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(order) else order
-                settled = (d != d[lead]) | (p != p[lead])
-                k = np.where(settled, mix(d.view(np.uint64) * np.uint64(31) + p.view(np.uint64)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(w.view(np.int64)), pa.array(d), pa.array(tags[i:j][row][order]), pa.array(_packed(p, n[order], settled.astype(np.int64)))],
-                                                 names=["key", "block", "doc", "tag", "at"])
+                settled = (rows[3:] != rows[3:, lead]).any(axis=0)
+                settled |= seen.earlier(rows[:, head])[np.cumsum(head) - 1] if len(order) else settled
+                key, block, check, doc, at = rows
+                key = np.where(settled, mix(doc.view(np.uint64) * np.uint64(31) + at.view(np.uint64)).view(np.int64), key)
+                block, check = np.where(settled, 0, block), np.where(settled, 0, check)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(check), pa.array(doc), pa.array(tags[i:j][row]), pa.array(_packed(at, n, settled.astype(np.int64)))],
+                                                 names=["key", "block", "check", "doc", "tag", "at"])
 
-    return docs.select("doc", "tag", "text").mapInArrow(run, "key long, block long, doc long, tag long, at long")
+    return bounded_batches(docs.select("doc", "tag", "text"), run, "key long, block long, check long, doc long, tag long, at long")
 
 
 def window_hashes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -125,7 +156,7 @@ def window_hashes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(one[p].view(np.int64)), pa.array(two[p].view(np.int64)), pa.array(age[i:j][row]), pa.array(doc[i:j][row]), pa.array(tag[i:j][row]), pa.array(start)],
                                                  names=["w1", "w2", "age", "doc", "tag", "start"])
 
-    return docs.select("age", "doc", "tag", "text", "spans").mapInArrow(run, "w1 long, w2 long, age int, doc long, tag long, start long")
+    return bounded_batches(docs.select("age", "doc", "tag", "text", "spans"), run, "w1 long, w2 long, age int, doc long, tag long, start long")
 
 
 def _digests(docs: DataFrame, with_spans: bool, window: int) -> DataFrame:
@@ -165,7 +196,7 @@ def _digests(docs: DataFrame, with_spans: bool, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc long, tag long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_spans else "")
-    return docs.select("doc", "tag", "text", *(["spans"] if with_spans else [])).mapInArrow(run, schema)
+    return bounded_batches(docs.select("doc", "tag", "text", *(["spans"] if with_spans else [])), run, schema)
 
 
 def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -191,6 +222,10 @@ class Index:
         df.write.bucketBy(self.buckets, "key").sortBy("key", "block").option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        drop_scratch(self.spark, f"{self.root}/{run}")
+
     def add(self, docs: DataFrame) -> DataFrame:
         """Add a batch (doc, tag, text); give back the stretches of it that recur: doc, tag, at."""
         number = len(self.batches)
@@ -201,28 +236,31 @@ class Index:
         settled = new.where("at & 1 = 1").select("doc", "tag", "at")
 
         # Grams that recur, in the batch or in older runs: bucket by bucket.
+        cols = ["key", "block", "check", "age", "doc", "tag", "at"]
         keys = open_.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-        again = open_.join(keys.where("times > 1").select("key"), "key", "left_semi")
-        parts = [again]
-        for old in self.runs:
+        again, recurs = open_.join(keys.where("times > 1"), "key", "left"), F.col("times").isNotNull()
+        parts = []
+        for k, old in enumerate(self.runs):
             past = self.spark.table(old).where("at & 1 = 0")
-            parts.append(past.join(keys.select("key"), "key", "left_semi"))
-            parts.append(open_.join(past.select("key").distinct(), "key", "left_semi"))
-        both = parts[0]
-        for p in parts[1:]:
+            parts.append(past.join(keys.select("key"), "key", "left_semi").select(cols))
+            again = again.join(past.groupBy("key").agg(F.lit(True).alias(f"in{k}")), "key", "left")
+            recurs = recurs | F.col(f"in{k}").isNotNull()
+        both = again.where(recurs).select(cols)
+        for p in parts:
             both = both.unionByName(p)
-        both = materialize(both.select("key", "block", "age", "doc", "tag", "at").distinct(), f"shared{number}", self.root)
+        both = materialize(both, f"shared{number}", self.root)
         self.runs.append(run)
 
         # Whole stretches: all but the first are repeats.
+        whole = ["key", "block", "check"]
         place = F.struct("age", "doc", F.expr("at >> 6").alias("start"))
-        stretches = both.groupBy("key", "block").agg(F.min(place).alias("first"), F.min("tag").alias("any_tag"), F.count(F.lit(1)).alias("times"))
-        repeats = both.join(stretches.where("times > 1"), ["key", "block"]).where(place > F.col("first")).select("age", "doc", "tag", "at")
-        repeats = materialize(repeats, f"repeats{number}", self.root)
+        stretches = both.groupBy(*whole).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+        stretches = materialize(stretches, f"stretches{number}", self.root)
+        repeats = both.where(F.col("age") == number).join(stretches.where("times > 1"), whole).where(place > F.col("first")).select("doc", "tag", "at")
 
         # Grams of several stretches: window by window, for the first of each stretch.
         several = stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        firsts = both.join(stretches.select("key", "block", "first"), ["key", "block"]).where(place == F.col("first")).join(several, "key", "left_semi")
+        firsts = both.join(stretches.join(several, "key", "left_semi").select(*whole, "first"), whole).where(place == F.col("first"))
         spans = firsts.groupBy("age", "doc", "tag").agg(F.collect_set("at").alias("spans"))
         spans = materialize(spans, f"spans{number}", self.root)
         texts = None
@@ -233,22 +271,32 @@ class Index:
         hashes = materialize(hashes, f"windows{number}", self.root)
         at = F.struct("age", "doc", "start")
         lead = hashes.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-        single = hashes.join(lead, ["w1", "w2"]).where(at > F.col("first"))
-        single = single.select("age", "doc", "tag", F.expr("(start << 6) | 2").alias("at"))
-        found = repeats.unionByName(single).where(F.col("age") == number).select("doc", "tag", "at").unionByName(settled)
+        single = hashes.where(F.col("age") == number).join(lead, ["w1", "w2"]).where(at > F.col("first"))
+        single = single.select("doc", "tag", F.expr("(start << 6) | 2").alias("at"))
+        found = materialize(repeats.unionByName(single).unionByName(settled), f"found{number}", self.root)
+        for name in ("shared", "stretches", "spans", "windows"):
+            drop_scratch(self.spark, f"{self.root}/{name}{number}")
         if len(self.runs) >= self.fanout:
             self.compact()
         return found
 
     def compact(self) -> None:
-        """Merge all runs into one that holds the first entry of each stretch."""
+        """Merge all runs into one that holds the first entry of each stretch; the merged ones are deleted."""
         every = None
         for r in self.runs:
             t = self.spark.table(r).where("at & 1 = 0")
             every = t if every is None else every.unionByName(t)
         row = F.struct("age", "doc", F.expr("at >> 6").alias("start"), "at", "tag")
-        kept = every.groupBy("key", "block").agg(F.min(row).alias("r")).select("key", "block", "r.doc", "r.tag", "r.at", "r.age")
-        self.runs = [self._save(kept)]
+        kept = every.groupBy("key", "block", "check").agg(F.min(row).alias("r")).select("key", "block", "check", "r.doc", "r.tag", "r.at", "r.age")
+        merged, self.runs = self.runs, [self._save(kept)]
+        for r in merged:
+            self._drop(r)
+
+    def close(self) -> None:
+        """Delete the runs."""
+        for r in self.runs:
+            self._drop(r)
+        self.runs = []
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -278,6 +326,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part = part.where(F.col("doc") <= high) if high is not None else part
         more = index.add(part.select("doc", "tag", "text"))
         found = more if found is None else found.unionByName(more)
+    index.close()
     spans = materialize(found.groupBy("doc", "tag").agg(F.collect_list("at").alias("spans")), "found", root)
     touched = _picked(d.select("doc", "tag", "text"), spans).dropDuplicates(["doc", "tag"]).join(spans, ["doc", "tag"])
     cleaned = _digests(touched, True, window).drop("n_words")

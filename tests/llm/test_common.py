@@ -43,6 +43,55 @@ def test_hashes_depend_on_content_alone():
     assert len(common.gram_hashes(h, 9)) == 0
 
 
+def thue_morse(n):
+    """A word of n letters and its complement; polynomials modulo 2**64 take them for equal from 1024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 16, 64, 128, 1024, 2048, 4096])
+def test_hashes_share_no_algebra(n):
+    a, b = thue_morse(n)
+    body = np.frombuffer(f"{a} {b} {a}".encode(), dtype=np.uint8)
+    starts, ends, _ = common.words(body, np.array([0, len(body)]), common.NOT_SPACE)
+    for second in (False, True):
+        h = common.word_hashes(body, starts, ends, second)
+        assert h[0] == h[2] != h[1]
+        x, y = h[0], h[1]
+        one = np.where(np.array([c == "a" for c in a]), x, y)
+        two = np.where(np.array([c == "a" for c in a]), y, x)
+        assert common.gram_hashes(one, n, second)[0] != common.gram_hashes(two, n, second)[0]
+
+
+@pytest.mark.parametrize("k", range(1, 34))
+def test_grams_tell_every_word(k):
+    rng = np.random.default_rng(k)
+    h = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    for second in (False, True):
+        g = common.gram_hashes(h, k, second)
+        assert len(g) == 101 - k and len(set(g.tolist())) == len(g)
+        for i in range(40, 40 + k):
+            changed = h.copy()
+            changed[i] += np.uint64(1)
+            now = common.gram_hashes(changed, k, second)
+            assert np.flatnonzero(now != g).tolist() == list(range(max(0, i - k + 1), min(len(g) - 1, i) + 1))
+
+
+def test_batches_are_cut_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "BATCH_BYTES", 1000)
+    df = spark.createDataFrame([(i, "x" * (i % 7) * 100) for i in range(200)], "k long, t string").coalesce(1)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([sum(len(x) for x in b.column(1).to_pylist())])], names=["n", "bytes"])
+
+    conf = spark.conf.getAll
+    rows = common.bounded_batches(df, run, "n long, bytes long").collect()
+    assert sum(r.n for r in rows) == 200 and len(rows) > 20 and spark.conf.getAll == conf
+
+
 def test_smallest_hashes(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     a = [r.k for r in common.smallest_hashes(df, "k", 100).collect()]

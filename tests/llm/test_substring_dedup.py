@@ -97,6 +97,27 @@ def test_compaction_keeps_results(spark):
     assert {d: len(gone.get(d, ())) for d, _ in docs} == {d: n for d, _, n, _ in brute(docs)}
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_polynomials_take_for_equal(spark, n):
+    from tests.llm.test_common import thue_morse
+
+    w = [f"t{i}" for i in range(26)]
+    docs = [(i, " ".join([*w[:12], x, *w[13:]])) for i, x in enumerate(thue_morse(n))]
+    assert got(sd.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_tasks_remember_the_smallest_place(monkeypatch):
+    monkeypatch.setattr(sd, "REMEMBERED", 4)
+    seen, r = sd._Seen(), random.Random(2)
+    least = {}
+    for _ in range(60):
+        rows = sorted({(k, k * 2, k * 3): (r.randrange(50), r.randrange(9)) for k in r.choices(range(6), k=4)}.items())
+        table = sd.np.array([[*a, *b] for a, b in rows], dtype=sd.np.int64).T
+        for (k, place), settled in zip(rows, seen.earlier(table)):
+            assert not settled or least[k] < place
+            least[k] = min(least.get(k, place), place)
+
+
 def test_texts(spark):
     t = " ".join(f"t{i}" for i in range(40))
     rows = sd.substring_dedup(spark.createDataFrame([(1, t), (2, "new " + t + " end")], "doc_id long, text string"), texts=True).collect()
