@@ -1,21 +1,25 @@
 """Operator 9, mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-A source whose target is e times its size gives each of its documents floor(e) certain whole copies. The remainder
-e - floor(e) is the document's inclusion probability p for one more copy. Documents are ranked by the Pareto ranking
-variable, the odds of a uniform random number divided by the odds of p (Rosen 1997), and the lowest ranks are taken
-until the next would pass the source's target; inclusion probabilities differ from source to source, and within a
-source by ``weight_col``. Whole documents leave a gap below the target; ``FITS`` more documents a source, each the
-largest that fits in the gap, close it.
+A source whose target is e times its size gives each of its documents floor(e) certain whole copies. The words that are
+left to the target are a sample of documents for one more copy, with unequal inclusion probabilities: p = min(1, l z)
+in proportion to the document's size z, where l makes the expected words, the sum of p z, exactly those that are left.
+Documents with p = 1 are certain too and split off. The others are ranked by the Pareto ranking variable, the odds of a
+uniform random number divided by the odds of p (Rosen 1997), and the fixed size is filled in the order of the ranks: a
+document that would pass the target is passed over, and the next ones that still fit are taken. So each source ends
+below its target by less than the smallest document that was passed over last, or has no more to give.
 
 Random numbers come from a hash of seed and doc_id, so reruns agree on any cluster.
 
-Nothing is gathered by source: ranks are cut into ``BINS`` bins, words are summed by (source, bin) with partial sums
-before the shuffle, and only the one bin of each source that the target falls into is ordered row by row. So a source
-with a third of all rows is spread over all tasks.
+Nothing is gathered by source. l follows from the number of documents of each size. For a walk down the ranks, words
+are summed by (source, bin of ranks) with partial sums before the shuffle, and only the one bin of each source in which
+the target is passed is ordered row by row; what comes out is the rank where the target is passed. The next walk starts
+there with the documents that fit the smaller gap. Few walks are needed, as the gap shrinks like a random share each
+time; they end when nothing fits.
 
-Defined results: null text has size 0 and takes 0 words. A null source is a source of its own, the last. Rows that
-repeat a doc_id share a random number; they are ranked next to each other and counted one by one. An empty table gives
-an empty result. Other columns are not read.
+Defined results: null, empty and blank texts have size 0 and take 0 words. A null source is a source of its own, the
+last. Rows that repeat a doc_id share a random number; those that agree in size too are taken or left together. A very
+long text is a document like any other: certain if l z passes 1, else passed over where it doesn't fit. An empty table
+gives an empty result. Other columns are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -25,10 +29,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, scratch_dir
 
-#: Bins of the ranking variable.
-BINS = 1 << 16
-#: Documents a source chosen by fit, after those chosen by rank.
-FITS = 3
+#: Bins of the ranking variable to each doubling of it.
+BINS = 1024
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and the most copies of a source.
@@ -72,80 +74,96 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None,
-        seed: str = "mix-1:", share: float = SHARE, most: float = MOST, root: str | None = None) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, copies, taken.
+def size_factors(by_size: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, factor, most, need): p is ``factor`` x size for sizes up to ``most`` and 1 beyond; ``need`` are the words
+    to sample after all certain copies.
 
-    ``weight_col``, if given, scales a document's inclusion odds within its source.
+    ``by_size`` has (source, size, n). If the sizes above z are certain, the factor is what they leave of the words,
+    divided by the sum of squares of the others; z is the largest size for which that makes no probability pass 1.
     """
+    s = sources.select(F.col("source").alias("s_source"), (F.col("target") - F.col("certain") * F.col("source_size")).alias("left"))
+    x = by_size.join(s, _same(F.col("source"), F.col("s_source"))).drop("s_source").where("left > 0")
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    z, n = F.col("size").cast("decimal(38,0)"), F.col("n").cast("decimal(38,0)")
+    x = x.withColumn("words", z * n).withColumn("squares", z * z * n)
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    squares = F.sum("squares").over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    x = x.withColumn("above", above).withColumn("factor", (F.col("left") - above) / squares).where("factor * size < 1")
+    best = F.max(F.struct("size", "factor", (F.col("left") - F.col("above")).alias("need"))).alias("b")
+    return x.groupBy("source").agg(best).select("source", F.col("b.factor").alias("factor"), F.col("b.size").alias("most"), F.col("b.need").alias("need"))
+
+
+def walk(x: DataFrame, start: DataFrame) -> DataFrame:
+    """One walk down the ranks: (source, low, limit, high, room) for each source that has documents to take.
+
+    ``x`` has (source, size, place, bin), ``start`` has (source, low, room). Documents after ``low`` of at most ``room``
+    words are taken in the order of ``place`` up to before ``high``, the first that would pass the room (null: all are
+    taken); ``limit`` is the room before and ``room`` what is left.
+    """
+    s = start.select(F.col("source").alias("s_source"), "low", F.col("room").alias("limit"))
+    fits = _joined(x, s, "s_source").where((F.col("low").isNull() | (F.col("place") > F.col("low"))) & (F.col("size") <= F.col("limit")))
+    sums = fits.groupBy("source", "low", "limit", "bin").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("bin")
+    sums = sums.withColumn("upto", F.sum("words").over(upto))
+    passed = F.col("upto") > F.col("limit")
+    cut = sums.groupBy("source", "low", "limit").agg(
+        F.min(F.when(passed, F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))).alias("c"), F.max(F.when(~passed, F.col("upto"))).alias("got"))
+    cut = materialize(cut.select("source", "low", "limit", "got", F.col("c.bin").alias("cut_bin"), F.col("c.before").alias("before")), "cut")
+    e = cut.where("cut_bin is not null").select(F.col("source").alias("e_source"), F.col("low").alias("e_low"), F.col("limit").alias("e_limit"), "cut_bin", "before")
+    edge = _joined(x, e, "e_source").where((F.col("bin") == F.col("cut_bin")) & (F.col("e_low").isNull() | (F.col("place") > F.col("e_low"))) & (F.col("size") <= F.col("e_limit")))
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("place")) + F.col("before")  # equal places count as one
+    edge = edge.select("source", "place", run.alias("run"), (run > F.col("e_limit")).alias("over"))
+    edge = edge.groupBy(F.col("source").alias("e_source")).agg(F.min(F.when(F.col("over"), F.col("place"))).alias("high"), F.max(F.when(~F.col("over"), F.col("run"))).alias("reached"))
+    out = cut.join(edge, _same(F.col("source"), F.col("e_source")), "left")
+    got = F.coalesce("reached", "before", "got", F.lit(0))
+    return out.select("source", "low", "limit", "high", (F.col("limit") - got).alias("room"))
+
+
+def _joined(x: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    small = F.broadcast(small) if _small(small) else small
+    return x.join(small, _same(F.col("source"), F.col(key))).drop(key)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        seed: str = "mix-1:", share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS, root: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, chance (its p), copies, taken."""
     root = root or scratch_dir(docs.sparkSession)
-    rank_weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
-    d = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), rank_weight.alias("odds")),
-        "sizes", root,
-    )
-    sources = materialize(source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), share, most), "sources", root)
-
-    # Certain copies, and the Pareto rank of the copy that is left to chance.
-    e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = F.broadcast(sources) if _small(sources) else sources
-    x = d.join(t.withColumnRenamed("source", "s_source"), _same(F.col("source"), F.col("s_source"))).drop("s_source")
-    x = x.withColumn("certain", F.floor(e).cast("long")).withColumn("p", e - F.floor(e))
+    d = materialize(docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source")), "sizes", root)
+    by_size = materialize(d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "by_size", root)
+    sources = source_targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, most, weights)
+    certain = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).cast("long")
+    sources = materialize(sources.withColumn("certain", certain), "sources", root)
+    factors = materialize(size_factors(by_size.where("size > 0"), sources), "factors", root)
+    s = sources.join(factors.select(F.col("source").alias("f_source"), "factor", "most", "need"), _same(F.col("source"), F.col("f_source")), "left").drop("f_source")
+    s = materialize(s.withColumnRenamed("source", "s_source"), "both", root)
+
+    # The chance of one more copy, and the place in the order of the Pareto ranks.
+    x = _joined(d, s, "s_source")
+    p = F.when(F.col("factor").isNull() | (F.col("size") == 0), F.lit(0.0)).when(F.col("size") > F.col("most"), F.lit(1.0)).otherwise(F.col("factor") * F.col("size"))
+    x = x.withColumn("chance", p)
     u = uniform(F.col("doc_id"), seed)
-    q = (u / (1 - u)) / (F.col("odds") * F.col("p") / (1 - F.col("p")))
-    x = x.withColumn("rank", F.when(F.col("p") > 0, q / (1 + q)))
-    # Within a source p is one number, so bins by odds(u)/odds keep the order of the ranks, and are evenly filled.
-    even = (u / (1 - u)) / F.col("odds")
-    x = x.withColumn("bin", F.when(F.col("p") > 0, F.least(F.floor(even / (1 + even) * BINS), F.lit(BINS - 1))).cast("int"))
+    odds = F.when((F.col("chance") > 0) & (F.col("chance") < 1), (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance"))))
+    place = F.struct(odds.alias("odds"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))
+    x = x.select("doc_id", "size", "source", "source_size", "target", "certain", "chance", F.when(odds.isNotNull(), place).alias("place"), F.floor(F.log2(odds) * BINS).cast("int").alias("bin"))
     x = materialize(x, "ranked", root)
 
-    gap = sources.select("source", (F.col("target") - F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)) * F.col("source_size")).alias("need"))
-
-    # The bin of each source that its need falls into.
-    sums = x.where("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    cut = (
-        sums.join(gap.withColumnRenamed("source", "g_source"), _same(F.col("source"), F.col("g_source")))
-        .where((F.col("before") <= F.col("need")) & (F.col("before") + F.col("words") > F.col("need")))
-        .groupBy("source", "need").agg(F.max(F.struct("bin", "before")).alias("c"))
-        .select(F.col("source").alias("c_source"), F.col("c.bin").alias("cut_bin"), F.col("c.before").alias("cut_before"), F.col("need").alias("cut_need"))
-    )
-    cut = materialize(cut, "cut", root)
-    c = F.broadcast(cut) if _small(cut) else cut
-    y = x.join(c, _same(F.col("source"), F.col("c_source")), "left").drop("c_source")
-    # Without a cut, every document with a chance is needed, or none has one.
-    low = (F.col("bin").isNotNull()) & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")))
-    y = y.withColumn("extra", F.when(low, 1).otherwise(0).cast("long"))
-    edge = (F.col("cut_bin").isNotNull()) & (F.col("bin") == F.col("cut_bin"))
-    w = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = y.where(edge).withColumn("run", F.sum("size").over(w) + F.col("cut_before"))
-    at_edge = at_edge.withColumn("extra", (F.col("run") <= F.col("cut_need")).cast("long")).drop("run")
-    y = y.where(~F.coalesce(edge, F.lit(False))).unionByName(at_edge)
-    y = y.drop("bin", "cut_bin", "cut_before", "cut_need", "odds", "p")
-    y = materialize(y, "chosen", root)
-
-    # The gap that whole documents leave: the largest document that fits, FITS times.
-    fits = None
-    for k in range(FITS):
-        taken = y.where("extra = 1").groupBy(F.col("source").alias("t_source")).agg(F.sum("size").alias("got"))
-        left = gap.join(taken, _same(F.col("source"), F.col("t_source")), "left").select(F.col("source").alias("l_source"), (F.col("need") - F.coalesce("got", F.lit(0))).alias("room"))
-        if fits is not None:
-            used = fits.groupBy(F.col("f_source").alias("u_source")).agg(F.sum("f_size").alias("used"))
-            left = left.join(used, _same(F.col("l_source"), F.col("u_source")), "left").select("l_source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
-        left = materialize(left, f"room{k}", root)
-        room = F.broadcast(left) if _small(left) else left
-        free = y.where("extra = 0 and rank is not null and size > 0").join(room, _same(F.col("source"), F.col("l_source"))).where("size <= room")
-        if fits is not None:
-            fb = F.broadcast(fits) if _small(fits) else fits
-            free = free.join(fb, _same(F.col("source"), F.col("f_source")) & _same(F.col("doc_id"), F.col("f_doc")), "left_anti")
-        best = F.max(F.struct(F.col("size"), (-F.col("rank")).alias("neg"), F.col("doc_id"))).alias("b")
-        more = free.groupBy(F.col("source").alias("f_source")).agg(best).select("f_source", F.col("b.doc_id").alias("f_doc"), F.col("b.size").alias("f_size"))
-        fits = materialize(more if fits is None else fits.unionByName(more), f"fits{k}", root)
-    fb = F.broadcast(fits) if _small(fits) else fits
-    y = y.join(fb, _same(F.col("source"), F.col("f_source")) & _same(F.col("doc_id"), F.col("f_doc")) & (F.col("extra") == 0) & F.col("rank").isNotNull(), "left")
-    copies = F.col("certain") + F.when(F.col("f_size").isNotNull(), 1).otherwise(F.col("extra"))
-    return y.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    # Walks: the first from the top, each next one from where the last passed its room.
+    ranked, none = x.where("place is not null").select("source", "size", "place", "bin"), F.lit(None).cast(x.schema["place"].dataType)
+    start, walks = factors.select("source", none.alias("low"), F.col("need").alias("room")), []
+    while True:
+        walks.append(materialize(walk(ranked, start), f"walk{len(walks)}", root))
+        start = walks[-1].where("high is not null and room >= 1").select("source", F.col("high").alias("low"), "room")
+        if start.isEmpty():
+            break
+    every = walks[0]
+    for w in walks[1:]:
+        every = every.unionByName(w)
+    taken = materialize(every.groupBy(F.col("source").alias("w_source")).agg(F.collect_list(F.struct("low", "high", "limit")).alias("walks")), "walks", root)
+    x = x.join(F.broadcast(taken) if _small(taken) else taken, _same(F.col("source"), F.col("w_source")), "left")
+    at = F.col("place")
+    within = F.exists("walks", lambda w: (w["low"].isNull() | (at > w["low"])) & (w["high"].isNull() | (at < w["high"])) & (F.col("size") <= w["limit"]))
+    copies = F.col("certain") + F.when((F.col("chance") == 1) | (at.isNotNull() & F.coalesce(within, F.lit(False))), 1).otherwise(0)
+    return x.select("doc_id", "size", "source", "source_size", "target", "chance", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

@@ -80,15 +80,9 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-_FIT = """
-best{k} AS (SELECT source, doc_id, size FROM (SELECT c.source, c.doc_id, c.size, row_number() OVER (PARTITION BY c.source ORDER BY c.size DESC, c.rank, c.doc_id DESC) AS n
-  FROM chosen c JOIN room{k} r ON c.source IS NOT DISTINCT FROM r.source WHERE c.extra = 0 AND c.rank IS NOT NULL AND c.size > 0 AND c.size <= r.room AND NOT EXISTS (SELECT 1 FROM fits{j} f WHERE f.doc_id = c.doc_id)) WHERE n = 1),
-fits{k} AS (SELECT doc_id, source, size FROM fits{j} UNION ALL SELECT doc_id, source, size FROM best{k}),
-room{i} AS (SELECT g.source, g.need - coalesce((SELECT sum(size) FROM chosen c WHERE c.extra = 1 AND c.source IS NOT DISTINCT FROM g.source), 0) - coalesce((SELECT sum(size) FROM fits{k} f WHERE f.source IS NOT DISTINCT FROM g.source), 0) AS room FROM gap g),"""
-
 ORACLE_SQL = {
     "op9_mixing": r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), s0 AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -103,22 +97,28 @@ WITH d AS (
   SELECT *, (SELECT level FROM s3 x WHERE x.w * x.level < x.stop ORDER BY x.r, x.source NULLS LAST LIMIT 1) AS fixed FROM s3
 ), s AS (
   SELECT source, source_size, CASE WHEN fixed IS NULL THEN stop ELSE least(stop, w * fixed) END AS target FROM s4
+), t AS (
+  SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END) AS BIGINT) AS certain FROM s
+), f AS (
+  SELECT source, arg_max(need / squares, size) AS factor, max(size) AS most, arg_max(need, size) AS need FROM (
+    SELECT d.source, d.size, t.target - t.certain * t.source_size AS need_all,
+      t.target - t.certain * t.source_size - coalesce((SELECT sum(b.size) FROM d b WHERE b.source IS NOT DISTINCT FROM d.source AND b.size > d.size), 0)::DOUBLE AS need,
+      (SELECT sum(b.size * b.size) FROM d b WHERE b.source IS NOT DISTINCT FROM d.source AND b.size <= d.size)::DOUBLE AS squares
+    FROM (SELECT DISTINCT source, size FROM d WHERE size > 0) d JOIN t ON t.source IS NOT DISTINCT FROM d.source
+  ) WHERE need_all > 0 AND need / squares * size < 1 GROUP BY source
 ), x AS (
-  SELECT d.*, s.source_size, s.target, CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0.0 END AS e, (CAST('0x' || substr(md5('mix-1:' || d.doc_id), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
-), y AS (
-  SELECT *, CAST(floor(e) AS BIGINT) AS certain, e - floor(e) AS p FROM x
-), z AS (
-  SELECT *, CASE WHEN p > 0 THEN ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) END AS rank FROM y
-), gap AS (
-  SELECT source, target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END) * source_size AS need FROM s
-), chosen AS (
-  SELECT z.*, CASE WHEN rank IS NOT NULL AND sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY z.source ORDER BY rank NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= need THEN 1 ELSE 0 END AS extra
-  FROM z JOIN gap g ON z.source IS NOT DISTINCT FROM g.source
-), fits0 AS (SELECT doc_id, source, size FROM chosen WHERE false),
-room1 AS (SELECT g.source, g.need - coalesce((SELECT sum(size) FROM chosen c WHERE c.extra = 1 AND c.source IS NOT DISTINCT FROM g.source), 0) AS room FROM gap g),
-""" + "".join(_FIT.format(j=k - 1, k=k, i=k + 1) for k in (1, 2, 3)).rstrip(",") + r"""
-SELECT c.doc_id, c.size, c.source_size, c.target, CAST((certain + CASE WHEN f.doc_id IS NOT NULL THEN 1 ELSE extra END) * c.size AS BIGINT) AS taken FROM chosen c LEFT JOIN fits3 f ON f.doc_id = c.doc_id
+  SELECT d.*, t.source_size, t.target, t.certain, f.need,
+    CASE WHEN f.factor IS NULL OR d.size = 0 THEN 0.0::DOUBLE WHEN d.size > f.most THEN 1.0::DOUBLE ELSE f.factor * d.size END AS p,
+    (CAST('0x' || substr(md5('mix-1:' || d.doc_id), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id) AS n FROM x WHERE p > 0 AND p < 1
+), step AS (
+  SELECT source, doc_id, n, CASE WHEN size <= need THEN size ELSE 0 END AS extra, need - CASE WHEN size <= need THEN size ELSE 0 END AS room FROM ranked WHERE n = 1
+  UNION ALL
+  SELECT r.source, r.doc_id, r.n, CASE WHEN r.size <= s.room THEN r.size ELSE 0 END, s.room - CASE WHEN r.size <= s.room THEN r.size ELSE 0 END FROM step s JOIN ranked r ON r.n = s.n + 1 AND r.source IS NOT DISTINCT FROM s.source
+)
+SELECT x.doc_id, x.size, x.source_size, x.target, CAST(x.certain * x.size + CASE WHEN x.p = 1 THEN x.size ELSE coalesce(step.extra, 0) END AS BIGINT) AS taken FROM x LEFT JOIN step ON step.doc_id = x.doc_id
 """,
     "op10_substring_dedup": r"""
 WITH d AS (

@@ -40,9 +40,46 @@ def check(rows, docs):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source])
         assert 0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size
         taken[r.source] += r.taken
+    # From the definition: what stays below the target is less than any document that could be taken once more.
     for s in sizes:
-        least = min([x.size for x in rows if x.source == s and x.size and x.copies < int(target[s] // max(1, sizes[s])) + 1], default=0)
-        assert taken[s] <= target[s] + 1e-6 and (taken[s] + least > target[s] - 1e-6 or target[s] - taken[s] < 0.03 * sizes[s] + 40)
+        certain = int(target[s] / sizes[s]) if sizes[s] else 0
+        more = [x.size for x in rows if x.source == s and x.size and x.copies == certain]
+        gap = target[s] - taken[s]
+        assert -1e-6 * target[s] <= gap and (not more or gap < max(more) + 1)
+
+
+def brute(docs, seed="mix-1:"):
+    """Copies by a walk down the ranks, document by document."""
+    sizes = {}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    out = {}
+    for s, target in brute_targets(sizes).items():
+        mine = [(d, size(t)) for d, t, x in docs if x == s]
+        certain = int(target / sizes[s]) if sizes[s] else 0
+        left = target - certain * sizes[s]
+        low, high = 0.0, 1.0
+        while sum(min(1, high * z) * z for _, z in mine) < left and high < 1e9:
+            high *= 2
+        for _ in range(200):  # the factor by bisection of its definition
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(1, mid * z) * z for _, z in mine) < left else (low, mid)
+        p = {d: min(1, high * z) for d, z in mine}
+        copies = {d: certain for d, _ in mine}
+        order = []
+        for d, z in mine:
+            if left > 1e-9 and p[d] >= 1 - 1e-9:
+                copies[d] += 1
+                left -= z
+            elif left > 1e-9 and z:
+                u = (int(hashlib.md5(f"{seed}{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                order.append((u / (1 - u) / (p[d] / (1 - p[d])), d, z))
+        for _, d, z in sorted(order):
+            if z <= left:
+                copies[d] += 1
+                left -= z
+        out |= copies
+    return out
 
 
 def test_documents(spark):
@@ -50,17 +87,31 @@ def test_documents(spark):
     docs = [(r.doc_id, r.text, r.source) for r in df.collect()]
     rows = mixing.mix(df).collect()
     check(rows, docs)
+    assert {r.doc_id: r.copies for r in rows} == brute(docs)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(df.repartition(5)).collect()))
-    by = {}
-    for r in rows:  # by rank, but for FITS documents a source: what is taken comes before what is not
-        e = r.target / r.source_size
-        if e % 1:
-            u = (int(hashlib.md5(f"mix-1:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-            by.setdefault(r.source, []).append((u, r.copies > int(e)))
-    for x in by.values():
-        x.sort()
-        first = next((i for i, (_, t) in enumerate(x) if not t), len(x))
-        assert sum(t for _, t in x[first:]) <= mixing.FITS
+    assert len({round(r.chance, 9) for r in rows if r.source == rows[0].source}) > 10
+
+
+def test_inclusion_frequencies(spark):
+    """Sources that are alike but for their random numbers: each size is taken as often as its chance says."""
+    sizes = [1 + (i * i) % 97 for i in range(1200)] + [900]
+    names = [f"s{k:03d}" for k in range(45)]
+    docs = [(k * 10000 + i, "w " * z, s) for k, s in enumerate(names) for i, z in enumerate(sizes)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    groups = {}
+    for r in rows:
+        certain = int(r.target / r.source_size)
+        groups.setdefault((round(r.target), r.size), []).append((r.copies - certain, r.chance))
+    assert len({t for t, _ in groups}) >= 2
+    for (_, z), x in groups.items():
+        p, f = x[0][1], sum(c for c, _ in x) / len(x)
+        assert all(q == pytest.approx(p) for _, q in x)
+        if p in (0, 1):
+            assert f == p
+        else:  # a few small ones a source close the gaps, and are taken somewhat more often
+            assert -4 * (p * (1 - p) / len(x)) ** 0.5 < f - p < 0.03 + 4 * (p * (1 - p) / len(x)) ** 0.5, (z, p, f)
+    unequal = [sum(c for c, _ in x) / len(x) for (t, z), x in sorted(groups.items()) if 0 < x[0][1] < 1]
+    assert max(unequal) > 3 * min(unequal)
 
 
 def test_odd_sources(spark):
@@ -73,12 +124,13 @@ def test_odd_sources(spark):
     assert abs(sum(size(r.text) for r in out.collect()) - sum(r.taken for r in mixing.mix(df).collect())) <= 6 and total
 
 
-def test_weights_change_the_odds(spark):
-    docs = [(i, "one two three", "a" if i < 1000 else "b", 4.0 if i % 2 else 0.25) for i in range(4000)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string, quality double")
-    rows = mixing.mix(df, weight_col="quality").where("source = 'b'").collect()
-    odd, even = (sum(r.copies for r in rows if r.doc_id % 2 == k) for k in (1, 0))
-    assert odd - 1500 > 3 * (even - 1500)
+def test_rows_that_repeat_are_taken_alike(spark):
+    docs = [(1, "a b c", "s")] * 3 + [(2, "x " * 5, "s"), (2, "y " * 5, "s"), (None, "z z", None), (None, "z z", None)] + [(i, "w " * i, "t") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    check(rows, docs)
+    assert all(len({r.copies for r in rows if (r.doc_id, r.size, r.source) == (a.doc_id, a.size, a.source)}) == 1 for a in rows)
+    assert mixing.mixed_rows(df).count() == sum(r.copies for r in rows)
 
 
 def test_empty(spark):
