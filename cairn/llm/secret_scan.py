@@ -5,12 +5,17 @@ token's shape (character classes, length, entropy), the neighbouring words and w
 the file; Viterbi decodes all tokens of a text as one chain. Scores of a token are kept, so that plain words cost a
 lookup, and the chain is cut where the outside is best whatever stands beside it, which changes no result.
 
-The field is fitted on at most ``SAMPLE`` documents of up to ``LONGEST`` characters that hold a token of ``LEAST`` characters and a digit, those with the smallest hash of their text,
-tagged by the patterns, together with ``MADE`` sentences with secrets of other forms made from a fixed seed.
-The model has a fixed size and is sent to all tasks. Texts are scanned whole, without a shuffle.
-
-Defined results: null and empty texts have no spans. Rows that repeat stay rows. An empty table trains on the made
-sentences alone and gives an empty result. Only the id and the text are read.
+The field is fitted on whole documents of the corpus, tagged by the patterns, and on ``MADE`` sentences of a fixed seed
+with secrets of other forms. A chain in which the patterns found a secret is learnt once more with what triggered the
+pattern hidden (the words before it are other words of the text, and no sign stands between), so that the field must
+know secrets by their shape and other neighbours. At most ``SAMPLE`` documents, half of them with a pattern's match, are
+taken by the smallest hashes of their texts from ``POOL`` documents of the corpus (a documented bound on the rows that the
+model is fitted on). The model has a fixed size and is sent to all tasks. Texts are scanned whole, without a shuffle.
+
+Defined results: null and empty texts have no spans. Rows that repeat stay rows, each with its spans. Very long texts and
+very long tokens are scanned like others. An empty table trains on the made sentences alone and gives an empty result.
+``spans`` has the patterns' spans and those of the field that no base span touches; ``n_crf`` counts all that the field
+tags, ``n_added`` those that it adds. Only the id and the text are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import LOWER, blocks, column_bytes, smallest_hashes
+from cairn.llm.common import LOWER, blocks, bounded_batches, column_bytes, words
 
 # Fixed patterns, over bytes: they hold ASCII only, so letters match in either case of ASCII alone.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -38,7 +43,9 @@ TRIGGERS = (b"password", b"passwd", b"secret", b"token", b"api")
 LEAST, LONG = 8, 24
 #: Tokens whose scores a task keeps.
 KNOWN = 200_000
-SAMPLE, LONGEST, MADE, PASSES = 2_000, 20_000, 600, 6
+SAMPLE, POOL, MADE, PASSES = 2_000, 40_000, 600, 6
+#: What a text holds where a pattern may match; a filter before the sample.
+WEAK = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*+[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 BITS = 16
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Score by which a begin must beat the outside: spans are added only where the field is sure.
@@ -74,8 +81,6 @@ class Block:
         body = data[lo:hi]
         self.rows = offsets - lo
         self.raw, self.low = body.tobytes(), LOWER[body].tobytes()
-        from cairn.llm.common import words
-
         self.starts, self.ends, self.first = words(body, self.rows, _TOKEN)
         count = lambda mask: np.concatenate(([0], np.cumsum(mask)))
         digits, uppers = count((body >= 48) & (body < 58)), count((body >= 65) & (body < 91))
@@ -89,10 +94,16 @@ class Block:
         self.long_hex = np.zeros(len(offsets) - 1, dtype=bool)
         self.long_hex[np.searchsorted(self.rows, h_start[long_runs], side="right") - 1] = True
 
-    def chains(self, r: int) -> list[list[int]]:
-        """Chains to learn from: candidates of row r and the tokens beside them, as token numbers."""
+    def chains(self, r: int, place: random.Random) -> list[list[int]]:
+        """Chains to learn from: candidates of row r and the tokens beside them, as token numbers; and where plain words
+        stand, the longest of them and one by chance, each with the words beside it."""
         a, b = int(self.first[r]), int(self.first[r + 1])
-        near = np.convolve(self.candidate[a:b], np.ones(3), "same") > 0 if b - a > 2 else np.ones(b - a, dtype=bool)
+        if a == b:
+            return []
+        near = np.convolve(self.candidate[a:b], np.ones(3), "same")[: b - a] > 0 if b - a > 2 else np.ones(b - a, dtype=bool)
+        size = np.where(self.candidate[a:b], 0, (self.ends - self.starts)[a:b])
+        for i in (int(size.argmax()), place.randrange(b - a)):
+            near[max(0, i - 2) : i + 3] = True
         return [c.tolist() for c in runs(np.flatnonzero(near) + a)]
 
     def emissions(self, field: Field) -> np.ndarray:
@@ -126,16 +137,18 @@ class Block:
         code = (text.count(b"{") + text.count(b";") + text.count(b"=")) / max(1, text.count(b" "))
         return [f"share{min(9, int(share * 40))}", f"code{min(5, int(code * 20))}", f"size{len(str(n))}"]
 
-    def features(self, i: int, r: int, file: list[str]) -> np.ndarray:
-        """Coordinates of the features of token i of row r."""
-        a, b = int(self.starts[i]), int(self.ends[i])
+    def features(self, i: int, r: int, file: list[str], hidden: tuple[int, str, str] | None = None) -> np.ndarray:
+        """Coordinates of the features of token i of row r; ``hidden`` says where its secret begins, and gives words that
+        stand before that instead, without a sign."""
+        a, b = int(self.starts[i]) if hidden is None else hidden[0], int(self.ends[i])
         first, last = int(self.first[r]), int(self.first[r + 1])
         t = self.raw[a:b]
         word = lambda j: _word(self.raw[int(self.starts[j]) : int(self.ends[j])]) if first <= j < last else "<>"
-        gap = self.raw[max(int(self.rows[r]), a - 3) : a]
+        gap = b" " if hidden else self.raw[max(int(self.rows[r]), a - 3) : a]
+        before = hidden[1:] if hidden else (word(i - 1), word(i - 2))
         return _coordinates([
-            *_own(t), f"d{'.' in t.decode()}{'@' in gap.decode('latin-1')}", f"p{word(i - 1)}", f"q{word(i - 2)}", f"f{word(i + 1)}",
-            f"g{'=' in gap.decode('latin-1') or ':' in gap.decode('latin-1')}{gap[-1:] in (b'\"', b'\x27')}", *file,
+            *_own(t), f"d{'.' in t.decode()}{'@' in gap.decode('latin-1')}", f"p{before[0]}", f"q{before[1]}", f"f{word(i + 1)}",
+            f"g{'=' in gap.decode('latin-1') or ':' in gap.decode('latin-1')}{gap[-1:] in (b'"', b'\x27')}", *file,
         ])
 
 
@@ -145,7 +158,7 @@ def runs(at: np.ndarray) -> list[np.ndarray]:
 
 
 def _word(t: bytes) -> str:
-    return t.lower().decode()[:24]
+    return t.lower().decode()
 
 
 def _own(t: bytes) -> list[str]:
@@ -208,9 +221,9 @@ class Field:
     def emissions(self, chain: list[np.ndarray]) -> np.ndarray:
         return np.array([self.w[f].sum(axis=0) for f in chain])
 
-    def learn(self, chain: list[np.ndarray], tags: list[int], rate: float = 0.2, decay: float = 1e-4) -> None:
-        """One AdaGrad step on the log-likelihood; the chain stands between outsides."""
-        e = self.emissions(chain)
+    def expected(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """For a chain between outsides, by forward and backward sums: the chance of each tag of each token, the expected
+        number of each transition, and the log of the sum over all paths."""
         n = len(e)
         forward, backward = np.empty((n, 3)), np.empty((n, 3))
         forward[0] = self.t[OUT] + e[0]
@@ -221,20 +234,23 @@ class Field:
             backward[i] = np.logaddexp.reduce(self.t + (e[i + 1] + backward[i + 1])[None, :], axis=1)
         z = np.logaddexp.reduce(forward[-1] + backward[-1])
         p = np.exp(forward + backward - z)
+        steps = np.exp(forward[:-1, :, None] + self.t + (e[1:] + backward[1:])[:, None, :] - z).sum(axis=0)
+        steps[OUT] += p[0]
+        steps[:, OUT] += p[-1]
+        return p, steps, z
+
+    def learn(self, chain: list[np.ndarray], tags: list[int], rate: float = 0.2, decay: float = 1e-4) -> None:
+        """One AdaGrad step on the log-likelihood; the chain stands between outsides."""
+        p, gt, _ = self.expected(self.emissions(chain))
         for i, f in enumerate(chain):
             g = p[i].copy()
             g[tags[i]] -= 1
             g = g[None, :] + decay * self.w[f]
             self._g[f] += g * g
             self.w[f] -= rate * g / np.sqrt(self._g[f])
-        gt = np.zeros((3, 3))
         path = [OUT, *tags, OUT]
         for x, y in zip(path, path[1:]):
             gt[x, y] -= 1
-        gt[OUT] += p[0]
-        gt[:, OUT] += p[-1]
-        for i in range(n - 1):
-            gt += np.exp(forward[i][:, None] + self.t + (e[i + 1] + backward[i + 1])[None, :] - z)
         gt[OUT, INSIDE] = 0
         self._gt += gt * gt
         self.t -= rate * gt / np.sqrt(self._gt)
@@ -303,36 +319,48 @@ def _made(seed: int = 5) -> list[tuple[bytes, list[tuple[int, int]]]]:
     return out
 
 
-def train(texts: list[bytes], passes: int = PASSES) -> Field:
-    """A field fitted on texts tagged by the patterns and on made sentences."""
+def _chains(marked: list[tuple[bytes, list | None]], seed: int = 3) -> list[tuple[list[np.ndarray], list[int]]]:
+    """Chains to learn: features of each token, and tags. Texts without given spans are tagged by the patterns."""
     import pyarrow as pa
 
-    marked = [(t, None) for t in texts] + _made()
-    chains: list[tuple[list[np.ndarray], list[int]]] = []
+    out, order = [], random.Random(seed)
     data, offsets = column_bytes(pa.array([t for t, _ in marked], pa.large_binary()))
     for a, b in blocks(offsets):
         block = Block(data, offsets[a : b + 1])
         for r in range(b - a):
             lo, hi = int(block.rows[r]), int(block.rows[r + 1])
             spans = marked[a + r][1]
-            if spans is None:
-                spans = [(s, e) for s, _, e in base_spans(block.raw[lo:hi], block.low[lo:hi], block.long_hex[r])]
+            weak, values = spans is None, []
+            if weak:
+                text = block.raw[lo:hi]
+                spans = [(x, y) for x, _, y in base_spans(text, block.low[lo:hi], block.long_hex[r])]
+                values = [m.start(2) if (m := ASSIGN.match(text, x, y)) else x for x, y in spans]
             file = block.file_features(r)
-            whole = list(range(int(block.first[r]), int(block.first[r + 1])))
-            for chain in block.chains(r) if marked[a + r][1] is None else [whole] if whole else []:
-                tags, before = [], None
+            first, last = int(block.first[r]), int(block.first[r + 1])
+            for chain in block.chains(r, order) if weak else [list(range(first, last))] if last > first else []:
+                tags, owner, before = [], [], None
                 for i in chain:
                     s, e = int(block.starts[i]) - lo, int(block.ends[i]) - lo
-                    k = next((n for n, (x, y) in enumerate(spans) if x < e and s < y), None)
+                    k = next((n for n, (x, y) in enumerate(spans) if x < e and s < y and (not weak or block.candidate[i])), None)
                     tags.append(OUT if k is None else INSIDE if k == before else BEGIN)
-                    before = k
-                chains.append(([block.features(i, r, file) for i in chain], tags))
+                    owner.append(before := k)
+                out.append(([block.features(i, r, file) for i in chain], tags))
+                for i, k in zip(chain, owner):  # once more, without what the pattern saw
+                    if weak and k is not None:
+                        near = [order.randrange(first, last) for _ in range(2)]
+                        near = [_word(block.raw[int(block.starts[j]) : int(block.ends[j])]) if not block.candidate[j] else "<>" for j in near]
+                        out.append(([block.features(i, r, file, (max(int(block.starts[i]), lo + values[k]), *near))], [BEGIN]))
+    return out
+
+
+def train(texts: list[bytes], passes: int = PASSES) -> Field:
+    """A field fitted on texts tagged by the patterns and on made sentences."""
+    chains = _chains([(t, None) for t in texts] + _made())
     field, order = Field(), random.Random(3)
     for _ in range(passes):
         order.shuffle(chains)
         for c, tags in chains:
-            for k in range(0, len(c), 64):  # a longer chain is learnt in pieces
-                field.learn(c[k : k + 64], tags[k : k + 64])
+            field.learn(c, tags)
     return field
 
 
@@ -348,8 +376,8 @@ def _model(name: str, weights: tuple) -> Field:
     return _MODEL[name]
 
 
-def scan_block(data: np.ndarray, offsets: np.ndarray, field: Field) -> list[tuple[list, list]]:
-    """For each row its base spans and the added ones, as (start, kind, end) in code points; added spans have kind 3."""
+def scan_block(data: np.ndarray, offsets: np.ndarray, field: Field) -> list[tuple[list, list, list]]:
+    """For each row its base spans, the added ones and all of the field, as (start, kind, end) in code points; the field's have kind 3."""
     block = Block(data, offsets)
     scores = block.emissions(field)
     maybe = np.flatnonzero(field.open(scores))
@@ -359,7 +387,7 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, field: Field) -> list[tupl
         lo, hi = int(block.rows[r]), int(block.rows[r + 1])
         point = lambda p: int(block.points[p] - block.points[lo])
         base = base_spans(block.raw[lo:hi], block.low[lo:hi], block.long_hex[r])
-        added = []
+        added: list[tuple[int, int, int]] = []
         for chain in runs(maybe[cuts[r] : cuts[r + 1]]):
             tags = field.decode(scores[chain])
             k = 0
@@ -379,7 +407,7 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, field: Field) -> list[tupl
                 i += 1
             if reach <= s:
                 fresh.append((s, kind, e))
-        out.append(([(point(lo + s), k, point(lo + e)) for s, k, e in base], [(point(lo + s), k, point(lo + e)) for s, k, e in fresh]))
+        out.append(tuple([(point(lo + s), k, point(lo + e)) for s, k, e in x] for x in (base, fresh, added)))
     return out
 
 
@@ -387,16 +415,19 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{(*KINDS, 'crf')[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def sample(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> list[bytes]:
-    """At most ``most`` texts of up to ``LONGEST`` characters that hold a candidate token."""
-    t = F.col(text_col)
-    rows = docs.select(t.alias("t")).where(t.rlike(r"[A-Za-z0-9+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*") & t.rlike(r"[A-Za-z0-9+/_.=-]{8,}"))
-    rows = smallest_hashes(rows.where(F.length("t") <= LONGEST), "t", most)
-    return [r.t.encode() for r in rows.collect()]
+def sample(docs: DataFrame, text_col: str = "text", most: int = SAMPLE, pool: int = POOL) -> list[bytes]:
+    """At most ``most`` whole texts, half of them where a pattern may match, of about ``pool`` with the smallest hashes."""
+    rows = docs.select(F.col(text_col).alias("t"))
+    h, total, out = F.pmod(F.xxhash64("t"), F.lit(1 << 30)), docs.count(), []
+    for weak, wide in ((True, pool), (False, 2 * most)):
+        near = rows.withColumn("h", h).where(F.col("h") < int(min(1.0, wide / max(1, total)) * (1 << 30)))
+        near = near.where(F.col("t").rlike(WEAK) if weak else F.col("t").rlike("[0-9]") & ~F.col("t").rlike(WEAK))
+        out += [r.t.encode() for r in near.orderBy("h", "t").limit(most // 2).toLocalIterator()]
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf, found (structs of spans)."""
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf, n_added, found (structs of spans)."""
     import pyarrow as pa
 
     field = field or train(sample(docs, text_col))
@@ -409,11 +440,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             rows = [x for a, b in blocks(offsets) for x in scan_block(data, offsets[a : b + 1], model)]
-            number = lambda k: pa.array([sum(s[1] == k for s in base) for base, _ in rows], pa.int64())
-            found = [[{"kind": (*KINDS, "crf")[k], "start": s, "end": e} for s, k, e in sorted(base + more)] for base, more in rows]
+            number = lambda k: pa.array([sum(s[1] == k for s in base) for base, _, _ in rows], pa.int64())
+            found = [[{"kind": (*KINDS, "crf")[k], "start": s, "end": e} for s, k, e in sorted(base + more)] for base, more, _ in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), number(0), number(1), number(2), pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in rows], pa.string()), pa.array([listed(b + m) for b, m in rows], pa.string()),
-                 pa.array([len(m) for _, m in rows], pa.int64()), pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf", "found"])
+                [batch.column(0), number(0), number(1), number(2), pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _, _ in rows], pa.string()), pa.array([listed(b + m) for b, m, _ in rows], pa.string()),
+                 pa.array([len(f) for _, _, f in rows], pa.int64()), pa.array([len(m) for _, m, _ in rows], pa.int64()),
+                 pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf", "n_added", "found"])
 
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long, found array<struct<kind:string,start:long,end:long>>")
+    return bounded_batches(d, run, f"doc_id {dict(d.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long, n_added long, found array<struct<kind:string,start:long,end:long>>")

@@ -58,7 +58,7 @@ def test_held_out_sentences(field):
     made = ss._made(99)  # another seed: other words and other secrets
     data, offsets = column_bytes(pa.array([t for t, _ in made], pa.large_binary()))
     hit = wanted = extra = 0
-    for (t, spans), (base, added) in zip(made, ss.scan_block(data, offsets, field)):
+    for (t, spans), (base, added, _) in zip(made, ss.scan_block(data, offsets, field)):
         found = [(s, e) for s, _, e in base + added]
         wanted += len(spans)
         hit += sum(any(s < y and x < e for s, e in found) for x, y in spans)
@@ -66,6 +66,103 @@ def test_held_out_sentences(field):
     assert hit / wanted > 0.9 and extra / wanted < 0.05
 
 
+def test_marginals_are_those_of_all_paths():
+    rng = np.random.default_rng(4)
+    f = ss.Field()
+    f.t = rng.normal(size=(3, 3))
+    for n in (1, 2, 5):
+        e = rng.normal(size=(n, 3))
+        p, steps, z, total = np.zeros((n, 3)), np.zeros((3, 3)), [], 0.0
+        for path in itertools.product(range(3), repeat=n):
+            moves = list(zip([0, *path], [*path, 0]))
+            w = np.exp(sum(e[i, y] for i, y in enumerate(path)) + sum(f.t[m] for m in moves))
+            total += w
+            for i, y in enumerate(path):
+                p[i, y] += w
+            for m in moves:
+                steps[m] += w
+        got = f.expected(e)
+        assert np.allclose(got[0], p / total) and np.allclose(got[1], steps / total) and np.isclose(got[2], np.log(total))
+
+
+def test_a_step_goes_down_the_gradient():
+    """The gradient by differences of the log-likelihood, for a weight and a transition."""
+    rng = np.random.default_rng(5)
+    f = ss.Field()
+    f.w[:20], f.t = rng.normal(size=(20, 3)), rng.normal(size=(3, 3))
+    chain, tags = [np.array([1, 4]), np.array([2, 4, 7]), np.array([9])], [0, 1, 2]
+
+    def loss():
+        e = f.emissions(chain)
+        moves = zip([0, *tags], [*tags, 0])
+        return f.expected(e)[2] - sum(e[i, y] for i, y in enumerate(tags)) - sum(f.t[m] for m in moves)
+
+    p, steps, _ = f.expected(f.emissions(chain))
+    for table, at, want in ((f.w, (4, 1), p[0, 1] + p[1, 1] - 1), (f.w, (9, 2), p[2, 2] - 1), (f.t, (1, 2), steps[1, 2] - 1), (f.t, (2, 1), steps[2, 1])):
+        before = table[at]
+        table[at] = before + 1e-5
+        up = loss()
+        table[at] = before - 1e-5
+        down = loss()
+        table[at] = before
+        assert np.isclose((up - down) / 2e-5, want, atol=1e-4)
+    first = loss()
+    for _ in range(30):
+        f.learn(chain, tags)
+    assert loss() < first / 4
+
+
+def test_secrets_of_held_out_documents_without_their_triggers(spark):
+    """Documents that were not learnt from: the words that trigger the patterns are replaced, the field is left."""
+    import pyarrow as pa
+
+    from cairn.llm.common import column_bytes
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = sorted(r.text for r in docs.where(docs.text.isNotNull()).select("text").distinct().collect())
+    learnt, held = texts[::2], texts[1::2]
+    assert len(learnt) > 3000
+    model = ss.train([t.encode() for t in learnt if re.search(ss.WEAK.replace("*+", "*"), t)][:500] + [t.encode() for t in learnt if re.search("[0-9]", t)][:500])
+    hidden, spans = [], []
+    for t in held:
+        out, at, mine = "", 0, []
+        for m in re.finditer(ASSIGN + "\"?", t, re.I | re.A):
+            if len(m[2]) >= 6 and re.search("[0-9]", m[2]):
+                out += t[at : m.start()] + "und "
+                mine.append((len(out), len(out) + len(m[2])))
+                out, at = out + m[2] + " ", m.end()
+        hidden.append(out + t[at:])
+        spans.append(mine)
+    data, offsets = column_bytes(pa.array(hidden))
+    hit = wanted = tagged = right = beyond = 0
+    from cairn.llm.common import blocks
+
+    rows = [x for a, b in blocks(offsets) for x in ss.scan_block(data, offsets[a : b + 1], model)]
+    for t, mine, (base, _, found) in zip(hidden, spans, rows):
+        true = mine + [(s, e) for s, _, e in base]
+        wanted += len(mine)
+        hit += sum(any(s < y and x < e for s, _, e in found) for x, y in mine)
+        tagged += len(found)
+        right += sum(any(s < y and x < e for x, y in true) for s, _, e in found)
+    print("recall", hit, wanted, "precision", right, tagged)
+    assert wanted >= 30 and hit / wanted > 0.9 and right / tagged > 0.9
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "Ab1" * 300_000, "x9 " * 200_000])
+def test_very_long_texts_take_seconds(spark, text):
+    import time
+
+    df = spark.createDataFrame([(1, text), (2, "token = abcdef123456")], "doc_id long, text string")
+    began = time.time()
+    assert len(ss.scan(df).collect()) == 2 and time.time() - began < 60
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token = abcdef123456", 5, "x")] * 3, "doc_id long, text string, n_hex int, found string")
+    rows = ss.scan(df, field=ss.Field()).collect()
+    assert len(rows) == 3 and {r.n_assign for r in rows} == {1}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     f = ss.Field()
@@ -84,7 +181,7 @@ def test_clean_prose_is_left_alone(field):
     r = random.Random(1)
     texts = [" ".join(r.choice(["the", "house", "Was", "built", "in", "1987,", "Élan", "well-known", "U.S.A.", "12345"]) for _ in range(200)) for _ in range(20)]
     data, offsets = column_bytes(pa.array(texts))
-    assert all(x == ([], []) for x in ss.scan_block(data, offsets, field))
+    assert all(x == ([], [], []) for x in ss.scan_block(data, offsets, field))
 
 
 def test_short_secrets_and_the_whole_chain(field):
@@ -94,7 +191,7 @@ def test_short_secrets_and_the_whole_chain(field):
 
     texts = ["the house by the pwd hunter2 was old", "so the passphrase is correcthorsebattery and more"]
     data, offsets = column_bytes(pa.array(texts))
-    for t, (_, added) in zip(texts, ss.scan_block(data, offsets, field)):
+    for t, (_, added, _) in zip(texts, ss.scan_block(data, offsets, field)):
         assert any(t[s:e] in ("hunter2", "correcthorsebattery") for s, _, e in added), t
     made = [t for t, _ in ss._made(7)[:100]]
     data, offsets = column_bytes(pa.array(made, pa.large_binary()))
