@@ -14,136 +14,184 @@ with a byte each that is 1 for null), lengths (u32); block index (u64 byte offse
 the end); blocks: u32 minimum, u8 width, u16 exceptions, then width x 32 words of u32, then u16 places, u32 values. The
 last block is filled with its last id.
 
-Tokenising: words between ASCII white space never share a token, so each distinct word of a batch is encoded once.
-Words of ASCII and Latin-1 letters take the library's model directly after the tokenizer file's own normaliser and
-splitter, restated for these characters; all other words go through the whole tokenizer.
+Tokenising: where a tokenizer gives the same ids for words between ASCII white space as for the whole text, each distinct
+word is encoded once by the library and remembered by its bytes; ids of a text are then a lookup for each word. Whether
+that holds is read from the file's added tokens and tried on probes; any other tokenizer encodes whole texts. A worker
+process keeps one coder, and gives memory back after each image.
 
 Defined results: null and empty texts hold the end id alone. Rows that repeat a doc_id are written one after another in
-the order of their texts' hashes; null doc_ids come first. An empty table gives an empty result.
+the order of their texts' hashes, then texts, so ties are equal rows; null doc_ids come first. A very long text is one
+document of one image, encoded in pieces of ``PIECE`` bytes cut at white space. An empty table gives an empty result.
+Only the id and the text are read, so clashing names of other columns do no harm.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
+from itertools import chain, compress, islice, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import NOT_SPACE, blocks, bounded_batches, column_bytes, materialize, scratch_dir, word_hashes, words
+from cairn.llm.common import blocks, bounded_batches, column_bytes, drop_scratch, materialize, release_memory, scratch_dir
 
 END_ID = 2
 BLOCK, KEEP = 1024, 0.95
 SHARD_IDS = 1 << 20
-#: Distinct words that a worker remembers, and with them their pieces.
-CACHE = 300_000
+#: Distinct words, and bytes of them, of a generation of a worker's memory; it keeps two.
+CACHE, CACHE_BYTES = 1 << 18, 16 << 20
+#: Words that the library gets at once.
+TOGETHER = 500
+#: Bytes of text encoded at once.
+PIECE = 256 << 10
 _LANES, _ROWS = 32, 32
 
-# The splitter of the tokenizer file, for lower-case ASCII and Latin-1 letters.
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
-_STOPS = frozenset(b".,;:!?")
-_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]+")
+#: Texts on which words by themselves must give the ids of the whole.
+_PROBES = ("It's a test, isn't it? 42 words.", " two  spaces\tand\na line", "e \u0301a", "ÀÉ ß\u0085x 日本 語 😀", "a<b> (c) \"d\" -- e_f")
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+class _Numbers(dict):
+    """Numbers words in order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class _Generation:
+    """Words and their ids: those of word ``numbers[w]`` are ``size`` ids of ``flat`` from ``begin``."""
+
+    def __init__(self):
+        self.numbers, self.bytes = _Numbers(), 0
+        self.begin, self.size, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and the number of each."""
+        size = self.size[number]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.begin[number] - ends + size, size) + np.arange(total)], size
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
+        self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, ids))
 
 
 class WordCoder:
-    """Encodes words, each once; remembers up to ``CACHE`` of them."""
+    """Ids of texts by their words, each distinct word encoded once by the library.
+
+    Two generations of words are remembered: what the younger lacks is taken over from the older, and when the younger
+    is full it becomes the older.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.known = self.tokenizer.model, _byte_letters(), {}
-        self.pieces: dict[str, list[int]] = {}
-        self.ints = list(range(self.tokenizer.get_vocab_size()))  # one object for each id, not one for each use
-        self.direct = self._restated()
-
-    def _restated(self) -> bool:
-        """True if the file's normaliser and splitter are those restated here; else every word takes the whole tokenizer."""
-        import json
-
-        file = json.loads(self.tokenizer.to_str())
-        norm = file.get("normalizer") or {}
-        pre = file.get("pre_tokenizer") or {}
-        steps = [n.get("type") for n in norm.get("normalizers", [])]
-        splits = [p.get("pattern", {}).get("Regex") for p in pre.get("pretokenizers", []) if p.get("type") == "Split"]
-        return steps == ["NFC", "Replace", "Lowercase"] and splits == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
-
-    def _word(self, raw: bytes) -> list[int] | None:
-        """Ids by the model alone, or None if the word needs the whole tokenizer."""
-        if not self.direct or b"<|" in raw:
-            return None
-        text = raw.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text):
-            return None
-        ids: list[int] = []
-        for piece in _SPLIT.findall(text.lower()):
-            ids += self._piece(piece)
-        return ids
-
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of what the splitter leaves together."""
-        found = self.pieces.get(piece)
-        if found is None:
-            plain = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
-            found = self.pieces[piece] = [self.ints[t.id] for t in self.model.tokenize(plain)]
-        return found
-
-    def encode(self, raws: list[bytes]) -> list[list[int]]:
-        for memory in (self.known, self.pieces):
-            if len(memory) > CACHE:
-                memory.clear()
-        known, hard, out, piece, direct = self.known, [], [], self._piece, self.direct
-        for k, raw in enumerate(raws):
-            if direct and raw.isalpha():  # ASCII letters: one piece
-                out.append(piece(raw.decode().lower()))
-                continue
-            if direct and raw[:-1].isalpha() and raw[-1] in _STOPS:  # and a stop: two
-                out.append(piece(raw[:-1].decode().lower()) + piece(chr(raw[-1])))
-                continue
-            ids = known.get(raw)
-            if ids is None:
-                ids = self._word(raw)
-                if ids is None:
-                    hard.append(k)
-                else:
-                    known[raw] = ids
-            out.append(ids)
-        if hard:
-            for k, e in zip(hard, self.tokenizer.encode_batch_fast([raws[k].decode("utf-8", "replace") for k in hard], add_special_tokens=False)):
-                out[k] = known[raws[k]] = e.ids
-        return out
+        added = self.tokenizer.get_added_tokens_decoder()
+        plain = not any(t.lstrip or t.rstrip or t.single_word or len(t.content.split()) != 1 for t in added.values())
+        self.added = [t.content.lower().encode() for t in added.values()]
+        self.between = next(((i, t.content) for i, t in added.items() if t.special and not t.normalized), None) if plain else None
+        self.by_word = plain and all(self._each([t.encode()])[0] == [i for x in self._each(t.encode().split()) for i in x] for t in _PROBES)
+        self.young, self.old = _Generation(), _Generation()
+
+    def _each(self, raws: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in raws], add_special_tokens=False)]
+
+    def _encode(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and the number of each; many go to the library as one text, with a special token between them."""
+        flat, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(raws), TOGETHER):
+            some, kept = raws[i : i + TOGETHER], False
+            whole = b" ".join(some).lower()
+            if self.between is not None and not any(t in whole for t in self.added):
+                mark, text = self.between
+                ids = np.array(self._each([text.encode().join(some)])[0], dtype=np.uint32)
+                at = np.flatnonzero(ids == mark)
+                if kept := len(at) == len(some) - 1:
+                    flat.append(np.delete(ids, at))
+                    sizes.append(np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
+            if not kept:
+                parts = self._each(some)
+                flat.append(np.fromiter(chain.from_iterable(parts), dtype=np.uint32))
+                sizes.append(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _learn(self) -> None:
+        """Take over or encode the words that have numbers only."""
+        young, old = self.young, self.old
+        fresh = list(islice(young.numbers, len(young.size), None))
+        if not fresh:
+            return
+        young.bytes += sum(map(len, fresh))
+        number = np.fromiter(map(old.numbers.get, fresh, repeat(-1)), dtype=np.int64, count=len(fresh))
+        new = number < 0
+        ids, size = old.gather(number[~new])
+        more, more_size = self._encode(list(compress(fresh, new.tolist())))
+        # All ids of the fresh words in their order, by the places in the two parts.
+        sizes, begin = np.zeros((2, len(fresh)), dtype=np.int64)
+        sizes[~new], sizes[new] = size, more_size
+        begin[~new], begin[new] = np.cumsum(size) - size, len(ids) + np.cumsum(more_size) - more_size
+        ends = np.cumsum(sizes)
+        young.add(np.concatenate((ids, more))[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])], sizes)
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the number of each."""
+        if not self.by_word:
+            found = self._each(texts)
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            return np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(size.sum())), size
+        if len(self.young.numbers) > CACHE or self.young.bytes > CACHE_BYTES:
+            self.young, self.old = _Generation(), self.young
+        words = [t.split() for t in texts]  # bytes split at [\x20\x09-\x0D]
+        count = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        number = np.fromiter(chain.from_iterable(map(self.young.numbers.__getitem__, w) for w in words), dtype=np.int64, count=int(count.sum()))
+        del words
+        self._learn()
+        out, size = self.young.gather(number)
+        place = np.concatenate(([0], np.cumsum(size)))
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return out, place[ends[1:]] - place[ends[:-1]]
+
+
+_CODERS: dict[str, WordCoder] = {}
+
+
+def coder_of(path: str) -> WordCoder:
+    """The worker's coder of a file."""
+    if path not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path] = WordCoder(path)
+    return _CODERS[path]
+
+
+def _pieces(text: bytes, limit: int):
+    """A text in pieces of about ``limit`` bytes, cut before white space."""
+    at = 0
+    while len(text) - at > limit:
+        to = at + limit
+        while to < len(text) and text[to] not in b" \t\n\x0b\x0c\r":
+            to += 1
+        yield text[at:to]
+        at = to
+    yield text[at:]
 
 
 def encode_block(coder: WordCoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a block's rows, end ids included, and the number of ids of each row."""
-    body = data[int(offsets[0]) : int(offsets[-1])]
-    starts, ends, first = words(body, offsets - offsets[0], NOT_SPACE)
-    n = len(offsets) - 1
-    if not len(starts):
-        return np.full(n, END_ID, dtype=np.uint32), np.ones(n, dtype=np.int64)
-    h, check = word_hashes(body, starts, ends), word_hashes(body, starts, ends, second=True)
-    _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-    if (check[at][inverse] != check).any():  # two words of one hash: tell all occurrences apart
-        at, inverse = np.arange(len(h)), np.arange(len(h))
-    raw = body.tobytes()
-    ids = coder.encode([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-    size = np.array([len(x) for x in ids], dtype=np.int64)
-    begin = np.concatenate(([0], np.cumsum(size)))
-    flat = np.array([i for x in ids for i in x], dtype=np.uint32)
-    per_word = size[inverse]
-    place = np.concatenate(([0], np.cumsum(per_word)))
-    picked = flat[np.repeat(begin[inverse] - place[:-1], per_word) + np.arange(place[-1])] if place[-1] else flat[:0]
-    lengths = place[first[1:]] - place[first[:-1]]
-    return np.insert(picked, place[first[1:]], END_ID).astype(np.uint32), lengths + 1
+    raw, ends = data[int(offsets[0]) : int(offsets[-1])].tobytes(), (offsets - offsets[0]).tolist()
+    texts = [raw[a:b] for a, b in zip(ends, ends[1:])]
+    if len(texts) == 1 and coder.by_word:  # a long text
+        parts = [coder.ids([p])[0] for p in _pieces(texts[0], PIECE)]
+        ids = np.concatenate(parts)
+        lengths = np.array([len(ids)])
+    else:
+        ids, lengths = coder.ids(texts)
+    return np.insert(ids, np.cumsum(lengths), END_ID).astype(np.uint32), lengths + 1
 
 
 # --- patched frame of reference ------------------------------------------------------------------------------------
@@ -259,21 +307,22 @@ def write(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        coder = WordCoder(tokenizer_path)
+        coder = coder_of(tokenizer_path)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0
 
         def image():
             doc_ids = [i for h in held for i in h[0]]
-            ids = np.concatenate([h[2] for h in held])
-            made = write_image(doc_ids, np.concatenate([h[1] for h in held]), ids)
+            lengths, ids = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            held.clear()
+            made = write_image(doc_ids, lengths, ids)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([made], pa.binary())],
                                               names=["part", "seq", "documents", "ids", "image"])
 
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             names = batch.column(0).to_pylist()
-            for a, b in blocks(offsets, 2 << 20):
+            for a, b in blocks(offsets, PIECE):
                 ids, lengths = encode_block(coder, data, offsets[a : b + 1])
                 ends = np.cumsum(lengths)
                 done = 0
@@ -285,7 +334,8 @@ def write(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
                         size += int(ends[to - 1]) - base
                     if to < b - a or size >= shard_ids:
                         yield image()
-                        held, size, seq = [], 0, seq + 1
+                        release_memory()
+                        size, seq = 0, seq + 1
                     done = to
         if held:
             yield image()

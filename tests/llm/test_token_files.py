@@ -38,6 +38,43 @@ def test_words_give_the_library_s_ids():
         assert a == b, repr(t)
 
 
+def test_words_that_polynomials_take_for_equal_and_small_memories(monkeypatch):
+    import pyarrow as pa
+
+    from cairn.llm.common import column_bytes
+    from tests.llm.test_common import thue_morse
+
+    monkeypatch.setattr(token_files, "CACHE", 20)
+    monkeypatch.setattr(token_files, "PIECE", 500)
+    monkeypatch.setattr(token_files, "TOGETHER", 7)
+    coder = token_files.WordCoder(PATH)
+    texts = [" ".join(thue_morse(n)) for n in (1024, 2048, 4096)] + ODD * 2 + [" ".join(map(str, range(i, i + 40))) for i in range(0, 200, 9)]
+    for t, want in zip(texts, whole(texts)):
+        ids, lengths = token_files.encode_block(coder, *column_bytes(pa.array([t, t])))
+        assert ids.tolist() == want * 2 and lengths.tolist() == [len(want)] * 2
+        assert token_files.encode_block(coder, *column_bytes(pa.array([t])))[0].tolist() == want
+
+
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from cairn.llm.common import column_bytes
+
+    file = json.load(open(PATH))
+    file["added_tokens"][0] |= {"content": "two words", "normalized": False}
+    path = str(tmp_path / "other.json")
+    json.dump(file, open(path, "w"))
+    coder = token_files.WordCoder(path)
+    assert not coder.by_word
+    texts = ["it has two words in it", "", "two", "words two words"]
+    ids, lengths = token_files.encode_block(coder, *column_bytes(pa.array(texts)))
+    want = [e.ids + [2] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for w in want for i in w] and lengths.tolist() == list(map(len, want))
+
+
 @pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
