@@ -218,14 +218,17 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, root: str | No
 def components(nodes: DataFrame, edges: DataFrame, root: str | None = None) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` reaches; nodes without an edge are their own root.
 
-    Large-star and small-star rounds (Kiveris et al. 2014); each round is a table in the shared folder, and the one
-    before the last is deleted, so that a lost executor costs one round.
+    Large-star and small-star rounds (Kiveris et al. 2014) until nothing changes, however many that takes; each round is
+    a table in the shared folder, and the one before the last is deleted, so that a lost executor costs one round. Every
+    round that changes something lowers the sum of the edges' ends, so the loop ends.
     """
     spark = edges.sparkSession
     root = root or scratch_dir(spark)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     e = materialize(e, "edges0", root)
-    for n in range(1, 100):
+    n = 0
+    while True:
+        n += 1
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -242,7 +245,7 @@ def components(nodes: DataFrame, edges: DataFrame, root: str | None = None) -> D
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE, tile: int = TILE,
                root: str | None = None) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id that its links reach)."""
+    """One row per document: doc_id, fp, component_id (the smallest doc_id that its links reach), root (the smallest fingerprint)."""
     root = root or scratch_dir(docs.sparkSession)
     d = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints", root)
     # A node for each distinct fingerprint; copies collapse with partial minima before the shuffle.
@@ -251,16 +254,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = components(least.select(F.col("fp").alias("node")), edges, root)
     comp = materialize(comp.join(least.withColumnRenamed("fp", "node"), "node"), "components", root)
     ids = comp.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = materialize(comp.join(ids, "root").select(F.col("node").alias("fp"), "component_id"), "named", root)
-    return d.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(comp.join(ids, "root").select(F.col("node").alias("fp"), "component_id", "root"), "named", root)
+    return d.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns."""
+    """One document of each component, the one with the smallest id, with its own columns.
+
+    Where several rows have that id, the one of the smallest fingerprint stays, and of those the one of the smallest hash
+    of its columns, then of its columns' values; rows that agree in all of them are equal, and one of them stays.
+    """
     import pyarrow as pa
 
-    one = near_dedup(docs, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    one = materialize(one.select(F.col("doc_id").alias("_keep_id"), F.col("fp").alias("_keep_fp")), "kept")
+    found = near_dedup(docs, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = materialize(found.groupBy(F.col("doc_id").alias("_keep_id"), "root").agg(F.min("fp").alias("_keep_fp")).drop("root"), "kept")
     if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
         return docs.join(one, docs[id_col].eqNullSafe(one._keep_id), "left_semi")
     # Rows that repeat an id: the fingerprint tells which of them was meant.
@@ -275,7 +282,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     marked = bounded_batches(docs, run, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns) + ", _fp long")
     same = marked[id_col].eqNullSafe(one._keep_id) & (marked._fp == one._keep_fp)
-    return marked.join(one, same, "left_semi").dropDuplicates([id_col, "_fp"]).drop("_fp")
+    row = F.struct(F.xxhash64(*docs.columns).alias("_h"), *[F.col(c) for c in docs.columns])
+    least = marked.join(one, same, "left_semi").groupBy(id_col, "_fp").agg(F.min(row).alias("_row"))
+    return least.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -95,6 +95,26 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(301)) and got[1002] == got[1005] == 1000 and got[5000] == 5000
 
 
+def test_rows_that_repeat_an_id_leave_one_row_always_the_same(spark):
+    a, b = "one two three four five six", "nothing like the other text at all"
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (1, a, "x"), (1, a + " ", "z"), (2, a, "q"), (3, "another one of its own", "x")]
+    seen = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        out = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)).collect()
+        seen.add(tuple(sorted(map(tuple, out))))
+        assert [r.doc_id for r in sorted(out)] == [1, 1, 3] and {r.text.strip() for r in out} == {a, b, rows[-1][1]}
+    assert len(seen) == 1
+
+
+def test_components_of_a_chain_that_takes_many_rounds(spark, monkeypatch):
+    """No bound on rounds: a component is found however long its chain, in any order of its nodes."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(700).tolist()
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in ids], "node long")
+    assert {r.root for r in simhash.components(nodes, chain).collect()} == {0}
+
+
 def test_a_hot_group_gives_a_forest_only():
     a = np.arange(4096, dtype=np.uint64) & np.uint64(3)
     x, y = simhash.forest(a, None, 2)
