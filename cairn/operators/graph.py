@@ -1,57 +1,81 @@
 """Walks over the tree graph (G1-G9). Loops run on the driver; each step is a distributed join.
 
-A visited anti-join keeps every node once, however many paths lead to it. Each round is written to the checkpoint
-folder, so lineage stays short and a lost executor costs one round.
+A visited anti-join keeps every node once, however many paths lead to it. Edges and each round's frontier are written
+once to the session's shared folder, so lineage stays short and a lost executor costs one round. Loops end when nothing
+is left to do: a depth is a bound only where the caller names one, and passing it is an error, never a shorter result.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.scratch import materialize, scratch_dir
+
+#: Frontiers that a walk keeps apart before it writes them as one.
+FRONTIERS = 8
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from the reliable checkpoint folder of the session; one is set only where there is none."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairn-"))
-    return df.checkpoint()
+def _beyond(depth: int, bound: int | None) -> None:
+    if bound is not None and depth > bound:
+        raise ValueError(f"the walk goes beyond depth {bound}")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth) of the nodes that each root reaches, itself included, at their smallest depth.
 
     ``edges`` has (parent, child), ``roots`` has (root, node): with several nodes a root it is the multi-source walk.
+    A graph that goes deeper than ``max_depth`` is refused.
     """
-    edges = edges.select("parent", "child").distinct()
-    seen = cut(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    folder, depth = scratch_dir(edges.sparkSession), 0
+    edges = materialize(edges.select("parent", "child").distinct(), "edges", folder)
+    seen = [materialize(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)), "depth0", folder)]
+    frontier = seen[0]
+    while True:
+        depth += 1
         step = frontier.join(edges, frontier.node == edges.parent).select("root", F.col("child").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        fresh = step.join(_union(seen), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = materialize(fresh, f"depth{depth}", folder)
         if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+            return _union(seen)
+        _beyond(depth, max_depth)
+        seen.append(frontier)
+        if len(seen) > FRONTIERS:
+            seen = [materialize(_union(seen), f"seen{depth}", folder)]
 
 
-def flatten(edges: DataFrame, roots: DataFrame, max_depth: int = 100, descend=None) -> DataFrame:
+def flatten(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, descend=None) -> DataFrame:
     """(root, path, node, depth) of every path; a node is repeated for each path that leads to it.
 
-    ``edges`` has (parent, child, name). ``descend(path)``, a column rule, prunes each frontier before it grows.
+    ``edges`` has (parent, child, name). ``descend(path)``, a column rule, prunes each frontier before it grows. A path of
+    more steps than there are parents goes round a cycle, and is refused as one that passes ``max_depth`` is.
     """
-    level = roots.select("root", F.lit("").alias("path"), "node").withColumn("depth", F.lit(0))
-    out, level = level, cut(level)
-    for depth in range(1, max_depth + 1):
+    folder, depth, parents = scratch_dir(edges.sparkSession), 0, None
+    edges = materialize(edges.select("parent", "child", "name"), "edges", folder)
+    level = materialize(roots.select("root", F.lit("").alias("path"), "node").withColumn("depth", F.lit(0)), "depth0", folder)
+    out = [level]
+    while True:
+        depth += 1
         path = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("/", "path", "name"))
         step = level.join(edges, level.node == edges.parent).select("root", path.alias("path"), F.col("child").alias("node")).withColumn("depth", F.lit(depth))
-        level = cut(step.where(descend(F.col("path"))) if descend else step)
+        level = materialize(step.where(descend(F.col("path"))) if descend else step, f"depth{depth}", folder)
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return _union(out)
+        _beyond(depth, max_depth)
+        if depth % 32 == 0:
+            parents = parents or edges.agg(F.count_distinct("parent")).first()[0]
+            if depth > parents:
+                raise ValueError("the graph has a cycle: its paths have no end")
+        out.append(level)
+        if len(out) > FRONTIERS:
+            out = [materialize(_union(out), f"paths{depth}", folder)]
 
 
 def depth_table(flat: DataFrame, zero, match) -> DataFrame:
@@ -60,16 +84,69 @@ def depth_table(flat: DataFrame, zero, match) -> DataFrame:
     return flat.groupBy(F.col("depth").cast("int").alias("depth")).agg(*aggs).unionByName(flat.agg(*aggs).withColumn("depth", F.lit(-1)))
 
 
-def cyclic_nodes(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Nodes that remain when nodes without an incoming edge are peeled off; none if the graph has no cycle."""
-    left = cut(edges.select("parent", "child").where("parent is not null and child is not null").distinct())
-    for _ in range(max_rounds):
-        inner = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        inner = cut(inner)
-        if inner.count() == left.count():
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """The nodes that stand on a cycle; none if the graph has no cycle.
+
+    Edges that lead from a source or into a sink are peeled off, and nodes with one way in and one way out are taken out
+    of their chains, an independent set at a time, so that a long chain takes a logarithm of rounds. What remains is cut
+    into strongly connected components by colours; chains then get those of their ends back.
+    """
+    folder, n, taken = scratch_dir(edges.sparkSession), 0, []
+    left = materialize(edges.select("parent", "child").where("parent is not null and child is not null").distinct(), "edges0", folder)
+    number = left.count()
+    while True:  # peel and contract, until neither does anything
+        n += 1
+        ends = left.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.min("parent").alias("before"))
+        ends = ends.join(left.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("outs"), F.min("child").alias("after")), "node")
+        inner = materialize(ends, f"inner{n}", folder)
+        kept = left.join(inner.select(F.col("node").alias("parent")), "parent", "left_semi").join(inner.select(F.col("node").alias("child")), "child", "left_semi")
+        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(n)), F.lit(2))
+        single = inner.where("ins = 1 and outs = 1 and before <> node").select("node", "before", "after")
+        others = single.select(F.col("node").alias("before"), F.lit(True).alias("chained"))
+        chosen = single.where(coin("node") == 1).join(others, "before", "left").where(F.col("chained").isNull() | (coin("before") == 0)).drop("chained")
+        # Both ends of its edges must have stayed.
+        for end in ("before", "after"):
+            chosen = chosen.join(inner.select(F.col("node").alias(end)), end, "left_semi")
+        chosen = materialize(chosen.select("node", "before", "after"), f"chosen{n}", folder)
+        # A chosen node's edges go; one from before it to after it, or to what comes after a chosen one after it, stands for them.
+        rest = kept.join(chosen.select(F.col("node").alias("parent")), "parent", "left_anti").join(chosen.select(F.col("node").alias("child")), "child", "left_anti")
+        new = chosen.select(F.col("before").alias("parent"), F.col("after").alias("child"))
+        now = materialize(rest.select("parent", "child").unionByName(new).distinct(), f"edges{n}", folder)
+        some, count = not chosen.isEmpty(), now.count()
+        if some:
+            taken.append(chosen)
+        if not some and count == number and inner.where("ins = 1 and outs = 1 and before <> node").isEmpty():
+            break
+        left, number = now, count
+        if not count:
             break
-        left = inner
-    return left.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
+    none = left.select(F.col("parent").alias("node"), F.col("parent").alias("component")).where("1 = 0")
+    parts, rounds = [], 0
+    while not left.isEmpty():
+        # The colour of a node is the largest one that reaches it; its component in that colour is what reaches back.
+        nodes = left.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
+        colour = materialize(nodes.select("node", F.col("node").alias("colour")), f"colour{n}-{rounds}", folder)
+        while True:
+            rounds += 1
+            reached = left.join(colour.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "colour")
+            more = materialize(colour.unionByName(reached).groupBy("node").agg(F.max("colour").alias("colour")), f"colour{n}-{rounds}", folder)
+            changed = not more.join(colour, ["node", "colour"], "left_anti").isEmpty()
+            colour = more
+            if not changed:
+                break
+        back = left.join(colour.select(F.col("node").alias("parent"), F.col("colour").alias("pc")), "parent").join(colour.select(F.col("node").alias("child"), F.col("colour").alias("cc")), "child").where("pc = cc")
+        back = materialize(back.select(F.col("child").alias("parent"), F.col("parent").alias("child")), f"back{n}-{rounds}", folder)
+        found = reachable(back, colour.where("node = colour").select(F.col("colour").alias("root"), "node"))
+        found = materialize(found.select("node", F.col("root").alias("component")), f"found{n}-{rounds}", folder)
+        inside = left.join(found.select(F.col("node").alias("parent"), F.col("component").alias("pc")), "parent").join(found.select(F.col("node").alias("child"), F.col("component").alias("cc")), "child").where("pc = cc")
+        parts.append(materialize(found.join(inside.select(F.explode(F.array("parent", "child")).alias("node")).distinct(), "node", "left_semi"), f"part{n}-{rounds}", folder))
+        left = left.join(found.select(F.col("node").alias("parent")), "parent", "left_anti").join(found.select(F.col("node").alias("child")), "child", "left_anti")
+        left = materialize(left.select("parent", "child"), f"left{n}-{rounds}", folder)
+    on = _union(parts) if parts else none
+    for k, chosen in enumerate(reversed(taken)):
+        a = chosen.join(on.select(F.col("node").alias("before"), F.col("component").alias("ca")), "before").join(on.select(F.col("node").alias("after"), F.col("component").alias("cb")), "after")
+        on = materialize(on.unionByName(a.where("ca = cb").select("node", F.col("ca").alias("component"))), f"on{k}", folder)
+    return on.select("node").distinct()
 
 
 def live_paths(reached: DataFrame, blob_refs: DataFrame) -> DataFrame:

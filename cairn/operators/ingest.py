@@ -59,25 +59,37 @@ class Buzhash:
             part = rol(part[:-size], size) ^ part[size:]
             size *= 2
 
-    def cuts(self, data: bytes, segment: int = 1 << 22) -> Iterator[int]:
+    def cuts(self, data: bytes) -> Iterator[int]:
         """Ends of the chunks; their concatenation is the data."""
+        yield from self.cuts_of(data, [0, len(data)])[0]
+
+    def cuts_of(self, data: bytes, offsets: list[int], segment: int = 1 << 22) -> list[list[int]]:
+        """For each of the documents that follow each other in ``data`` the ends of its chunks, from its own start."""
+        from bisect import bisect_left
+
         import numpy as np
 
-        mask, n, found = np.uint32((1 << self.bits) - 1), len(data), []
-        for at in range(0, n, segment):
-            piece = data[max(0, at - self.window + 1) : at + segment]
+        mask, total, found = np.uint32((1 << self.bits) - 1), offsets[-1], []
+        for at in range(offsets[0], total, segment):
+            low = max(offsets[0], at - self.window + 1)
+            piece = data[low : min(at + segment, total)]
             if len(piece) >= self.window:
-                found.append(np.flatnonzero(self.window_hashes(piece) & mask == 0) + max(0, at - self.window + 1) + self.window)
-        ends = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-        start = 0
-        while start < n:
-            stop = min(start + self.most, n)
-            if start + self.least < n:
-                k = np.searchsorted(ends, start + self.least)
-                start = int(min(ends[k], stop)) if k < len(ends) else stop
-            else:
-                start = n
-            yield start
+                found.append(np.flatnonzero(self.window_hashes(piece) & mask == 0) + low + self.window)
+        ends, out = (np.concatenate(found).tolist() if found else []), []
+        for first, last in zip(offsets, offsets[1:]):
+            start, cuts = first, []
+            while start < last:
+                stop = min(start + self.most, last)
+                if start + self.least < last:
+                    # A window that begins before the document is none of its own.
+                    k = bisect_left(ends, max(start + self.least, first + self.window))
+                    start = min(ends[k], stop) if k < len(ends) else stop
+                else:
+                    start = last
+                cuts.append(start - first)
+            out.append(cuts)
+        return out
+
 
 #: Chunkers by (version, flag); an unknown pair falls back to the default.
 VARIANTS: dict[tuple, dict] = {(3, True): {"window": 256, "bits": 16, "least": 4096, "most": 131_072}}
@@ -92,19 +104,25 @@ def register_variant(version: int, flag: bool, **parameters) -> None:
 
 
 def defined_chunks(files: DataFrame, key: str, content: str, chunker: Buzhash) -> DataFrame:
-    """(key, ordinal, offset, chunk). One file is one sequential job, so files are the unit of parallel work."""
-    import pandas as pd
-
-    def run(frames):
-        for frame in frames:
-            for k, data in zip(frame[key], frame[content]):
-                rows, at = [], 0
-                for i, end in enumerate(chunker.cuts(bytes(data or b""))):
-                    rows.append((k, i, at, bytes(data[at:end])))
-                    at = end
-                yield pd.DataFrame(rows, columns=[key, "ordinal", "offset", "chunk"])
-
-    return files.select(key, content).mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, ordinal int, offset long, chunk binary")
+    """(key, ordinal, offset, chunk). Python only finds the cuts, of a batch of files at once; files are the unit of
+    parallel work, as a file's cuts follow from each other, and the JVM takes the chunks out of the content."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            offsets = column.buffers()[1]
+            at = memoryview(offsets).cast("q")[column.offset : column.offset + len(column) + 1].tolist()
+            data = column.buffers()[2]
+            cuts = chunker.cuts_of(data.to_pybytes() if data is not None else b"", at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.list_(pa.int64()))], names=["_key", "_content", "_ends"])
+
+    f = files.select(F.col(key).alias("_key"), F.col(content).alias("_content"))
+    cut = f.mapInArrow(run, f"_key {dict(f.dtypes)['_key']}, _content {dict(f.dtypes)['_content']}, _ends array<long>")
+    before = F.when(F.col("ordinal") > 0, F.try_element_at("_ends", F.col("ordinal"))).otherwise(F.lit(0).cast("long"))
+    rows = cut.select("_key", "_content", "_ends", F.posexplode("_ends").alias("ordinal", "_end")).withColumn("offset", before)
+    chunk = F.expr("substring(_content, cast(offset + 1 as int), cast(_end - offset as int))")
+    return rows.select(F.col("_key").alias(key), "ordinal", "offset", chunk.alias("chunk"))
 
 
 def route(length: Column, is_tree: Column, large: int = LARGE) -> Column:

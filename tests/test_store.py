@@ -83,18 +83,44 @@ def test_retention_ties_and_undated(spark):
 
 
 def test_graph_shapes(spark):
-    chain = [(f"c{i}", f"c{i + 1}", "n") for i in range(50)]
+    chain = [(f"c{i}", f"c{i + 1}", "n") for i in range(12)]
     diamond = [("a", "b", "l"), ("a", "c", "r"), ("b", "d", "x"), ("c", "d", "x"), ("d", "e", "y")]
     edges = spark.createDataFrame(chain + diamond, "parent string, child string, name string")
     roots = spark.createDataFrame([("R", "a"), ("S", "c0")], "root string, node string")
     got = {(r.root, r.node): r.depth for r in graph.reachable(edges, roots).collect()}
-    assert got[("R", "e")] == 3 and got[("S", "c50")] == 50 and len(got) == 5 + 51
+    assert got[("R", "e")] == 3 and got[("S", "c12")] == 12 and len(got) == 5 + 13
     flat = graph.flatten(edges, roots.where("root = 'R'"))
     assert sorted(r.path for r in flat.collect()) == ["", "l", "l/x", "l/x/y", "r", "r/x", "r/x/y"]
     assert graph.ranked_depth(flat).first().path == "l/x/y"
     wanted = spark.createDataFrame([("R", "l/x"), ("R", "nope")], "root string, path string")
     assert {r.path: r.node for r in graph.lookup(flat, wanted).collect()} == {"l/x": "d", "nope": None}
     assert graph.cyclic_nodes(edges).count() == 0
+    for walk in (graph.reachable, graph.flatten):
+        with pytest.raises(ValueError):
+            walk(edges, roots, max_depth=2).count()
+        assert walk(edges, roots.where("root = 'R'"), max_depth=3).agg(F.max("depth")).first()[0] == 3
+    with pytest.raises(ValueError):
+        graph.flatten(edges.unionByName(spark.createDataFrame([("e", "a", "z")], "parent string, child string, name string")), roots)
+
+
+def test_cycles(spark):
+    """A long chain is no cycle; of what hangs above, below and between cycles nothing is on one."""
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(1500)]
+    ring = [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)]
+    more = [("c7", "r3"), ("r5", "below"), ("below", "deeper"), ("r9", "m1"), ("m1", "m2"), ("m2", "s"), ("s", "s"), ("x", "y"), ("y", "x"), ("s", "x"), ("x", "y2"), ("y2", "x"), ("y2", "end"), (None, "x")]
+    got = {r.node for r in graph.cyclic_nodes(spark.createDataFrame(chain + ring + more, "parent string, child string")).collect()}
+    assert got == {f"r{i}" for i in range(40)} | {"s", "x", "y", "y2"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    edges = {(r.randrange(25), r.randrange(25)) for _ in range(26)}
+    reach = {a: {b for x, b in edges if x == a} for a in range(25)}
+    for _ in range(25):
+        reach = {a: s | {c for b in s for c in reach[b]} for a, s in reach.items()}
+    got = {x.node for x in graph.cyclic_nodes(spark.createDataFrame(sorted(edges), "parent long, child long")).collect()}
+    assert got == {a for a, s in reach.items() if a in s}
 
 
 def test_cursor_at_every_family_boundary(spark):
@@ -113,7 +139,7 @@ def test_path_rules(spark):
     for g in globs:
         got = {r.p: r.m for r in df.select("p", paths.glob_match(F.col("p"), g).alias("m")).collect()}
         assert got == {n: fnmatch.fnmatchcase(n, g) for n in names}, g
-    assert paths.gitignore_rules("# c\n\n!/a/\nb/c\n/\n") == [("a", True, True, True), ("b/c", False, False, False)]
+    assert paths.gitignore_rules("# c\n\n!/a/\nb/c\n/\n!\n ! x \n!!y") == [("a", True, True, True), ("b/c", False, False, False), ("x", True, False, False), ("!y", True, False, False)]
     files = spark.createDataFrame([("a/b/c", 1), ("a/d", 2), ("e", 4)], "path string, size long")
     assert {r.dir: (r.item_size, r.contained_files) for r in inventory.rollup(files).collect()} == {"": (7, 3), "a": (3, 2), "a/b": (1, 1)}
     rule = lambda p, d: paths.glob_match(p, "a/b") & d
