@@ -15,6 +15,8 @@ not read, so clashing names do no harm.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +63,9 @@ def dedup_stream(spark: SparkSession, path: str, state_dir: str, id_col: str = "
     ``state_dir`` holds the state, the offsets and the changed rows. A rerun with the same folder resumes: new files
     are held against all history, and a micro-batch that is replayed after a failure overwrites its own output.
     """
-    pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may match a folder or a single file; a plain path must be a folder
+    # A pattern may match a folder or a single file; a plain path must be a folder.
+    plain = path.rstrip("/")
+    pattern = re.sub(r"([*?\[\]{}\\])", r"\\\1", plain[:-1]) + f"[{plain[-1]}]"
     source = (
         spark.readStream.schema(spark.read.parquet(path).schema)
         .option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(pattern)

@@ -167,21 +167,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root:
     strong = pairs.join(known, "term").withColumn("disclosure", F.least(pmi / ic, F.lit(1.0))).where(F.col("disclosure") >= generalise)
     strong = materialize(strong.select("entity", "term", F.round("disclosure", 6).alias("disclosure")), "strong", root)
 
-    # Every place of a strong term in the documents that hold its entity. A term inside an entity is already covered;
-    # those are taken out below.
+    # Every place of a strong term in the documents that hold its entity, but for those that touch an entity: with both in
+    # order, an entity touches a term if one that begins no later reaches into it, or the next one begins in it.
     marks = spans.select("row", "entity").distinct().join(strong, "entity").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
     marks = materialize(marks, "marks", root)
     texts = base.select("row", "text").join(marks.select("row").distinct(), "row", "left_semi")
     added = placed(texts.select("row", F.explode(pieces(F.col("text"), TERM, "term", sides=False)).alias("m")).select("row", "m.*"), ["row"])
     added = added.select("row", "start", "end", F.lower("value").alias("term")).join(marks, ["row", "term"])
+    beside = spans.join(marks.select("row").distinct(), "row", "left_semi").select("row", "start", "end", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("disclosure"))
+    both = added.select(beside.columns).unionByName(beside)
+    is_entity, up, down = F.col("term").isNull(), Window.partitionBy("row").orderBy("start"), Window.partitionBy("row").orderBy(F.col("start").desc())
+    both = both.withColumn("reach", F.max(F.when(is_entity, F.col("end"))).over(up)).withColumn("next", F.min(F.when(is_entity, F.col("start"))).over(down))
+    added = both.where(~is_entity & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end"))))
     added = added.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("term").alias("value"), "disclosure"))).alias("added"))
     listed_base = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "r", "end", "kind", "value"))).alias("found"))
     out = base.select("row", "doc_id", *text_too).join(listed_base.join(added, "row", "left"), "row", "left")
     found = F.coalesce(F.col("found"), F.array().cast("array<struct<start:int,r:int,end:int,kind:string,value:string>>"))
     terms = F.coalesce(F.col("added"), F.array().cast("array<struct<start:int,end:int,value:string,disclosure:double>>"))
     out = out.select("row", "doc_id", *text_too, found.alias("base"), terms.alias("terms"))
-    outside = F.filter("terms", lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    terms = F.transform(outside, lambda t: F.struct(
+    terms = F.transform("terms", lambda t: F.struct(
         t["start"].alias("start"), F.lit(len(KINDS)).alias("r"), t["end"].alias("end"), F.lit("term").alias("kind"), t["value"].alias("value"),
         t["disclosure"].alias("disclosure"), F.when(t["disclosure"] >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action")))
     return out.withColumn("terms", terms)

@@ -9,8 +9,10 @@ The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest
 model is one broadcast, and its accuracy is held to held-out rows). Scores cover all rows.
 
 Only texts make scores: labels, languages, sources and ids are never inputs. Defined results: null and empty texts have
-no features and get the score of the bias. A doc_id with several labels takes the largest; repeated rows train once.
-Without any label, scores are 0.5 of an empty model, by definition. Empty tables give empty results.
+no features and get the score of the bias. A very long text is scored whole, in a block of its own. A doc_id with
+several labels takes the largest; repeated rows train once, by the smallest of their texts. Without any label outside
+the fold nothing is learnt: every score is 0, nothing is predicted and no document goes. Empty tables give empty
+results. Of the other columns only those that are carried along are read, by place, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -147,12 +149,12 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
     types = dict(d.dtypes)
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
-    names = ["doc_id", "score", *[f"_k{i}" for i in range(len(keep))]]
+    names, learnt = ["doc_id", "score", *[f"_k{i}" for i in range(len(keep))]], bool(weights.any())
 
     def run(batches):
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            got = [score_block(data, offsets[a : b + 1], sent.value) for a, b in blocks(offsets)]
+            got = [score_block(data, offsets[a : b + 1], sent.value) for a, b in blocks(offsets)] if learnt else [np.zeros(batch.num_rows)]
             scores = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), *[batch.column(2 + i) for i in range(len(keep))]], names=names)
 
@@ -168,7 +170,5 @@ def predict(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def keep_clean(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, with their own columns. A model without weights rejects none."""
-    if not weights.any():
-        return docs
     scored = score(docs, weights, docs.columns[0], "text", keep=docs.columns)
     return scored.where(F.col("score") < threshold).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])

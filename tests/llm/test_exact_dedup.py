@@ -33,6 +33,11 @@ def test_rows(spark, tmp_path, bits):
     assert got(ed.exact_dedup(spark, f"{tmp_path}/documents.parquet", digest_bits=bits)) == brute(TEXTS)
 
 
+def test_a_path_may_end_with_a_slash(spark, tmp_path):
+    spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(ed.exact_dedup(spark, f"{tmp_path}/documents.parquet/")) == brute(TEXTS)
+
+
 def test_stream_resumes(spark, tmp_path):
     path, state = f"{tmp_path}/documents.parquet", f"file://{tmp_path}/state"
     for rows in (TEXTS[:6], TEXTS[6:]):

@@ -1,8 +1,11 @@
 """Operator 1 against a brute-force version in Python."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
+
 from cairn.llm import pii
 
 PLAIN = {
@@ -106,5 +109,79 @@ def test_terms_go_from_the_whole_document(spark):
     assert clean[303] == "zanzibarix alone"
 
 
+def brute_terms(docs, generalise=pii.GENERALISE, support=pii.SUPPORT):
+    """Disclosure by plain loops over the documents: (doc_id, start, end, term, disclosure) of each added span."""
+    term = re.compile(pii.TERM)
+    lines, found, near = set(), {}, {}
+    for d, t in docs:
+        pieces = re.split(pii.LINE_END, t or "")
+        at = lambda i: pieces[i] if 0 <= i < len(pieces) else ""
+        lines |= {(at(i - 1), x, at(i + 1)) for i, x in enumerate(pieces) if x}
+        found[d] = []
+        for kind, pattern in PLAIN.items():
+            every = list(re.finditer(pattern, t or ""))
+            ends = [0, *[m.end() for m in every]]
+            starts = [*[m.start() for m in every], len(t or "")]
+            for k, m in enumerate(every):
+                if f"{kind}:{m.start()}:{m.end()}" not in brute(t):
+                    continue
+                entity = kind + ":" + re.sub(r"[\x20().-]", "", m[0]).lower()
+                found[d].append((entity, m.start(), m.end()))
+                left, right = t[ends[k] : m.start()], t[m.end() : starts[k + 1]]
+                a, b = max(0, len(left) - pii.REACH), min(len(right), pii.REACH)
+                while 0 < a and term.fullmatch(left[a - 1 : a + 1]):  # to the end of a word that the cut goes through
+                    a -= 1
+                while b < len(right) and term.fullmatch(right[b - 1 : b + 1]):
+                    b += 1
+                window = (left[a:], right[:b])
+                for w in {x.lower() for side in window for x in term.findall(side) if len(x) >= pii.MIN_TERM}:
+                    near.setdefault(entity, {}).setdefault(w, set()).add(window)
+    cf, chars = {}, 0
+    for _, x, _ in lines:
+        chars += len(x)
+        for w in term.findall(x):
+            cf[w.lower()] = cf.get(w.lower(), 0) + 1
+    n = max(2.0, chars / (2 * pii.REACH))
+    strong = {}
+    for entity, terms in near.items():
+        n_c = len(set().union(*terms.values()))
+        for w, seen in terms.items():
+            if len(seen) >= support:
+                pmi = np.log2(len(seen) * n / (n_c * max(cf.get(w, 0), len(seen))))
+                share = min(1.0, pmi / -np.log2(min(n_c / n, 0.5)))
+                if share >= generalise:
+                    strong.setdefault(entity, {})[w] = share
+    out = []
+    for d, t in docs:
+        mine = {}
+        for entity, _, _ in found[d]:
+            for w, share in strong.get(entity, {}).items():
+                mine[w] = max(share, mine.get(w, 0))
+        for m in term.finditer(t or ""):
+            if m[0].lower() in mine and not any(s < m.end() and m.start() < e for _, s, e in found[d]):
+                out.append((d, m.start(), m.end(), m[0].lower(), round(mine[m[0].lower()], 4)))
+    return sorted(out)
+
+
+def test_disclosure_matches_plain_loops(spark):
+    r = random.Random(3)
+    common = [f"word{i}" for i in range(40)] + ["Élan", "ΟΔΟΣ", "ab", "x-y", "İstanbul"]
+    rare = [f"Codename{i}" for i in range(8)] + ["ΛΟΓΟΣ", "supercalifragilistic" * 5]
+    entities = [f"boss{i}@corp.example.com" for i in range(4)] + ["10.20.30.40", "+1 (974) 555-3436", "4539 1488 0343 6467"]
+    docs = []
+    for i in range(250):
+        w = [r.choice(common) for _ in range(r.randrange(5, 60))]
+        if r.random() < 0.35:
+            k = r.randrange(len(entities))
+            for x in (rare[k], entities[k], rare[(k + r.randrange(3)) % len(rare)]):
+                w.insert(r.randrange(len(w)), r.choice([x, x + ".", x + ",\n"]))
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, t) for i, (_, t) in enumerate(docs[:60])] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((x.doc_id, t.start, t.end, t.value, round(t.disclosure, 4)) for x in pii.find(df).collect() for t in x.terms)
+    want = brute_terms(docs)
+    assert len({w for *_, w, _ in want}) > 5 and got == want
+
+
 def test_empty_table(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).collect() == []

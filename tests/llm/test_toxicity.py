@@ -54,4 +54,46 @@ def test_odd_rows(spark):
 def test_no_labels(spark, n):
     docs = spark.createDataFrame([(i, "text") for i in range(n)], "doc_id long, text string")
     rows = toxicity.predict(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
-    assert [r.score for r in rows] == [0.5] * n
+    assert [(r.score, r.predicted) for r in rows] == [(0.0, 0)] * n
+
+
+def test_updates_are_those_of_the_published_loop():
+    """Per-coordinate FTRL-proximal, one coordinate at a time (McMahan et al. 2013, algorithm 1)."""
+    rng = np.random.default_rng(6)
+    rows = [sorted(set(rng.integers(0, 64, 6).tolist())) + [64] for _ in range(200)]
+    labels = [int(3 in r or rng.random() < 0.2) for r in rows]
+    a, b, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    z, n, w = [0.0] * 65, [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((b + n[i] ** 0.5) / a + l2)
+
+    model = toxicity.Ftrl(6, a, b, l1, l2)
+    for r, y in zip(rows, labels):
+        for i in r:
+            w[i] = weight(i)
+        p = 1 / (1 + np.exp(-sum(w[i] for i in r)))
+        for i in r:
+            g = p - y
+            s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / a
+            z[i] += g - s * w[i]
+            n[i] += g * g
+        assert model.learn(np.array(r), y) == pytest.approx(p)
+    assert np.allclose(model.weights(), [weight(i) for i in range(65)]) and (model.weights() == 0).any() and model.weights()[3] > 0
+
+
+def test_training_counts_and_passes():
+    """``fit`` learns each row once a pass, from the coordinates of ``FEWEST`` rows and more."""
+    texts = ["bad word here", "good word here"] * 20 + ["alone only once"]
+    got = toxicity.fit(texts, [1, 0] * 20 + [1], passes=2, bits=10, l1=0.01)
+    data, offsets = column_bytes(pa.array(texts, pa.large_string()))
+    row, at = toxicity.features(data, offsets, 10)
+    seen = {}
+    for r, c in set(zip(row.tolist(), at.tolist())):
+        seen.setdefault(c, set()).add(r)
+    assert all((got[c] != 0) <= (len(rs) >= toxicity.FEWEST) for c, rs in seen.items())
+    data, offsets = column_bytes(pa.array(["bad word here", "good word here"]))
+    bad, good = toxicity.score_block(data, offsets, got)
+    assert bad > 0.6 > 0.4 > good
