@@ -1,4 +1,4 @@
-"""Object envelopes as columns and Arrow functions (X1-X6, X16, X22, S14, S18, P9 left out).
+"""Object envelopes as columns and Arrow functions.
 
 An envelope is magic[4] | mac[32] | iv[16] | session[64] | ciphertext. The magic is a parameter. The column forms stay
 in whole-stage code and are for keys that may be seen in a plan (tests, synthetic stores); the Arrow forms keep keys in
@@ -46,11 +46,6 @@ def blob_id(content: Column, salt: bytes = b"") -> Column:
     return F.sha2(F.concat(F.lit(salt), content) if salt else content, 256)
 
 
-def derive_key(password: bytes, salt: bytes, iterations: int = 200_000, length: int = 64) -> bytes:
-    """PBKDF2 on the driver, once for each computer."""
-    return hashlib.pbkdf2_hmac("sha1", password, salt, iterations, length)
-
-
 def verifier(spark: SparkSession, magic: bytes, key: bytes):
     """X1 with a real key: an Arrow function (binary -> boolean)."""
     import pandas as pd
@@ -70,38 +65,55 @@ def verifier(spark: SparkSession, magic: bytes, key: bytes):
 
 
 def lz4_decode(data: bytes) -> bytes:
-    """A raw LZ4 block behind its 4-byte big-endian length. Raises ValueError on anything malformed."""
-    if len(data) < 4:
-        raise ValueError("no length")
-    want, out, i, n = int.from_bytes(data[:4], "big"), bytearray(), 4, len(data)
-
-    def more(base: int, at: int) -> tuple[int, int]:
-        if base == 15:
-            while True:
-                if at >= n:
-                    raise ValueError("cut length")
-                base, at = base + data[at], at + 1
-                if data[at - 1] != 255:
-                    break
-        return base, at
-
-    while i < n:
-        token = data[i]
-        count, i = more(token >> 4, i + 1)
-        if i + count > n:
-            raise ValueError("cut literals")
-        out += data[i : i + count]
-        i += count
-        if i == n:
-            break
-        if i + 2 > n:
-            raise ValueError("cut offset")
-        back = data[i] | data[i + 1] << 8
-        count, i = more(token & 15, i + 2)
-        if not 0 < back <= len(out):
-            raise ValueError("bad offset")
-        for _ in range(count + 4):
-            out.append(out[-back])
+    """A raw LZ4 block behind its 4-byte big-endian length, by Arrow's codec. Raises ValueError on anything malformed.
+
+    A block expands 255 times at most, so a larger length is refused before it is made room for.
+    """
+    import pyarrow as pa
+
+    want = int.from_bytes(data[:4], "big")
+    if len(data) < 5 or want > 255 * len(data):
+        raise ValueError("no length, or one beyond what the block can hold")
+    if not want:
+        return _lz4_by_sequence(data[4:], want)
+    codec = pa.Codec("lz4_raw")
+    try:
+        out = codec.decompress(data[4:], decompressed_size=want, asbytes=True)
+    except OSError:  # cut, malformed, or a block that ends with a copy, which the codec refuses
+        return _lz4_by_sequence(data[4:], want)
+    try:  # the codec doesn't say how much it made: a block that also fits into less is shorter
+        codec.decompress(data[4:], decompressed_size=want - 1)
+    except OSError:
+        return out
+    return _lz4_by_sequence(data[4:], want)
+
+
+def _lz4_by_sequence(block: bytes, want: int) -> bytes:
+    """A block sequence by sequence: literals, then a copy of what was made."""
+    out, rest = bytearray(), iter(block)
+    try:
+        for token in rest:
+            sizes = [token >> 4, token & 15]
+            for k in (0, 1):
+                if sizes[k] == 15:
+                    while (more := next(rest)) == 255:
+                        sizes[k] += 255
+                    sizes[k] += more
+                if k == 0:
+                    out += bytes(next(rest) for _ in range(sizes[0]))
+                    low = next(rest, None)
+                    if low is None:  # the last sequence may be literals only
+                        break
+                    back = low | next(rest) << 8
+                    if not 0 < back <= len(out):
+                        raise ValueError("a copy from before the start")
+                else:
+                    n = sizes[1] + 4
+                    if len(out) + n > want:
+                        raise ValueError("length differs")
+                    out += (out[-back:] * (n // back + 1))[:n]
+    except (StopIteration, RuntimeError) as e:
+        raise ValueError("cut off") from e
     if len(out) != want:
         raise ValueError("length differs")
     return bytes(out)
@@ -140,13 +152,15 @@ def decompressed():
 
 def first_difference():
     """Offset of the first byte that differs, null if none does."""
+    import numpy as np
     import pandas as pd
 
     @F.pandas_udf("long")
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y):
-            k = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-            return None if k == len(x) == len(y) else k
+            n = min(len(x), len(y))
+            differ = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)) if n else ()
+            return int(differ[0]) if len(differ) else None if len(x) == len(y) else n
 
         return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b)], dtype="Int64")
 
