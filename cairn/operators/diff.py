@@ -104,3 +104,9 @@ def chunk_lockstep(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         F.max("first_divergence").alias("first_divergence"),
         F.when(F.max("first_divergence").isNotNull(), F.coalesce(F.sum(F.when(before, F.col("la"))), F.lit(0))).cast("long").alias("divergence_offset"),
     )
+
+
+def difference_summary(differences: DataFrame, kinds: list[str], kind: str = "what") -> DataFrame:
+    """The number of differences of each kind, those without any too, and whether there is none at all."""
+    counts = [F.count_if(F.col(kind) == k).alias(k) for k in kinds]
+    return differences.agg(*counts, F.count_if(~F.col(kind).isin(*kinds)).alias("other")).withColumn("match", F.greatest(*kinds, "other") == 0)

@@ -137,6 +137,19 @@ def new_blobs(chunks: DataFrame, known: DataFrame, blob: str = "blob_id") -> Dat
     return fresh.withColumn("family", route(F.col("length"), F.col("is_tree")))
 
 
+def ingest(chunks: DataFrame, known: DataFrame, key: list[str], large: int = LARGE) -> DataFrame:
+    """What taking in files stores: (key, ordinal, blob_id, length, family, is_new, brings) of each chunk, in one pass.
+
+    ``chunks`` has (key, ordinal, blob_id, length). A blob is new if no known one has its id; of new ones with one id the
+    first chunk by (key, ordinal) brings it, the others refer to it. ``pack_greedy`` puts those that are brought into packs.
+    """
+    place = F.struct(*key, "ordinal")
+    first = chunks.groupBy("blob_id").agg(F.min(place).alias("_first")).join(known.select("blob_id").distinct().withColumn("_known", F.lit(True)), "blob_id", "left")
+    j = chunks.join(first, "blob_id")
+    fresh = F.col("_known").isNull()
+    return j.select(*key, "ordinal", "blob_id", "length", route(F.col("length"), F.lit(False), large).alias("family"), fresh.alias("is_new"), (fresh & (place == F.col("_first"))).alias("brings"))
+
+
 def pack_greedy(blobs: DataFrame, group: list[str], order: list[str], blob: str, length: str, most: int = PACK) -> DataFrame:
     """In-order greedy packing: (group, blob, pack, offset, length). A repeated blob keeps its first place; one
     that is larger than a pack stands alone.

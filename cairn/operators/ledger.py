@@ -65,6 +65,20 @@ def within_budget(rows: DataFrame, size: str, order: list[str], most: int, group
     return rows.withColumn("spent_before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("spent_before") < most)
 
 
+def spent(rows: DataFrame, order: list[str], group: list[str], limits: dict[str, tuple[str, float]]) -> DataFrame:
+    """Per group what is done within its budgets and why it stopped: (rows, done, one sum a budget, reason).
+
+    ``limits`` gives for each reason, as 'max_runtime' or 'max_bytes', a column and its bound. A row is begun while no
+    running sum before it has reached its bound; the reason is the first of the reached ones in the order given, null if all rows are done.
+    """
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = {reason: F.coalesce(F.sum(col).over(w), F.lit(0)) >= most for reason, (col, most) in limits.items()}
+    hit = F.coalesce(*[F.when(c, F.lit(r)) for r, c in before.items()])
+    x = rows.withColumn("_hit", hit)
+    sums = [F.sum(F.when(F.col("_hit").isNull(), F.col(col))).alias(col) for col, _ in limits.values()]
+    return x.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_hit").isNull()).alias("done"), *sums, F.min_by("_hit", F.when(F.col("_hit").isNotNull(), F.struct(*order))).alias("reason"))
+
+
 def sampled(rows: DataFrame, key: str, n: int, fraction: float, seed: str = "") -> DataFrame:
     """max(1, int(n * fraction)) rows without replacement, the same on every run: those of smallest hash."""
     most = max(1, int(n * fraction))

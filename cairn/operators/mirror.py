@@ -58,6 +58,19 @@ def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.exceptAll(after).withColumn("change", F.lit("removed")).unionByName(after.exceptAll(before).withColumn("change", F.lit("added")))
 
 
+def drift_by_version(shapes: DataFrame, version: str = "version") -> DataFrame:
+    """(version, prior, name, type, change) of each version's (name, type) rows against the latest version before it.
+
+    The first version has nothing to be compared with. Versions are few; their rows meet in one join on (prior, name, type).
+    """
+    order = Window.orderBy(version)
+    steps = shapes.select(version).distinct().withColumn("prior", F.lag(version).over(order)).where("prior is not null")
+    new = shapes.select(version, "name", "type").distinct().join(steps, version).withColumn("_new", F.lit(True))
+    old = shapes.select(F.col(version).alias("prior"), "name", "type").distinct().join(steps, "prior").withColumn("_old", F.lit(True))
+    both = new.join(old, [version, "prior", "name", "type"], "full_outer").where("_new is null or _old is null")
+    return both.select(version, "prior", "name", "type", F.when(F.col("_old").isNull(), "added").otherwise("removed").alias("change"))
+
+
 def dangling(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
     """Q6: references without a referent."""
     p = parent.select(F.col(parent_key).alias(key)).distinct()

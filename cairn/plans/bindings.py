@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import paths, skeleton
 from cairn.operators import diff, graph, ingest, inventory, ledger, mirror, retention, runs, stats
-from cairn.plans import validate
+from cairn.plans import restore, validate
 from cairn.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -697,7 +697,7 @@ def schema_drift(t):
 
 
 @query("""WITH d AS (SELECT c_nationkey AS nation, list_sort(list(DISTINCT c_mktsegment)) AS have FROM customer GROUP BY 1)
-SELECT nation, list_filter(['BUILDING', 'HOUSEHOLD', 'MACHINERY', 'SPACE'], x -> NOT list_contains(have, x)) AS missing, list_filter(have, x -> x NOT IN ('BUILDING', 'HOUSEHOLD', 'MACHINERY', 'SPACE')) AS extra FROM d""")
+SELECT nation, list_filter(['BUILDING', 'HOUSEHOLD', 'MACHINERY', 'SPACE'], lambda x: NOT list_contains(have, x)) AS missing, list_filter(have, lambda x: x NOT IN ('BUILDING', 'HOUSEHOLD', 'MACHINERY', 'SPACE')) AS extra FROM d""")
 def key_difference(t):
     """U4: the segments that each nation's customers lack of four, and those beyond them."""
     have = t("customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("have"))
@@ -923,3 +923,78 @@ FROM k GROUP BY 1, 2""")
 def document_shapes(t):
     """The shapes of the events' documents; they hold flat objects only, tests hold deeper ones to goldens."""
     return skeleton.fingerprint(skeleton.shapes(t("events"), "event_id", "props"))
+
+
+@query("""WITH d AS (SELECT l_orderkey % 7 AS a FROM lineitem)
+SELECT count(*) FILTER (a = 1) AS one, count(*) FILTER (a = 2) AS two, count(*) FILTER (a = 9) AS nine, count(*) FILTER (a NOT IN (1, 2, 9)) AS other, false AS "match" FROM d""")
+def difference_summary(t):
+    """Differences by kind, and the overall verdict."""
+    names = F.element_at(F.array(*map(F.lit, ("zero", "one", "two", "three", "four", "five", "six"))), (F.col("l_orderkey") % 7 + 1).cast("int"))
+    return diff.difference_summary(t("lineitem").select(names.alias("what")), ["one", "two", "nine"])
+
+
+@query("""WITH s AS (SELECT DISTINCT year(o_orderdate) AS version, o_orderpriority AS name, CASE WHEN (year(o_orderdate) + length(o_orderpriority)) % 3 = 0 THEN 'int' ELSE 'string' END AS type FROM orders WHERE (year(o_orderdate) * 7 + length(o_orderpriority)) % 5 <> 0),
+v AS (SELECT version, lag(version) OVER (ORDER BY version) AS prior FROM (SELECT DISTINCT version FROM s)), p AS (SELECT * FROM v WHERE prior IS NOT NULL)
+SELECT p.version, p.prior, s.name, s.type, 'added' AS change FROM p JOIN s ON s.version = p.version WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.version = p.prior AND o.name = s.name AND o.type = s.type)
+UNION ALL SELECT p.version, p.prior, o.name, o.type, 'removed' FROM p JOIN s o ON o.version = p.prior WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.version = p.version AND o.name = s.name AND o.type = s.type)""")
+def drift_latest_prior(t):
+    """A version's shape against the latest one before it."""
+    y, n = F.year("o_orderdate"), F.length("o_orderpriority")
+    s = t("orders").where((y * 7 + n) % 5 != 0).select(y.alias("version"), F.col("o_orderpriority").alias("name"), F.when((y + n) % 3 == 0, "int").otherwise("string").alias("type"))
+    return mirror.drift_by_version(s)
+
+
+@query("""WITH x AS (SELECT *, coalesce(sum(l_linenumber) OVER w, 0) AS s, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER w, 0) AS BIGINT) AS q FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, CASE WHEN s >= 300 THEN 'max_runtime' WHEN q >= 2500 THEN 'max_bytes' END AS hit FROM x)
+SELECT l_suppkey, count(*) AS "rows", count(*) FILTER (hit IS NULL) AS done, CAST(sum(l_linenumber) FILTER (hit IS NULL) AS BIGINT) AS seconds, CAST(sum(CAST(l_quantity AS BIGINT)) FILTER (hit IS NULL) AS BIGINT) AS bytes,
+arg_min(hit, (l_orderkey * 10 + l_linenumber)) FILTER (hit IS NOT NULL) AS reason FROM h GROUP BY 1""")
+def audit_budget_reason(t):
+    """Budgets of time and of bytes, and which one ended the audit."""
+    li = t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_linenumber").cast("long").alias("seconds"), F.col("l_quantity").cast("long").alias("bytes"))
+    return ledger.spent(li, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_suppkey"], {"max_runtime": ("seconds", 300), "max_bytes": ("bytes", 2500)})
+
+
+@query("""WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY user_id) AS records FROM events)
+SELECT user_id, records, event_id, coalesce(value < 50, false) AS ok, CASE WHEN NOT coalesce(value < 50, false) THEN 'mac mismatch' END AS error FROM r WHERE n = 1""")
+def latest_record_audit(t):
+    """The latest record of each folder, checked."""
+    e = t("events").select("user_id", "ts", "event_id", "value")
+    return validate.latest_checked(e, ["user_id"], ["ts", "event_id"], F.col("value") < 50, F.lit("mac mismatch")).drop("ts")
+
+
+_PLACES = ("Library/Caches/app/f", "Documents/f", ".Trash/f", "private/tmp/x/f", "src/.cache", "tmp2/f", "Library/Containers/app/Data/Library/Caches", "var/log/f", "a/node_modules/f", ".npm/_cacache/content/f")
+
+
+@query("WITH p AS (SELECT p_partkey, p_partkey % 10 AS k FROM part) SELECT p_partkey, k IN (0, 2, 4, 6, 8, 9) AS home, k IN (3, 8) AS root FROM p")
+def default_excludes(t):
+    """the default lists of a home folder and of a system's root, with a glob of the caller's."""
+    place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    path = F.when(place.endswith("/f"), F.concat(place, F.col("p_partkey").cast("string"))).otherwise(place)
+    p = t("part").select("p_partkey", path.alias("path"))
+    rule = lambda user, system: paths.default_excludes(F.col("path"), F.lit(False), user, system, ("*/node_modules/*",))
+    return p.select("p_partkey", rule(True, False).alias("home"), rule(False, True).alias("root"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem), s AS (SELECT p_partkey, p_size FROM part WHERE p_partkey % 40 <> 0),
+e AS (SELECT o_orderkey, o_orderstatus = 'P' AS is_tree, CAST(o_orderkey % 3 AS BIGINT) AS k FROM orders),
+g AS (SELECT l_orderkey, count(*) AS chunks, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS bytes, count(*) FILTER (p_size IS NULL) AS missing FROM c LEFT JOIN s ON p_partkey = l_partkey GROUP BY 1)
+SELECT o_orderkey AS path, is_tree, coalesce(bytes, 0) + CASE WHEN k = 0 THEN 1 ELSE 0 END AS size, coalesce(chunks, 0) AS chunks, coalesce(bytes, 0) AS bytes, coalesce(missing, 0) AS missing,
+CASE WHEN is_tree THEN 'directory' WHEN coalesce(missing, 0) > 0 THEN 'missing' WHEN k = 0 THEN 'size differs' ELSE 'ok' END AS status FROM e LEFT JOIN g ON l_orderkey = o_orderkey""")
+def restore_manifest(t):
+    """P10: orders as files, their lines as chunks, parts as blobs of which some are gone."""
+    chunks = t("lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("blob_id"))
+    stored = t("part").where("p_partkey % 40 <> 0").select(F.col("p_partkey").alias("blob_id"), F.col("p_size").alias("length"))
+    sizes = chunks.join(stored, "blob_id").groupBy("path").agg(F.sum("length").alias("have"))
+    entries = t("orders").join(sizes, F.col("o_orderkey") == F.col("path"), "left").select(F.col("o_orderkey").alias("path"), (F.col("o_orderstatus") == "P").alias("is_tree"), (F.coalesce("have", F.lit(0)) + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).cast("long").alias("size"))
+    return restore.manifest(entries, chunks, stored)
+
+
+@query("""WITH c AS (SELECT doc_id, CAST(i AS INTEGER) AS ordinal, sha256(substr(text, CAST(i * 700 + 1 AS INTEGER), 700)) AS blob_id, length(substr(text, CAST(i * 700 + 1 AS INTEGER), 700)) AS length FROM (SELECT doc_id, text, source, unnest(range(0, (length(text) + 699) // 700)) AS i FROM documents WHERE length(text) > 0 AND source IS DISTINCT FROM 'src1')),
+k AS (SELECT DISTINCT sha256(substr(text, 1, 700)) AS b FROM documents WHERE source = 'src1' AND length(text) > 0)
+SELECT doc_id, ordinal, blob_id, CAST(length AS BIGINT) AS length, CASE WHEN length > 600 THEN 'largeblobpacks' ELSE 'blobpacks' END AS family, b IS NULL AS is_new, b IS NULL AND row_number() OVER (PARTITION BY blob_id ORDER BY doc_id, ordinal) = 1 AS brings FROM c LEFT JOIN k ON b = blob_id""")
+def ingest_files(t):
+    """Documents taken in over what another source has stored: chunks, new blobs and where they go."""
+    d = t("documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
+    chunks = ingest.fixed_chunks(d.where("source <> 'src1'"), "doc_id", "text", 700).select("doc_id", "ordinal", F.sha2("chunk", 256).alias("blob_id"), F.length("chunk").cast("long").alias("length"))
+    known = d.where("source = 'src1' and length(text) > 0").select(F.sha2(F.expr("substring(text, 1, 700)"), 256).alias("blob_id"))
+    return ingest.ingest(chunks, known, ["doc_id"], 600)

@@ -48,6 +48,17 @@ def audit(contents: DataFrame, ok: Column, max_bytes: int | None = None) -> Data
     return c.select("path", F.col("length").alias("size"), F.coalesce(ok, F.lit(False)).alias("ok")).withColumn("reason", F.when(~F.col("ok"), "mac mismatch"))
 
 
+def latest_checked(rows: DataFrame, group: list[str], order: list[str], ok: Column, error: Column) -> DataFrame:
+    """Per group (a folder) the count of its records, and of the latest one whether it is good and what is wrong.
+
+    The check is an expression on the latest record alone: what it needs of it is kept by ``max_by``, no sort.
+    """
+    latest = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("records"), F.max_by(F.struct(*[c for c in rows.columns if c not in group]), F.struct(*order)).alias("_r"))
+    flat = latest.select(*group, "records", "_r.*")
+    good = F.coalesce(ok, F.lit(False))
+    return flat.select(*group, "records", *order, good.alias("ok"), F.when(~good, error).alias("error"))
+
+
 def validate(stages: dict[str, Callable[[], DataFrame]], tier: str = "audit") -> dict[str, DataFrame]:
     """V1: the tiers up to ``tier``, each a table with an ``ok`` column; stops after a layout that is not ok.
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 TAIL = 50
 
@@ -74,3 +75,30 @@ def fold_runs(events: DataFrame) -> DataFrame:
 def event_sink(events: DataFrame, path: str, checkpoint: str):
     """Events as JSON lines."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """What a running audit tells: an event a micro-batch with the files and bytes so far, the rate, and the time left.
+
+    ``emit`` gets each event as a dictionary; ``total`` is the number of files there are, if it is known.
+    """
+
+    def __init__(self, emit, total: int | None = None):
+        self.emit, self.total, self.files, self.seconds = emit, total, 0, 0.0
+
+    def onQueryStarted(self, event):
+        self.emit({"event": "started", "id": str(event.id)})
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.files += p.numInputRows
+        self.seconds += p.batchDuration / 1000
+        rate = self.files / self.seconds if self.seconds else None
+        left = (self.total - self.files) / rate if self.total is not None and rate else None
+        self.emit({"event": "progress", "batch": p.batchId, "files": self.files, "total": self.total, "files_per_second": rate, "seconds_left": left})
+
+    def onQueryIdle(self, event):
+        self.emit({"event": "idle", "files": self.files})
+
+    def onQueryTerminated(self, event):
+        self.emit({"event": "failed" if event.exception else "ended", "files": self.files, "error": event.exception})
