@@ -3,13 +3,14 @@
 import json
 import plistlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
-from cairn.operators import diff, graph, inventory, ledger, mirror, retention, runs, stats
-from cairn.plans import validate
+from cairn.operators import diff, graph, ingest, inventory, ledger, mirror, retention, runs, stats
+from cairn.plans import restore, validate
 from cairn.sources import store
 from cairn.streaming import streams
 
@@ -193,3 +194,53 @@ def test_run_fold_stream(spark, tmp_path):
     sink = streams.event_sink(spark.readStream.schema(schema).json(str(events)), str(tmp_path / "json"), str(tmp_path / "cp2"))
     sink.awaitTermination()
     assert spark.read.json(str(tmp_path / "json")).count() == 8
+
+
+def test_progress_tells_what_is_left(spark, tmp_path):
+    root = tmp_path / "objects"
+    root.mkdir()
+    for i in range(6):
+        (root / f"o{i}").write_bytes(b"x")
+    events = []
+    listener = streams.Progress(events.append, total=6)
+    spark.streams.addListener(listener)
+    try:
+        streams.audit_drip(spark, str(root), str(tmp_path / "checkpoint"), str(tmp_path / "sink"), lambda c: c == F.lit(b"x"), files_per_batch=2).awaitTermination()
+        for _ in range(100):
+            if events and events[-1]["event"] == "ended":
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    told = [e for e in events if e["event"] == "progress" and e["files"]]
+    assert [e["files"] for e in told][-1] == 6 and told[-1]["seconds_left"] == 0 and told[0]["seconds_left"] > 0 and events[-1] == {"event": "ended", "files": 6, "error": None}
+
+
+def test_restored_contents_and_manifest(spark):
+    chunks = spark.createDataFrame([("a", 1, "y"), ("a", 0, "x"), ("b", 0, "gone"), ("c", 0, "x")], "path string, ordinal int, blob_id string")
+    blobs = spark.createDataFrame([("x", b"one "), ("y", b"two")], "blob_id string, content binary")
+    assert {r.path: bytes(r.content) for r in restore.contents(chunks, blobs).collect()} == {"a": b"one two", "c": b"one "}
+    entries = spark.createDataFrame([("a", False, 7), ("b", False, 1), ("c", False, 9), ("d", True, 0), ("e", False, 0)], "path string, is_tree boolean, size long")
+    stored = blobs.select("blob_id", F.octet_length("content").alias("length"))
+    assert {r.path: r.status for r in restore.manifest(entries, chunks, stored).collect()} == {"a": "ok", "b": "missing", "c": "size differs", "d": "directory", "e": "ok"}
+
+
+def test_chunks_of_a_batch_are_those_of_each_file(spark):
+    r = random.Random(4)
+    c = ingest.Buzhash(tuple(r.getrandbits(32) for _ in range(256)), window=16, bits=6, least=8, most=256)
+    files = [r.randbytes(r.choice([0, 1, 15, 16, 17, 300, 3000])) for _ in range(60)]
+    whole, at = b"".join(files), [0]
+    for f in files:
+        at.append(at[-1] + len(f))
+    assert c.cuts_of(whole, at, segment=1000) == [list(c.cuts(f)) for f in files]
+    for f in files:  # a plain loop over windows
+        ends, start = [], 0
+        while start < len(f):
+            stop = min(start + c.most, len(f))
+            end = next((p for p in range(max(start + c.least, c.window), stop) if c.hash(f[p - c.window : p]) & 63 == 0), stop) if start + c.least < len(f) else len(f)
+            ends.append(end)
+            start = end
+        assert ends == list(c.cuts(f))
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(files)] + [(99, None)], "k long, content binary")
+    rows = sorted(ingest.defined_chunks(df, "k", "content", c).collect(), key=lambda x: (x.k, x.ordinal))
+    assert b"".join(bytes(x.chunk) for x in rows) == whole and all(x.offset == sum(len(y.chunk) for y in rows if y.k == x.k and y.ordinal < x.ordinal) for x in rows[:80])
