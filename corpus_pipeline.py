@@ -2,6 +2,14 @@
 
 Every stage works on all its predecessor kept. All but the last return the columns of ``documents``; the last returns
 the token files' rows, one for each document of the mix (a document taken twice has two).
+
+Defined results: null and empty texts get the score of the model's bias, have fingerprint zero (so that one of all texts
+without words stays), hold no benchmark window, have size 0 and so are not in the mix. Null ids, languages and sources are
+values like any other; null ids come first in the token files. Very long texts go through every stage whole. Of rows
+that repeat an id each is judged by its own text; in a group of near copies one row stays, of equal rows any one, which
+makes no difference. Rows of the mix that agree in id, source and size are taken alike. Ties are settled by ids, then
+by hashes of the rows. Empty documents, labels or benchmark give empty results, no rejection and no hit. Columns are read
+by name from ``documents``; more columns, whatever they are called, are carried along to the last stage.
 """
 
 from __future__ import annotations
