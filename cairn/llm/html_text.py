@@ -14,8 +14,9 @@ order by an empty line. ``br`` is white space. Pages are read in one pass over t
 take linear time and no recursion.
 
 Defined results: null, empty and text-free pages give an empty text. Pages whose paragraphs are all short give the text
-of the article or main element, or else all that is not left out. Repeated rows stay rows. An empty table gives an empty
-result. Only the id, the url and the html are read.
+of the article or main element, or else all that is not left out; of elements of one score the first is taken. Very long
+pages are read whole, in batches bounded by bytes. Repeated rows stay rows. An empty table gives an empty result. Only
+the id, the url and the html are read, so clashing names (text, n_chars) do no harm.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import bounded_batches
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'<]|\"[^\"<]*+\"|'[^'<]*+')*+>|[^>]*+(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -338,4 +341,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(d.dtypes)
-    return d.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return bounded_batches(d, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -89,4 +89,6 @@ def test_rows(spark):
     rows = [(1, "u", None, "x"), (1, "u", "<p>same, same, same, same, same, same</p>", "y"), (2, None, "", "z")]
     got = sorted((r.page_id, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
     assert got == [(1, "", 0), (1, "same, same, same, same, same, same", 38 - 4), (2, "", 0)]
+    clash = spark.createDataFrame([(1, "u", "<p>a, b, c, d</p>", 7)], "page_id long, url string, html string, n_chars int")
+    assert [tuple(r) for r in extract(clash).collect()] == [(1, "u", "a, b, c, d", 10)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
