@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.scratch import materialize, scratch_dir
+
 
 def snapshot_diff(a: DataFrame, b: DataFrame, key: str = "rel_path", expand: bool = True) -> DataFrame:
     """What changed from ``a`` to ``b``: rows of (key, is_tree, size, chunk_ids) to (key, kind, old_size, new_size).
@@ -30,6 +32,35 @@ def snapshot_diff(a: DataFrame, b: DataFrame, key: str = "rel_path", expand: boo
     return out.select(key, "kind", "old_size", "new_size")
 
 
+def pruned_diff(a: DataFrame, b: DataFrame, roots: tuple, expand: bool = True) -> DataFrame:
+    """J1 over content-addressed trees: rows of (path, is_tree, kind, old_size, new_size), by going down where ids differ.
+
+    ``a`` and ``b`` have (parent, name, child, is_tree, size); ``roots`` are the two root ids. Equal ids are equal subtrees, so
+    only entries of trees that differ are joined: work follows the changes, not the store. With ``expand`` what is below
+    an added or removed directory is listed too.
+    """
+    spark = a.sparkSession
+    folder, depth, out = scratch_dir(spark), 0, []
+    front = spark.createDataFrame([("", *roots)] if roots[0] != roots[1] else [], "path string, pa string, pb string")
+    sides = [e.select(F.col("parent").alias(f"_{s}"), "name", F.col("child").alias(f"{s}_id"), F.col("is_tree").alias(f"{s}_tree"), F.col("size").alias(f"{s}_size"), F.lit(True).alias(f"in_{s}")) for e, s in ((a, "a"), (b, "b"))]
+    while True:
+        below = [front.where(F.col(f"p{s}").isNotNull()).join(e, F.col(f"p{s}") == F.col(f"_{s}")).drop("pa", "pb", f"_{s}") for e, s in zip(sides, "ab")]
+        j = below[0].join(below[1], ["path", "name"], "full_outer").where("not (a_id <=> b_id and a_tree <=> b_tree)")
+        full = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("/", "path", "name"))
+        kind = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when(F.col("a_tree") != F.col("b_tree"), "type_changed").when(~F.col("a_tree"), "modified")
+        rows = materialize(j.withColumn("full", full).withColumn("kind", kind).drop("path", "name"), f"depth{depth}", folder)
+        out.append(rows.where("kind is not null").select(F.col("full").alias("path"), F.coalesce("b_tree", "a_tree").alias("is_tree"), "kind", F.col("a_size").alias("old_size"), F.col("b_size").alias("new_size")))
+        deeper = rows if expand else rows.where("a_tree and b_tree")
+        front = deeper.select(F.col("full").alias("path"), F.when(F.col("a_tree"), F.col("a_id")).alias("pa"), F.when(F.col("b_tree"), F.col("b_id")).alias("pb")).where("pa is not null or pb is not null")
+        depth += 1
+        if front.isEmpty():
+            break
+    every = out[0]
+    for o in out[1:]:
+        every = every.unionByName(o)
+    return every
+
+
 def ancestors(path: Column) -> Column:
     """Proper ancestors of a path, outermost first."""
     parts = F.split(path, "/")
@@ -110,3 +141,14 @@ def difference_summary(differences: DataFrame, kinds: list[str], kind: str = "wh
     """The number of differences of each kind, those without any too, and whether there is none at all."""
     counts = [F.count_if(F.col(kind) == k).alias(k) for k in kinds]
     return differences.agg(*counts, F.count_if(~F.col(kind).isin(*kinds)).alias("other")).withColumn("match", F.greatest(*kinds, "other") == 0)
+
+
+def shape_compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """V4: two stores' shapes (file, json_path, type) side by side: (file, json_path, what, type_a, type_b) of what differs,
+    'file_only_a', 'file_only_b', 'path_only_a', 'path_only_b' or 'type'. ``difference_summary`` counts it.
+    """
+    sets = [d.groupBy("file", "json_path").agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias(f"type_{s}")) for d, s in ((a, "a"), (b, "b"))]
+    files = [d.select("file").distinct().withColumn(f"has_{s}", F.lit(True)) for d, s in ((a, "a"), (b, "b"))]
+    j = sets[0].join(sets[1], ["file", "json_path"], "full_outer").join(files[0], "file", "left").join(files[1], "file", "left")
+    what = F.when(F.col("has_b").isNull(), "file_only_a").when(F.col("has_a").isNull(), "file_only_b").when(F.col("type_b").isNull(), "path_only_a").when(F.col("type_a").isNull(), "path_only_b").when(F.col("type_a") != F.col("type_b"), "type")
+    return j.select("file", "json_path", what.alias("what"), "type_a", "type_b").where("what is not null")

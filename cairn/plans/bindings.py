@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cairn.functions import paths, skeleton
 from cairn.operators import diff, graph, ingest, inventory, ledger, mirror, retention, runs, stats
 from cairn.plans import restore, validate
+from cairn.scratch import materialize
 from cairn.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +97,37 @@ def snapshot_diff_collapsed(t):
     return diff.snapshot_diff(every.where("n <> 5 and (is_tree or n = 3 or k % 50 <> 0)").select(*cols), every.where("n <> 3").select(*cols), expand=False)
 
 
+def _tree(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Orders as files (n, c, o, size) in a content-addressed tree nation / customer / order: its entries and its root id."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    files = rows.select("n", "c", name("o", "o").alias("name"), F.concat(F.lit("f"), F.col("size").cast("string")).alias("child"), F.lit(False).alias("is_tree"), F.col("size"))
+    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "child"))), lambda x: F.concat_ws("=", x["name"], x["child"])), ","))
+    customers = files.groupBy("n", "c").agg(digest.alias("child")).select("n", "c", name("c", "c").alias("name"), "child", F.lit(True).alias("is_tree"), F.lit(0).cast("long").alias("size"))
+    nations = customers.groupBy("n").agg(digest.alias("child")).select("n", name("n", "n").alias("name"), "child", F.lit(True).alias("is_tree"), F.lit(0).cast("long").alias("size"))
+    root = nations.agg(digest.alias("id")).first()["id"]
+    cols = ["parent", "name", "child", "is_tree", "size"]
+    top = nations.withColumn("parent", F.lit(root)).select(cols)
+    middle = customers.join(nations.select("n", F.col("child").alias("parent")), "n").select(cols)
+    low = files.join(customers.select("n", "c", F.col("child").alias("parent")), ["n", "c"]).select(cols)
+    return materialize(top.unionByName(middle).unionByName(low).distinct(), "tree"), root
+
+
+@query("""
+WITH o AS (SELECT c_nationkey AS n, c_custkey AS c, o_orderkey AS o, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders JOIN customer ON c_custkey = o_custkey),
+a AS (SELECT * FROM o WHERE c % 50 <> 3), b AS (SELECT n, c, o, size + CASE WHEN o % 97 = 0 THEN 1 ELSE 0 END AS size FROM o WHERE c % 50 <> 4),
+f AS (SELECT coalesce('n' || a.n || '/c' || a.c || '/o' || a.o, 'n' || b.n || '/c' || b.c || '/o' || b.o) AS path, false AS is_tree, CASE WHEN a.o IS NULL THEN 'added' WHEN b.o IS NULL THEN 'removed' WHEN a.size <> b.size THEN 'modified' END AS kind, a.size AS old_size, b.size AS new_size FROM a FULL JOIN b ON a.o = b.o),
+d AS (SELECT coalesce('n' || x.n || '/c' || x.c, 'n' || y.n || '/c' || y.c) AS path, true AS is_tree, CASE WHEN x.c IS NULL THEN 'added' WHEN y.c IS NULL THEN 'removed' END AS kind, CAST(CASE WHEN x.c IS NOT NULL THEN 0 END AS BIGINT) AS old_size, CAST(CASE WHEN y.c IS NOT NULL THEN 0 END AS BIGINT) AS new_size FROM (SELECT DISTINCT n, c FROM a) x FULL JOIN (SELECT DISTINCT n, c FROM b) y ON x.c = y.c)
+SELECT * FROM f WHERE kind IS NOT NULL UNION ALL SELECT * FROM d WHERE kind IS NOT NULL
+""")
+def snapshot_diff_pruned(t):
+    """Two content-addressed trees; equal subtrees are never read."""
+    c = t("customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("c"))
+    o = t("orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), F.floor("o_totalprice").cast("long").alias("size")).join(c, "c")
+    a, root_a = _tree(o.where("c % 50 <> 3"))
+    b, root_b = _tree(o.where("c % 50 <> 4").withColumn("size", F.when(F.col("o") % 97 == 0, F.col("size") + 1).otherwise(F.col("size"))))
+    return diff.pruned_diff(a, b, (root_a, root_b))
+
+
 def _blobs(t, source):
     return t("documents").where(F.col("source").isin(*source)).select(F.sha2("text", 256).alias("blob_id"), F.octet_length("text").cast("long").alias("size"))
 

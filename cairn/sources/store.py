@@ -19,6 +19,21 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
 
 
+def rooted(root: str, path: str) -> str:
+    """A path below ``root``; one that leads out of it, by ``..`` or as a place of its own, is refused."""
+    parts: list[str] = []
+    for part in path.strip("/").split("/"):
+        if part == "..":
+            if not parts:
+                raise ValueError(f"{path!r} leads out of the store")
+            parts.pop()
+        elif part not in ("", "."):
+            parts.append(part)
+    if "://" in path:
+        raise ValueError(f"{path!r} is a place of its own")
+    return "/".join([root.rstrip("/"), *parts])
+
+
 def objects(listing: DataFrame) -> DataFrame:
     """(cu, family, shard, name, path, size) of the files that lie where objects do; shards are 1 or 2 hex digits."""
     p = F.col("path")
@@ -110,7 +125,7 @@ def plans(rows: DataFrame, json_col: str) -> DataFrame:
 
 
 def report(df: DataFrame, path: str) -> None:
-    """A report or event sink: JSON lines, committed as a whole."""
+    """A report or event sink: JSON lines, committed as a whole by Spark's committer."""
     df.write.mode("overwrite").json(path)
 
 

@@ -244,3 +244,47 @@ def test_chunks_of_a_batch_are_those_of_each_file(spark):
     df = spark.createDataFrame([(i, f) for i, f in enumerate(files)] + [(99, None)], "k long, content binary")
     rows = sorted(ingest.defined_chunks(df, "k", "content", c).collect(), key=lambda x: (x.k, x.ordinal))
     assert b"".join(bytes(x.chunk) for x in rows) == whole and all(x.offset == sum(len(y.chunk) for y in rows if y.k == x.k and y.ordinal < x.ordinal) for x in rows[:80])
+
+
+def test_paths_stay_below_the_root():
+    assert store.rooted("/data/store/", "a/./b//c/../d") == "/data/store/a/b/d" and store.rooted("s3://x", "") == "s3://x"
+    for bad in ("../x", "a/../../x", "file:///etc/passwd"):
+        with pytest.raises(ValueError):
+            store.rooted("/data/store", bad)
+
+
+def test_trees_are_compared_where_they_differ(spark):
+    def entries(tree):
+        rows = []
+
+        def walk(node):
+            import hashlib
+
+            made = []
+            for name, v in sorted(node.items()):
+                child = walk(v) if isinstance(v, dict) else f"f{v}"
+                made.append((name, child, isinstance(v, dict), 0 if isinstance(v, dict) else v))
+            i = hashlib.md5(repr(made).encode()).hexdigest()
+            rows.extend((i, *m) for m in made)
+            return i
+
+        root = walk(tree)
+        return spark.createDataFrame(rows or [("-", "-", "-", False, 0)], "parent string, name string, child string, is_tree boolean, size long").distinct(), root
+
+    a = {"same": {"x": 1, "deep": {"y": 2}}, "d": {"f": 1, "g": 2, "gone": {"h": 3}}, "t": 5, "u": {"v": 6}}
+    b = {"same": {"x": 1, "deep": {"y": 2}}, "d": {"f": 9, "g": 2, "new": {"i": 4, "j": {}}}, "t": {"w": 7}, "u": 8}
+    (ea, ra), (eb, rb) = entries(a), entries(b)
+    got = sorted((r.path, r.kind) for r in diff.pruned_diff(ea, eb, (ra, rb)).collect())
+    assert got == [("d/f", "modified"), ("d/gone", "removed"), ("d/gone/h", "removed"), ("d/new", "added"), ("d/new/i", "added"), ("d/new/j", "added"), ("t", "type_changed"), ("t/w", "added"), ("u", "type_changed"), ("u/v", "removed")]
+    assert sorted(r.path for r in diff.pruned_diff(ea, eb, (ra, rb), expand=False).collect()) == ["d/f", "d/gone", "d/new", "t", "u"]
+    assert diff.pruned_diff(ea, ea, (ra, ra)).count() == 0
+
+
+def test_shapes_of_two_stores(spark):
+    cols = "file string, json_path string, type string"
+    a = spark.createDataFrame([("plan", "/x", "int"), ("plan", "/y", "str"), ("old", "/z", "int"), ("both", "/q", "int")], cols)
+    b = spark.createDataFrame([("plan", "/x", "str"), ("plan", "/w", "int"), ("new", "/z", "int"), ("both", "/q", "int")], cols)
+    rows = diff.shape_compare(a, b)
+    assert sorted((r.file, r.json_path, r.what) for r in rows.collect()) == [("new", "/z", "file_only_b"), ("old", "/z", "file_only_a"), ("plan", "/w", "path_only_b"), ("plan", "/x", "type"), ("plan", "/y", "path_only_a")]
+    kinds = ["file_only_a", "file_only_b", "path_only_a", "path_only_b", "type"]
+    assert not diff.difference_summary(rows, kinds).first()["match"] and diff.difference_summary(diff.shape_compare(a, a), kinds).first()["match"]
