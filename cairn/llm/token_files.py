@@ -16,8 +16,10 @@ last block is filled with its last id.
 
 Tokenising: where a tokenizer gives the same ids for words between ASCII white space as for the whole text, each distinct
 word is encoded once by the library and remembered by its bytes; ids of a text are then a lookup for each word. Whether
-that holds is read from the file's added tokens and tried on probes; any other tokenizer encodes whole texts. A worker
-process keeps one coder, and gives memory back after each image.
+that holds is read from the file's added tokens and tried on probes; any other tokenizer encodes whole texts. Where the
+file's own normaliser makes each of A-Z lower, texts are made so first, and where its own splitter parts a stop from each
+of a-z before it, so is that; both only make distinct words fewer. A worker process keeps one coder, and gives memory
+back after each image.
 
 Defined results: null and empty texts hold the end id alone. Rows that repeat a doc_id are written one after another in
 the order of their texts' hashes, then texts, so ties are equal rows; null doc_ids come first. A very long text is one
@@ -30,62 +32,56 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from itertools import chain, compress, islice, repeat
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import blocks, bounded_batches, column_bytes, drop_scratch, materialize, release_memory, scratch_dir
+from cairn.llm.common import LOWER, NOT_SPACE, blocks, bounded_batches, column_bytes, materialize, release_memory, scratch_dir, words
 
 END_ID = 2
 BLOCK, KEEP = 1024, 0.95
 SHARD_IDS = 1 << 20
-#: Distinct words, and bytes of them, of a generation of a worker's memory; it keeps two.
-CACHE, CACHE_BYTES = 1 << 18, 16 << 20
+#: Distinct words, and bytes of them, that a worker remembers; beyond, it starts anew.
+CACHE, CACHE_BYTES = 800_000, 32 << 20
 #: Words that the library gets at once.
 TOGETHER = 500
 #: Bytes of text encoded at once.
-PIECE = 256 << 10
+PIECE = 512 << 10
 _LANES, _ROWS = 32, 32
 
+_STOP, _LETTER = np.zeros((2, 256), dtype=bool)
+_STOP[list(b".,;:!?")] = _LETTER[97:123] = True
+
 #: Texts on which words by themselves must give the ids of the whole.
 _PROBES = ("It's a test, isn't it? 42 words.", " two  spaces\tand\na line", "e \u0301a", "ÀÉ ß\u0085x 日本 語 😀", "a<b> (c) \"d\" -- e_f")
 
 
 class _Numbers(dict):
-    """Numbers words in order of first use."""
+    """Numbers words in order of first use; ``fresh`` are those numbered since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        self.fresh.append(word)
         return n
 
 
-class _Generation:
-    """Words and their ids: those of word ``numbers[w]`` are ``size`` ids of ``flat`` from ``begin``."""
-
-    def __init__(self):
-        self.numbers, self.bytes = _Numbers(), 0
-        self.begin, self.size, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
-
-    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, one after another, and the number of each."""
-        size = self.size[number]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.begin[number] - ends + size, size) + np.arange(total)], size
-
-    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
-        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
-        self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, ids))
+def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` behind the first ``used`` values, in room that doubles."""
+    if used + len(more) > len(array):
+        array = np.concatenate((array[:used], np.zeros(max(used, len(more), 1 << 12), dtype=array.dtype)))
+    array[used : used + len(more)] = more
+    return array
 
 
 class WordCoder:
-    """Ids of texts by their words, each distinct word encoded once by the library.
-
-    Two generations of words are remembered: what the younger lacks is taken over from the older, and when the younger
-    is full it becomes the older.
-    """
+    """Ids of texts by their words, each distinct word encoded once by the library: those of word ``numbers[w]`` are ``size``
+    ids of ``flat`` from ``begin``."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
@@ -97,65 +93,102 @@ class WordCoder:
         self.added = [t.content.lower().encode() for t in added.values()]
         self.between = next(((i, t.content) for i, t in added.items() if t.special and not t.normalized), None) if plain else None
         self.by_word = plain and all(self._each([t.encode()])[0] == [i for x in self._each(t.encode().split()) for i in x] for t in _PROBES)
-        self.young, self.old = _Generation(), _Generation()
+        self.forget()
+        # Fewer distinct words: letters made lower, and stops parted, where the file does so for each of them.
+        norm, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.lower = self.by_word and norm is not None and all(norm.normalize_str(f"x{c.upper()}y") == f"x{c}y" for c in letters)
+        pieces = lambda t: [x for x, _ in split.pre_tokenize_str(t)]
+        parted = self.lower and split is not None and pieces(letters) == [letters] and all(pieces(f"x{a}{b}y") == [f"x{a}{b}y"] for a in letters for b in letters)
+        self.stops = parted and all(pieces(f"x{c}{stop}{y}") == [f"x{c}", stop, *y.split()] for c in letters for stop in ".,;:!?" for y in (" y", ""))
+        # A word of letters is one piece, whose last token alone has the model's suffix.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) if parted else None
+        self.last = None
+        if suffix:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _each(self, raws: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in raws], add_special_tokens=False)]
 
     def _encode(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, and the number of each; many go to the library as one text, with a special token between them."""
-        flat, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
-        for i in range(0, len(raws), TOGETHER):
-            some, kept = raws[i : i + TOGETHER], False
-            whole = b" ".join(some).lower()
-            if self.between is not None and not any(t in whole for t in self.added):
-                mark, text = self.between
-                ids = np.array(self._each([text.encode().join(some)])[0], dtype=np.uint32)
-                at = np.flatnonzero(ids == mark)
-                if kept := len(at) == len(some) - 1:
-                    flat.append(np.delete(ids, at))
-                    sizes.append(np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
-            if not kept:
-                parts = self._each(some)
-                flat.append(np.fromiter(chain.from_iterable(parts), dtype=np.uint32))
-                sizes.append(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
-        return np.concatenate(flat), np.concatenate(sizes)
+        """Ids of words, and the number of each. Many go to the library as one text, with what tells them apart again: a
+        space for words of letters, else a special token."""
+        flat, sizes, order = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)], []
+        plain = [k for k, w in enumerate(raws) if w.isalpha()] if self.last is not None else []
+        others = sorted(set(range(len(raws))).difference(plain)) if plain else range(len(raws))
+        for group, between in ((plain, None), (others, self.between)):
+            for i in range(0, len(group), TOGETHER):
+                some, size = [raws[k] for k in group[i : i + TOGETHER]], None
+                order += group[i : i + TOGETHER]
+                if group is plain:
+                    ids = np.array(self._each([b" ".join(some)])[0], dtype=np.uint32)
+                    size = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+                elif between is not None and not any(t in b" ".join(some).lower() for t in self.added):
+                    ids = np.array(self._each([between[1].encode().join(some)])[0], dtype=np.uint32)
+                    at = np.flatnonzero(ids == between[0])
+                    size = np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
+                    ids = np.delete(ids, at)
+                if size is None or len(size) != len(some) or size.sum() != len(ids):  # not kept apart
+                    parts = self._each(some)
+                    ids = np.fromiter(chain.from_iterable(parts), dtype=np.uint32)
+                    size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+                flat.append(ids)
+                sizes.append(size)
+        ids, size, order = np.concatenate(flat), np.concatenate(sizes), np.array(order, dtype=np.int64)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        begin, size = (np.cumsum(size) - size)[back], size[back]
+        ends = np.cumsum(size)
+        return ids[np.repeat(begin - ends + size, size) + np.arange(len(ids))], size
+
+    def forget(self) -> None:
+        self.numbers, self.bytes, self.words, self.n_ids = _Numbers(), 0, 0, 0
+        self.begin, self.size, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
 
     def _learn(self) -> None:
-        """Take over or encode the words that have numbers only."""
-        young, old = self.young, self.old
-        fresh = list(islice(young.numbers, len(young.size), None))
-        if not fresh:
-            return
-        young.bytes += sum(map(len, fresh))
-        number = np.fromiter(map(old.numbers.get, fresh, repeat(-1)), dtype=np.int64, count=len(fresh))
-        new = number < 0
-        ids, size = old.gather(number[~new])
-        more, more_size = self._encode(list(compress(fresh, new.tolist())))
-        # All ids of the fresh words in their order, by the places in the two parts.
-        sizes, begin = np.zeros((2, len(fresh)), dtype=np.int64)
-        sizes[~new], sizes[new] = size, more_size
-        begin[~new], begin[new] = np.cumsum(size) - size, len(ids) + np.cumsum(more_size) - more_size
-        ends = np.cumsum(sizes)
-        young.add(np.concatenate((ids, more))[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])], sizes)
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and the number of each."""
+        """Encode the words that have numbers only."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if fresh:
+            self.bytes += sum(map(len, fresh))
+            ids, size = self._encode(fresh)
+            self.begin = _grown(self.begin, self.words, self.n_ids + np.cumsum(size) - size)
+            self.size, self.flat = _grown(self.size, self.words, size.astype(np.int32)), _grown(self.flat, self.n_ids, ids)
+            self.words, self.n_ids = self.words + len(fresh), self.n_ids + len(ids)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, one after another, and the number of each."""
+        import pyarrow as pa
+
+        rows = offsets - offsets[0]
+        body = data[int(offsets[0]) : int(offsets[-1])]
         if not self.by_word:
-            found = self._each(texts)
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            return np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(size.sum())), size
-        if len(self.young.numbers) > CACHE or self.young.bytes > CACHE_BYTES:
-            self.young, self.old = _Generation(), self.young
-        words = [t.split() for t in texts]  # bytes split at [\x20\x09-\x0D]
-        count = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        number = np.fromiter(chain.from_iterable(map(self.young.numbers.__getitem__, w) for w in words), dtype=np.int64, count=int(count.sum()))
-        del words
+            raw, at = body.tobytes(), rows.tolist()
+            found = self._each([raw[a:b] for a, b in zip(at, at[1:])])
+            return np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        if len(self.numbers) > CACHE or self.bytes > CACHE_BYTES:
+            self.forget()
+        body = LOWER[body] if self.lower else body
+        starts, ends, first = words(body, rows, NOT_SPACE)
+        if self.stops and len(starts):
+            # A stop at the end of a word, behind one of a-z, is a word of its own.
+            tail = np.flatnonzero((ends - starts > 1) & _STOP[body[ends - 1]])
+            tail = ends[tail[_LETTER[body[ends[tail] - 2]]]] - 1
+            starts, ends = np.sort(np.concatenate((starts, tail))), np.sort(np.concatenate((ends, tail)))
+            first = np.searchsorted(starts, rows, side="left")
+        if not len(starts):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(rows) - 1, dtype=np.int64)
+        cut = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+        packed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cut), pa.py_buffer(body[NOT_SPACE[body]])]).dictionary_encode()
+        distinct, at = column_bytes(packed.dictionary)
+        raw, at = distinct.tobytes(), at.tolist()
+        number = np.fromiter(map(self.numbers.__getitem__, [raw[a:b] for a, b in zip(at, at[1:])]), dtype=np.int64, count=len(at) - 1)
         self._learn()
-        out, size = self.young.gather(number)
-        place = np.concatenate(([0], np.cumsum(size)))
-        ends = np.concatenate(([0], np.cumsum(count)))
-        return out, place[ends[1:]] - place[ends[:-1]]
+        index = packed.indices.to_numpy()
+        size = self.size[number][index]
+        place = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        out = self.flat[np.repeat(self.begin[number][index] - place[:-1], size) + np.arange(place[-1])]
+        return out, place[first[1:]] - place[first[:-1]]
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -169,28 +202,18 @@ def coder_of(path: str) -> WordCoder:
     return _CODERS[path]
 
 
-def _pieces(text: bytes, limit: int):
-    """A text in pieces of about ``limit`` bytes, cut before white space."""
-    at = 0
-    while len(text) - at > limit:
-        to = at + limit
-        while to < len(text) and text[to] not in b" \t\n\x0b\x0c\r":
-            to += 1
-        yield text[at:to]
-        at = to
-    yield text[at:]
-
-
 def encode_block(coder: WordCoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a block's rows, end ids included, and the number of ids of each row."""
-    raw, ends = data[int(offsets[0]) : int(offsets[-1])].tobytes(), (offsets - offsets[0]).tolist()
-    texts = [raw[a:b] for a, b in zip(ends, ends[1:])]
-    if len(texts) == 1 and coder.by_word:  # a long text
-        parts = [coder.ids([p])[0] for p in _pieces(texts[0], PIECE)]
+    """The ids of a block's rows, end ids included, and the number of ids of each row. A long text alone goes in pieces,
+    cut before white space."""
+    if len(offsets) == 2 and coder.by_word and offsets[1] - offsets[0] > PIECE:
+        body = data[int(offsets[0]) : int(offsets[1])]
+        spaces = np.append(np.flatnonzero(~NOT_SPACE[body]), len(body))
+        cuts = np.unique(np.concatenate(([0], spaces[np.searchsorted(spaces, np.arange(PIECE, len(body), PIECE))], [len(body)])))
+        parts = [coder.ids(body, cuts[i : i + 2])[0] for i in range(len(cuts) - 1)]
         ids = np.concatenate(parts)
         lengths = np.array([len(ids)])
     else:
-        ids, lengths = coder.ids(texts)
+        ids, lengths = coder.ids(data, offsets)
     return np.insert(ids, np.cumsum(lengths), END_ID).astype(np.uint32), lengths + 1
 
 
