@@ -109,7 +109,7 @@ def test_rows_that_repeat_an_id_leave_one_row_always_the_same(spark):
 def test_components_of_a_chain_that_takes_many_rounds(spark, monkeypatch):
     """No bound on rounds: a component is found however long its chain, in any order of its nodes."""
     rng = np.random.default_rng(3)
-    ids = rng.permutation(700).tolist()
+    ids = rng.permutation(400).tolist()
     chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in ids], "node long")
     assert {r.root for r in simhash.components(nodes, chain).collect()} == {0}
