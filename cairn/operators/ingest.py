@@ -157,7 +157,7 @@ def pack_greedy(blobs: DataFrame, group: list[str], order: list[str], blob: str,
     The greedy cut depends on all that came before, so a group is one sequential job; its rows arrive in batches, and
     only the running size is kept. Groups are (computer, family) and so many run side by side.
     """
-    import pandas as pd
+    import numpy as np
 
     more = [c for c in dict.fromkeys([*order, length]) if c not in (*group, blob)]
     first = blobs.groupBy(*group, blob).agg(F.min(F.struct(*order, length)).alias("_f")).select(*group, blob, *[F.col(f"_f.{c}").alias(c) for c in more])
@@ -167,16 +167,27 @@ def pack_greedy(blobs: DataFrame, group: list[str], order: list[str], blob: str,
     def run(frames):
         now, pack, size = None, 0, 0
         for frame in frames:
-            out = []
+            n = frame[length].to_numpy(dtype=np.int64)
             keys = list(zip(*[frame[g] for g in group]))
-            for k, b, n in zip(keys, frame[blob], frame[length]):
-                if k != now:
-                    now, pack, size = k, 0, 0
-                if size and size + n > most:
-                    pack, size = pack + 1, 0
-                out.append((*k, b, pack, size, n))
-                size += n
-            yield pd.DataFrame(out, columns=[*group, blob, "pack", "offset", "length"])
+            heads = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else []
+            packs, offsets = np.zeros((2, len(n)), dtype=np.int64)
+            for first, last in zip(heads, heads[1:]):
+                if keys[first] != now:
+                    now, pack, size = keys[first], 0, 0
+                total = np.concatenate(([0], np.cumsum(n[first:last])))
+                at = 0
+                while at < last - first:  # one step a pack: all blobs that still fit
+                    to = int(np.searchsorted(total, total[at] + most - size, side="right")) - 1
+                    if to <= at:
+                        if size:
+                            pack, size = pack + 1, 0
+                            continue
+                        to = at + 1  # larger than a pack
+                    packs[first + at : first + to] = pack
+                    offsets[first + at : first + to] = size + total[at:to] - total[at]
+                    size += int(total[to] - total[at])
+                    at = to
+            yield frame[[*group, blob]].assign(pack=packs.astype(np.int32), offset=offsets, length=n)
 
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in [*group, blob]], "pack int", "offset long", "length long"])
     return rows.mapInPandas(run, schema)

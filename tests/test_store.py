@@ -288,3 +288,23 @@ def test_shapes_of_two_stores(spark):
     assert sorted((r.file, r.json_path, r.what) for r in rows.collect()) == [("new", "/z", "file_only_b"), ("old", "/z", "file_only_a"), ("plan", "/w", "path_only_b"), ("plan", "/x", "type"), ("plan", "/y", "path_only_a")]
     kinds = ["file_only_a", "file_only_b", "path_only_a", "path_only_b", "type"]
     assert not diff.difference_summary(rows, kinds).first()["match"] and diff.difference_summary(diff.shape_compare(a, a), kinds).first()["match"]
+
+
+def test_packs_are_filled_in_order_whatever_the_batches(spark):
+    r = random.Random(3)
+    rows = [(g, i, r.choice([0, 0, 5, 30, 60, 99, 100, 101, 250])) for g in "ab" for i in range(120)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(x.g, x.i): (x.pack, x.offset) for x in ingest.pack_greedy(spark.createDataFrame(rows, "g string, i int, n long"), ["g"], ["i"], "i", "n", 100).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for g in "ab":
+        pack = size = 0
+        for _, i, n in [x for x in rows if x[0] == g]:
+            if size and size + n > 100:
+                pack, size = pack + 1, 0
+            want[g, i] = pack, size
+            size += n
+    assert got == want
