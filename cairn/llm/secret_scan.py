@@ -41,6 +41,8 @@ KINDS = ("assign", "access", "hex")
 TRIGGERS = (b"password", b"passwd", b"secret", b"token", b"api")
 
 LEAST, LONG = 8, 24
+#: Characters of a token that is scored together with others.
+SHORT = 24
 #: Tokens whose scores a task keeps.
 KNOWN = 200_000
 SAMPLE, POOL, MADE, PASSES = 2_000, 40_000, 600, 6
@@ -54,6 +56,9 @@ SURE = 1.0
 _TOKEN = np.zeros(256, dtype=bool)
 for _r in (range(48, 58), range(65, 91), range(97, 123), map(ord, "+/_.=-")):
     _TOKEN[list(_r)] = True
+#: Classes of characters by number, in the order of the characters that stand for them.
+_CODE = np.zeros(256, dtype=np.int64)
+_CODE[48:58], _CODE[65:91], _CODE[97:123] = 1, 2, 3
 _CLASS = bytes(ord("0") if 48 <= b < 58 else ord("A") if 65 <= b < 91 else ord("a") if 97 <= b < 123 else ord("-") for b in range(256))
 
 
@@ -161,15 +166,20 @@ def _word(t: bytes) -> str:
     return t.lower().decode()
 
 
+def _halves(bits):
+    """Whole half bits of an entropy, the same however it was summed."""
+    return np.floor(np.round(np.asarray(bits) * 2, 9)).astype(np.int64)
+
+
 def _own(t: bytes) -> list[str]:
     """Features of a token by itself."""
     classes = t.translate(_CLASS)
     shape = re.sub(rb"(.)\1+", rb"\1", classes)
-    entropy = -sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values())
+    halves = int(_halves(-sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values())))
     kinds = "".join(sorted(set(classes.decode())))
     changes = sum(x != y for x, y in zip(classes, classes[1:]))
     return [
-        f"k{kinds}", f"k{kinds}l{min(len(t) // 4, 12)}", f"e{int(entropy * 2)}", f"e{int(entropy * 2)}k{kinds}", f"s{shape[:10].decode()}", f"c{min(changes, 12)}", f"n{min(len(t), 48)}",
+        f"k{kinds}", f"k{kinds}l{min(len(t) // 4, 12)}", f"e{halves}", f"e{halves}k{kinds}", f"s{shape[:10].decode()}", f"c{min(changes, 12)}", f"n{min(len(t), 48)}",
         f"x{_IS_HEX[np.frombuffer(t, dtype=np.uint8)].all()}", f"h{t[:4].decode().lower()}",
     ]
 
@@ -195,19 +205,66 @@ class Field:
         """Rows of ``table`` of the tokens: the scores of each by itself, as a neighbour (before, two before, after), and by dots."""
         if len(self.ids) > KNOWN:
             self.ids = {}
-        for t in (b"", *set(tokens).difference(self.ids)):
-            if t in self.ids:
-                continue
-            k, word = len(self.ids), _word(t) or "<>"
-            if k == len(self.table):
+        new = [t for t in {b"": 0, **dict.fromkeys(tokens)} if t not in self.ids]
+        if new:
+            first = len(self.ids)
+            while first + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            parts = [_own(t) if t else [], [f"p{word}"], [f"q{word}"], [f"f{word}"], [f"d{b'.' in t}False"], [f"d{b'.' in t}True"]]
-            c = self.w[_coordinates([x for p in parts for x in p])]
-            self.table[k, :3] = c[:-5].sum(axis=0)
-            self.table[k, 3:] = c[-5:].ravel()
-            self.ids[t] = k
+            for i in range(0, len(new), 1 << 14):
+                self.table[first + i : first + min(i + (1 << 14), len(new))] = self._scores(new[i : i + (1 << 14)])
+            self.ids.update(zip(new, range(first, first + len(new))))
         return [self.ids[t] for t in tokens]
 
+    def _scores(self, tokens: list[bytes]) -> np.ndarray:
+        """The rows of ``table`` of new tokens; short ones all at once, feature by feature."""
+        out = np.zeros((len(tokens), 18))
+        mask = (1 << BITS) - 1
+        low = [t.lower() or b"<>" for t in tokens]
+        for col, name in ((3, b"p"), (6, b"q"), (9, b"f")):
+            start = zlib.crc32(name)
+            out[:, col : col + 3] = self.w[np.array([zlib.crc32(t, start) & mask for t in low])]
+        dots = self.w[_coordinates([f"d{x}{y}" for x in (False, True) for y in (False, True)])]
+        has_dot = np.array([b"." in t for t in tokens], dtype=np.int64)
+        out[:, 12:15], out[:, 15:18] = dots[has_dot * 2], dots[has_dot * 2 + 1]
+        size = np.array([len(t) for t in tokens])
+        for k in np.flatnonzero(size > SHORT).tolist():
+            out[k, :3] = self.score(_own(tokens[k]))
+        at = np.flatnonzero((size > 0) & (size <= SHORT))
+        if not len(at):
+            return out
+        n = size[at]
+        inside = np.arange(SHORT) < n[:, None]
+        text = np.zeros(inside.shape, dtype=np.uint8)
+        text[inside] = np.frombuffer(b"".join([tokens[k] for k in at.tolist()]), dtype=np.uint8)
+        kind = _CODE[text]
+        kinds = np.bitwise_or.reduce(np.where(inside, 1 << kind, 0), axis=1)
+        change = (kind[:, 1:] != kind[:, :-1]) & inside[:, 1:]
+        changes = change.sum(axis=1)
+        run = np.concatenate((np.zeros((len(at), 1), dtype=np.int64), np.cumsum(change, axis=1)), axis=1)
+        head = np.concatenate((np.ones((len(at), 1), dtype=bool), change), axis=1) & (run < 10)
+        shape = np.where(head, (kind + 1) * 5 ** np.minimum(run, 10), 0).sum(axis=1)
+        count = ((text[:, :, None] == text[:, None, :]) & inside[:, None, :]).sum(axis=2)
+        share = np.where(inside, count / n[:, None], 1.0)
+        entropy = _halves(-np.where(inside, np.log2(share), 0.0).sum(axis=1) / n)
+        is_hex = (_IS_HEX[text] | ~inside).all(axis=1)
+        begin = np.ascontiguousarray(LOWER[text[:, :4]]).view("<u4")[:, 0]
+        names = ["".join(c for i, c in enumerate("-0Aa") if k >> i & 1) for k in range(16)]
+
+        def add(code, name) -> None:
+            each, back = np.unique(code, return_inverse=True)
+            out[at, :3] += self.w[_coordinates([name(int(x)) for x in each])][back]
+
+        add(kinds, lambda x: f"k{names[x]}")
+        add(kinds * 16 + np.minimum(n // 4, 12), lambda x: f"k{names[x >> 4]}l{x & 15}")
+        add(entropy, lambda x: f"e{x}")
+        add(entropy * 16 + kinds, lambda x: f"e{x >> 4}k{names[x & 15]}")
+        add(shape, lambda x: "s" + "".join("-0Aa"[x // 5**i % 5 - 1] for i in range(10) if x // 5**i))
+        add(np.minimum(changes, 12), lambda x: f"c{x}")
+        add(np.minimum(n, 48), lambda x: f"n{x}")
+        add(is_hex.astype(np.int64), lambda x: f"x{bool(x)}")
+        add(begin, lambda x: "h" + x.to_bytes(4, "little").rstrip(b"\0").decode())
+        return out
+
     def open(self, e: np.ndarray, sure: float = SURE) -> np.ndarray:
         """Which tokens may be other than outside on a best path. Where the outside leads by more than any change of
         transitions (and of the next tag from inside to begin) can cost, the outside is best: chains can be cut there."""

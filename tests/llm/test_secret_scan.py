@@ -163,6 +163,20 @@ def test_repeated_rows_and_clashing_names(spark):
     assert len(rows) == 3 and {r.n_assign for r in rows} == {1}
 
 
+def test_scores_of_many_tokens_are_those_of_each():
+    rng = np.random.default_rng(8)
+    f = ss.Field()
+    f.w = rng.normal(size=f.w.shape)
+    r = random.Random(2)
+    alphabet = "abcdefgh0123456789ABCDEF+/_.=-"
+    tokens = list({"".join(r.choice(alphabet[: r.choice([3, 8, 18, 30])]) for _ in range(r.randrange(1, 40))).encode() for _ in range(800)})
+    got = f._scores([b"", *tokens])
+    for t, row in zip([b"", *tokens], got):
+        word = ss._word(t) or "<>"
+        want = [f.score(ss._own(t)) if t else np.zeros(3), *[f.score([f"{c}{word}"]) for c in "pqf"], *[f.score([f"d{b'.' in t}{x}"]) for x in (False, True)]]
+        assert np.allclose(row, np.concatenate(want)), t
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     f = ss.Field()
