@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -66,11 +68,15 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     new[1:] = (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)
     head = np.flatnonzero(new)
     a, n = s[head], np.diff(np.append(head, len(s)))
+    # The whole stretch: its grams one after another, the last one at its end, chained with its form.
+    size = n + window - 1
     place = (at[head] - a).astype(np.uint64) * np.uint64(64) + n.astype(np.uint64)
     whole = []
-    for second in (False, True):  # the first and the last window hold all words, as a stretch has fewer windows than a window words
-        w = gram_hashes(word_hashes(body, starts, ends, second=True) if second else one, window, second)
-        whole.append(mix(mix(w[a] + place) * np.uint64(0x9E3779B97F4A7C15) + w[a + n - 1]))
+    for grams in (g, gram_hashes(word_hashes(body, starts, ends, second=True), gram, second=True)):
+        h = mix(grams[a] + mix(place))
+        for off in range(gram, 2 * window - gram, gram):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + grams[a + np.minimum(off, size - gram)])
+        whole.append(h)
     return row[a], g[at[head]], whole[0], whole[1], a - first[row[a]], n
 
 
@@ -80,26 +86,31 @@ def _packed(a: np.ndarray, n: np.ndarray, settled: np.ndarray) -> np.ndarray:
 
 
 class _Seen:
-    """The smallest places (document, first window) of the stretches that a task met, sorted by their hashes."""
+    """The smallest places (document, first window) of the stretches that a task met, sorted by a number of their hashes."""
 
     def __init__(self):
-        self.rows = np.zeros((5, 0), dtype=np.int64)  # key, block, check, document, first window
+        self.number, self.rows = np.zeros(0, dtype=np.uint64), np.zeros((5, 0), dtype=np.int64)  # key, block, check, document, first window
 
     def earlier(self, rows: np.ndarray) -> np.ndarray:
-        """Which of ``rows``, sorted and no two of one stretch, repeat an earlier place; the others are remembered."""
-        old = self.rows if self.rows.shape[1] <= REMEMBERED else self.rows[:, :0]
-        every = np.concatenate((old, rows), axis=1)
-        late = np.repeat((0, 1), (old.shape[1], rows.shape[1]))
-        order = np.lexsort((late, every[4], every[3], every[2], every[1], every[0]))
-        x = every[:, order]
-        same = np.zeros(len(order), dtype=bool)
-        same[1:] = (x[:3, 1:] == x[:3, :-1]).all(axis=0)
-        moved = np.zeros(len(order), dtype=bool)
-        moved[1:] = (x[3:, 1:] != x[3:, :-1]).any(axis=0)
-        out = np.zeros(len(order), dtype=bool)
-        out[order] = same & moved
-        self.rows = x[:, ~same]
-        return out[old.shape[1] :]
+        """Which of ``rows``, no two of one stretch, repeat an earlier place; of the others the places are remembered."""
+        if len(self.number) > REMEMBERED:
+            self.__init__()
+        number = mix(rows[0].view(np.uint64) + mix(rows[1].view(np.uint64)))
+        at = np.searchsorted(self.number, number)
+        near = np.minimum(at, max(len(self.number) - 1, 0))
+        hit = self.number[near] == number if len(self.number) else np.zeros(len(number), dtype=bool)
+        known = np.flatnonzero(hit)
+        old, now = self.rows[:, near[known]], rows[:, known]
+        same = (old[:3] == now[:3]).all(axis=0)
+        after = (now[3] > old[3]) | ((now[3] == old[3]) & (now[4] > old[4]))
+        before = same & ((now[3] < old[3]) | ((now[3] == old[3]) & (now[4] < old[4])))
+        self.rows[3:, near[known[before]]] = now[3:, before]
+        out = np.zeros(len(number), dtype=bool)
+        out[known[same & after]] = True
+        new = np.flatnonzero(~hit)
+        new = new[np.argsort(number[new], kind="stable")]
+        self.number, self.rows = np.insert(self.number, at[new], number[new]), np.insert(self.rows, at[new], rows[:, new], axis=1)
+        return out
 
 
 def entries(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -169,23 +180,19 @@ def _digests(docs: DataFrame, with_spans: bool, window: int) -> DataFrame:
             n_words, n_removed, sha, kept_text = [], [], [], []
             for i, j in blocks(offsets):
                 lo = int(offsets[i])
-                body = data[lo : int(offsets[j])]
-                starts, ends, first = words(body, offsets[i : j + 1] - lo, NOT_SPACE)
-                raw = body.tobytes()
+                raw, at = data[lo : int(offsets[j])].tobytes(), (offsets[i : j + 1] - lo).tolist()
                 for r in range(j - i):
-                    a, b = int(first[r]), int(first[r + 1])
-                    s, e = starts[a:b], ends[a:b]
+                    w = raw[at[r] : at[r + 1]].split()  # bytes split at [\x20\x09-\x0D]
+                    n_words.append(len(w))
                     if with_spans:
                         spans = batch.column(3)
                         x = spans.values.to_numpy()[spans.offsets[i + r].as_py() : spans.offsets[i + r + 1].as_py()]
-                        cover = np.zeros(b - a + 1, dtype=np.int64)
+                        cover = np.zeros(len(w) + 1, dtype=np.int64)
                         np.add.at(cover, x >> 6, 1)
                         np.add.at(cover, (x >> 6) + ((x >> 1) & 31) + window - 1, -1)
-                        kept = np.cumsum(cover[:-1]) == 0
-                        s, e = s[kept], e[kept]
-                    text = b" ".join([raw[p:q] for p, q in zip(s.tolist(), e.tolist())])
-                    n_words.append(b - a)
-                    n_removed.append(b - a - len(s))
+                        w = list(compress(w, (np.cumsum(cover[:-1]) == 0).tolist()))
+                    text = b" ".join(w)
+                    n_removed.append(n_words[-1] - len(w))
                     sha.append(hashlib.sha256(text).hexdigest())
                     if with_spans:
                         kept_text.append(text.decode())
@@ -206,6 +213,23 @@ def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
 
 
+#: Settings under which buckets of one file keep the order they were written in, and aggregations use it.
+ORDERED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.execution.replaceHashWithSortAgg": "true"}
+
+
+@contextmanager
+def _ordered(spark: SparkSession):
+    """While a plan runs, runs of the index are merged in their order: the joins by gram hash need no sorts."""
+    before = {k: spark.conf.get(k) for k in ORDERED}
+    for k, v in ORDERED.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Index:
     """The runs of the index, and the batches' documents they point into."""
 
@@ -248,7 +272,8 @@ class Index:
         both = again.where(recurs).select(cols)
         for p in parts:
             both = both.unionByName(p)
-        both = materialize(both, f"shared{number}", self.root)
+        with _ordered(self.spark):
+            both = materialize(both, f"shared{number}", self.root)
         self.runs.append(run)
 
         # Whole stretches: all but the first are repeats.
