@@ -85,11 +85,12 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits (xor-shift and multiply)."""
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))  # a new array; the rest is in place
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:

@@ -8,9 +8,10 @@ the index holds one entry for about seven words. An entry is (gram hash, hash of
 The index is a list of immutable runs, tables that are bucketed and sorted by gram hash. A new batch becomes a run of
 its own; it is merge-joined with itself and with each older run on the gram hash, bucket by bucket, without another
 shuffle. Stretches that are equal as a whole to an earlier one repeat in all their windows. Where only the gram recurs,
-the windows themselves are hashed from the texts and compared one by one. Both verify a match by 128 bits over all its
-words, from two families of hashes that share no algebra. At ``FANOUT`` runs the index is compacted to one, and what it
-replaces is deleted; the whole table is taken in more batches than that.
+the windows themselves are hashed from the texts and compared one by one; batches that come together leave that to one
+comparison of all of them. Both verify a match by 128 bits over all its words, from two families of hashes that share no
+algebra. An index of ``FANOUT`` runs is compacted to one when another batch comes, and what it replaces is deleted; the
+whole table is taken in more batches than that.
 
 Copies within a task are settled before the shuffle (a task remembers ``REMEMBERED`` stretches; what it forgets is
 settled later), so a passage in a third of all documents costs about one entry a task. Documents that need their text again are picked by a broadcast set of at most ``SLOTS`` hash values
@@ -27,10 +28,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from contextlib import contextmanager
+from functools import reduce
 from itertools import compress
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import NOT_SPACE, blocks, bounded_batches, column_bytes, drop_scratch, gram_hashes, materialize, mix, scratch_dir, word_hashes, words
@@ -44,6 +46,18 @@ BATCHES = 3
 REMEMBERED = 1 << 17
 SLOTS = 1 << 20
 LAST = (1 << 63) - 1
+#: Hashes have no dictionary that a writer of runs could find.
+NO_DICTIONARY = {f"parquet.enable.dictionary#{c}": "false" for c in ("key", "block", "check")}
+
+
+def _rightmost_least(x: np.ndarray, k: int) -> np.ndarray:
+    """The place of the smallest of each k consecutive values, of equal ones the last. Halves are joined, so log2(k) steps make them."""
+    best, at, size = x, np.arange(len(x)), 1
+    while size < k:
+        step = min(size, k - size)
+        right = best[step:] <= best[:-step]
+        best, at, size = np.minimum(best[:-step], best[step:]), np.where(right, at[step:], at[:-step]), size + step
+    return at
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
@@ -56,14 +70,8 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     if not len(s):
         none = np.zeros(0, dtype=np.int64)
         return none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none, none
-    one = word_hashes(body, starts, ends)
-    g = gram_hashes(one, gram)
-    best, at = g[s], s.copy()
-    for j in range(1, window - gram + 1):
-        x = g[s + j]
-        less = x <= best
-        np.copyto(best, x, where=less)
-        np.copyto(at, s + j, where=less)
+    g = gram_hashes(word_hashes(body, starts, ends), gram)
+    at = _rightmost_least(g, window - gram + 1)[s]
     new = np.ones(len(s), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)
     head = np.flatnonzero(new)
@@ -233,31 +241,40 @@ def _ordered(spark: SparkSession):
 class Index:
     """The runs of the index, and the batches' documents they point into."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, root: str | None = None, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, fanout: int = FANOUT,
+                 repeated: bool = True):
         self.spark, self.root, self.window, self.gram, self.fanout = spark, root or scratch_dir(spark), window, gram, fanout
+        #: Whether rows may repeat a (doc, tag).
+        self.repeated = repeated
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
         self.batches: list[DataFrame] = []
+        self.open: list[DataFrame] = []
+        self.compared = 0
 
     def _save(self, df: DataFrame) -> str:
         """An immutable run: bucketed by key, sorted within each bucket, one file a bucket."""
         name = f"cairn_run_{uuid.uuid4().hex}"
         df = df.repartition(self.buckets, "key").sortWithinPartitions("key", "block")
-        df.write.bucketBy(self.buckets, "key").sortBy("key", "block").option("path", f"{self.root}/{name}").saveAsTable(name)
+        df.write.options(**NO_DICTIONARY).bucketBy(self.buckets, "key").sortBy("key", "block").option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, run: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {run}")
         drop_scratch(self.spark, f"{self.root}/{run}")
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Add a batch (doc, tag, text); give back the stretches of it that recur: doc, tag, at."""
+    def insert(self, docs: DataFrame) -> DataFrame:
+        """Add a batch (doc, tag, text); give back those of its stretches that repeat an earlier one as a whole: doc, tag, at.
+
+        Of grams that recur in several stretches, the first of each stretch waits for ``windows``.
+        """
+        if len(self.runs) >= self.fanout:
+            self.compact()
         number = len(self.batches)
         self.batches.append(docs.withColumn("age", F.lit(number)))
         run = self._save(entries(docs, self.window, self.gram).withColumn("age", F.lit(number)))
         new = self.spark.table(run)
         open_ = new.where("at & 1 = 0")
-        settled = new.where("at & 1 = 1").select("doc", "tag", "at")
 
         # Grams that recur, in the batch or in older runs: bucket by bucket.
         cols = ["key", "block", "check", "age", "doc", "tag", "at"]
@@ -272,38 +289,48 @@ class Index:
         both = again.where(recurs).select(cols)
         for p in parts:
             both = both.unionByName(p)
-        with _ordered(self.spark):
-            both = materialize(both, f"shared{number}", self.root)
-        self.runs.append(run)
 
-        # Whole stretches: all but the first are repeats.
-        whole = ["key", "block", "check"]
+        # Whole stretches: all but the first are repeats. Grams of several stretches: the first of each is noted.
         place = F.struct("age", "doc", F.expr("at >> 6").alias("start"))
-        stretches = both.groupBy(*whole).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
-        stretches = materialize(stretches, f"stretches{number}", self.root)
-        repeats = both.where(F.col("age") == number).join(stretches.where("times > 1"), whole).where(place > F.col("first")).select("doc", "tag", "at")
-
-        # Grams of several stretches: window by window, for the first of each stretch.
-        several = stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        firsts = both.join(stretches.join(several, "key", "left_semi").select(*whole, "first"), whole).where(place == F.col("first"))
-        spans = firsts.groupBy("age", "doc", "tag").agg(F.collect_set("at").alias("spans"))
-        spans = materialize(spans, f"spans{number}", self.root)
-        texts = None
-        for past in self.batches:
-            more = _picked(past, spans).dropDuplicates(["age", "doc", "tag"])
-            texts = more if texts is None else texts.unionByName(more)
+        of_stretch = Window.partitionBy("key", "block", "check").orderBy("age", "doc", F.expr("at >> 6")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        of_gram = Window.partitionBy("key").orderBy("block", "check", "age", "doc", F.expr("at >> 6")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the same order: one sort
+        both = both.withColumn("later", place > F.first(place).over(of_stretch))
+        several = (F.min("block").over(of_gram) < F.max("block").over(of_gram)) | (F.min("check").over(of_gram) < F.max("check").over(of_gram))
+        both = both.withColumn("several", several).where((F.col("later") & (F.col("age") == number)) | (~F.col("later") & F.col("several")))
+        settled = new.where("at & 1 = 1").withColumn("later", F.lit(True))
+        marked = [x.select("age", "doc", "tag", "at", "later") for x in (both, settled)]
+        with _ordered(self.spark):
+            shared = materialize(marked[0].unionByName(marked[1]), f"shared{number}", self.root)
+        self.runs.append(run)
+        self.open.append(shared.where("not later").drop("later"))
+        return shared.where("later").select("doc", "tag", "at")
+
+    def windows(self, docs: DataFrame | None = None) -> DataFrame:
+        """Compare the windows that the batches since the last call left open; give back those that recur: doc, tag, at.
+
+        ``docs`` (age, doc, tag, text) are all batches, if the caller has them in one.
+        """
+        low, high = self.compared, len(self.batches)
+        self.compared = high
+        spans = reduce(DataFrame.unionByName, self.open).groupBy("age", "doc", "tag").agg(F.collect_set("at").alias("spans"))
+        spans = materialize(spans, f"spans{high}", self.root)
+        self.open = []
+        texts = _picked(docs if docs is not None else reduce(DataFrame.unionByName, self.batches), spans)
+        if self.repeated:
+            texts = texts.dropDuplicates(["age", "doc", "tag"])
         hashes = window_hashes(texts.join(spans, ["age", "doc", "tag"]), self.window)
-        hashes = materialize(hashes, f"windows{number}", self.root)
+        hashes = materialize(hashes, f"windows{high}", self.root)
         at = F.struct("age", "doc", "start")
         lead = hashes.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-        single = hashes.where(F.col("age") == number).join(lead, ["w1", "w2"]).where(at > F.col("first"))
-        single = single.select("doc", "tag", F.expr("(start << 6) | 2").alias("at"))
-        found = materialize(repeats.unionByName(single).unionByName(settled), f"found{number}", self.root)
-        for name in ("shared", "stretches", "spans", "windows"):
-            drop_scratch(self.spark, f"{self.root}/{name}{number}")
-        if len(self.runs) >= self.fanout:
-            self.compact()
-        return found
+        single = hashes.where(F.col("age") >= low).join(lead, ["w1", "w2"]).where(at > F.col("first"))
+        single = materialize(single.select("doc", "tag", F.expr("(start << 6) | 2").alias("at")), f"single{high}", self.root)
+        for name in ("spans", "windows"):
+            drop_scratch(self.spark, f"{self.root}/{name}{high}")
+        return single
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Add a batch (doc, tag, text); give back the stretches and windows of it that recur: doc, tag, at."""
+        return self.insert(docs).unionByName(self.windows())
 
     def compact(self) -> None:
         """Merge all runs into one that holds the first entry of each stretch; the merged ones are deleted."""
@@ -324,11 +351,15 @@ class Index:
         self.runs = []
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tag, doc_id, text). The tag tells rows of one doc_id apart; it is 0 where no doc_id repeats."""
+def _repeated(docs: DataFrame, id_col: str) -> bool:
+    """Whether rows repeat a doc_id."""
+    return not docs.groupBy(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, repeated: bool = True) -> DataFrame:
+    """(doc, tag, doc_id, text). The tag tells rows of one doc_id apart; it is 0 where no doc_id is repeated."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    repeated = not d.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     return d.withColumn("tag", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
 
 
@@ -340,20 +371,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     root = root or scratch_dir(spark)
-    d = _prepared(docs, id_col, text_col)
+    repeated = _repeated(docs, id_col)
+    d = _prepared(docs, id_col, text_col, repeated)
     cuts = d.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] if batches > 1 else []
-    cuts = sorted(set(cuts or []))
-    index = Index(spark, root, window, gram)
-    found = None
+    cuts = sorted(set(cuts or []) - {LAST})  # null doc_ids are in the last batch
+    index = Index(spark, root, window, gram, repeated=repeated)
+    found = []
+    own = F.col("doc_id").cast("long")  # not ``doc``: a reader can skip what is out of range
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = d
-        part = part.where(F.col("doc") > low) if low is not None else part
-        part = part.where(F.col("doc") <= high) if high is not None else part
-        more = index.add(part.select("doc", "tag", "text"))
-        found = more if found is None else found.unionByName(more)
+        part = part.where((own > low) | own.isNull() if high is None else own > low) if low is not None else part
+        part = part.where(own <= high) if high is not None else part
+        found.append(index.insert(part.select("doc", "tag", "text")))
     index.close()
-    spans = materialize(found.groupBy("doc", "tag").agg(F.collect_list("at").alias("spans")), "found", root)
-    touched = _picked(d.select("doc", "tag", "text"), spans).dropDuplicates(["doc", "tag"]).join(spans, ["doc", "tag"])
+    age = sum(((F.col("doc") > c).cast("int") for c in cuts), F.lit(0))
+    found.append(index.windows(d.select(age.alias("age"), "doc", "tag", "text")))
+    spans = materialize(reduce(DataFrame.unionByName, found).groupBy("doc", "tag").agg(F.collect_list("at").alias("spans")), "found", root)
+    touched = _picked(d.select("doc", "tag", "text"), spans)
+    if repeated:
+        touched = touched.dropDuplicates(["doc", "tag"])
+    touched = touched.join(spans, ["doc", "tag"])
     cleaned = _digests(touched, True, window).drop("n_words")
     if not texts:
         cleaned = cleaned.drop("kept")

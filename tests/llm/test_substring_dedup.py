@@ -97,6 +97,47 @@ def test_compaction_keeps_results(spark):
     assert {d: len(gone.get(d, ())) for d, _ in docs} == {d: n for d, _, n, _ in brute(docs)}
 
 
+def test_windows_are_compared_once_and_no_run_is_merged_in_vain(spark, monkeypatch):
+    docs, calls = corpus(6, 40), []
+    hashes, compact = sd.window_hashes, sd.Index.compact
+    monkeypatch.setattr(sd, "window_hashes", lambda *a: calls.append("windows") or hashes(*a))
+    monkeypatch.setattr(sd.Index, "compact", lambda self: calls.append("compact") or compact(self))
+    assert got(sd.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert calls == ["compact", "windows"]  # three batches: a merge before the third, none after it
+
+
+@pytest.mark.parametrize("every", [1, 2, 3])
+def test_batches_compared_late_or_at_once(spark, every):
+    docs = corpus(8, 36) + [(5, "word " * 30), (5, "word " * 30)]
+    d = sd._prepared(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    index, ids, gone = sd.Index(spark, buckets=3), sorted({i for i, _ in docs}), {}
+    for k in range(0, 36, 6):
+        found = index.insert(d.where((d.doc >= ids[k]) & (d.doc <= ids[k + 5])).select("doc", "tag", "text")).collect()
+        if k // 6 % every == every - 1:
+            found += index.windows().collect()
+        for r in found:
+            a, n = r["at"] >> 6, (r["at"] >> 1) & 31
+            gone.setdefault((r.doc, r.tag), set()).update(range(a, a + n + 19))
+    index.close()
+    tags = [(r.doc, r.tag, r.text) for r in d.collect()]
+    assert sorted((i, len(gone.get((i, t), ()))) for i, t, _ in tags) == sorted((i, n) for i, _, n, _ in brute([(i, x) for i, _, x in tags]))
+
+
+@pytest.mark.parametrize("null", [2, 3, 1])
+def test_many_null_ids(spark, null):
+    docs = [(None if k % 3 < null else i, t) for k, (i, t) in enumerate(corpus(7, 45))]
+    assert got(sd.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_rightmost_least():
+    r = sd.np.random.default_rng(1)
+    for n in (0, 1, 13, 14, 90):
+        for k in (1, 2, 3, 6, 14):
+            x = r.integers(0, 5, n).astype("uint64")
+            want = [max(range(i, i + k), key=lambda j: (-int(x[j]), j)) for i in range(n - k + 1)]
+            assert sd._rightmost_least(x, k).tolist()[: len(want)] == want
+
+
 @pytest.mark.parametrize("n", [1024, 2048, 4096])
 def test_words_that_polynomials_take_for_equal(spark, n):
     from tests.llm.test_common import thue_morse
