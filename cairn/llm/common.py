@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.scratch import drop_scratch, materialize, scratch_dir  # noqa: F401
@@ -63,6 +63,28 @@ def bounded_batches(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(released, schema)
 
 
+#: Rows that the Parquet reader decodes at once, and bytes that Spark sends to Python at once, in ``in_pieces``.
+PIECES = {"spark.sql.parquet.columnarReaderBatchSize": 256, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
+def in_pieces(df: DataFrame) -> DataFrame:
+    """``df`` in a copy of its session whose tasks take texts in small pieces, ``PIECES`` at most.
+
+    The session's own bounds (64 MB, 10,000 rows) hold for each task at once, outside the heap, and a buffer that grows is
+    there twice; ``bounded_batches`` cuts only what has come. What is made of the result keeps the copy's settings, also
+    where the caller writes it; the caller's session stays as it is. Tables that ``df`` reads are decoded as before.
+    """
+    spark = df.sparkSession
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    less = {k: most for k, most in PIECES.items() if size(spark.conf.get(k)) > most}
+    if not less:
+        return df
+    own = spark._jsparkSession.cloneSession()
+    for k, most in less.items():
+        own.conf().set(k, str(most))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df._jdf.logicalPlan()), SparkSession(spark.sparkContext, own))
+
+
 # --- vectorised words -------------------------------------------------------------------------------------------
 
 _LANES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407))
